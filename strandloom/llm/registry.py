@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op9_language
 from .mixing import OP7_SQL, op7_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
