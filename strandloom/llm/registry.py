@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op9_language
 from .mixing import OP7_SQL, op7_mixing
+from .sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
+    "op8_sharding": op8_sharding,
     "op9_language": op9_language,
 }
 
