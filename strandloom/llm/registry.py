@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op9_language
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .sharding import op8_sharding
 
@@ -14,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
