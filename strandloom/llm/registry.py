@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op9_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
     "op7_mixing": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
