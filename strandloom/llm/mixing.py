@@ -23,7 +23,7 @@ WEIGHTS = (1, 2, 3)
 #: No source is repeated more than this often.
 MAX_REPEAT = 3
 #: doc_id modulo the number of slices splits a size class; a slice holds about so many rows of the table.
-SLICE_ROWS = 200_000
+SLICE_ROWS = 20_000
 #: Up to so many buckets (some 60 bytes each) their starts are broadcast, else joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
