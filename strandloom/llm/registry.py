@@ -10,12 +10,14 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op9_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP7_SQL, op7_mixing
+from .multi_index import op4_neighbours
 from .packing import op2_packing
 from .sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_neighbours": op4_neighbours,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
