@@ -11,10 +11,12 @@ from .language import op9_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .multi_index import op4_neighbours
+from .near_dedup import op1_near_dedup
 from .packing import op2_packing
 from .sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_neighbours": op4_neighbours,
