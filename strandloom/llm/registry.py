@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op9_language
+from .licenses import OP6_SQL, op6_licenses
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .multi_index import op4_neighbours
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_neighbours": op4_neighbours,
+    "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_licenses": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
