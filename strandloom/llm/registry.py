@@ -14,6 +14,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .multi_index import op4_neighbours
 from .near_dedup import op1_near_dedup
 from .packing import op2_packing
+from .personal_data import op5_personal_data
 from .sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_neighbours": op4_neighbours,
+    "op5_personal_data": op5_personal_data,
     "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
