@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,22 +37,47 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_own_scratch[0]}"
 
 
+#: Folders that materialize() has written, as long as recorded() listens.
+_listening: list[list[str]] = []
+
+
+def note(path: str) -> str:
+    """Tells those who listen of a folder in the shared folder."""
+    for paths in _listening:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders written to the shared folder meanwhile."""
+    paths: list[str] = []
+    _listening.append(paths)
+    try:
+        yield paths
+    finally:
+        _listening.remove(paths)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder once and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = note(f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "strandloom" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/strandloom" in folder:
+                remove(df.sparkSession, folder)
 
 
 def wrapped(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, scratch
+from .common import discard, documents, materialize, remove, scratch
 
 #: Up to so many hit digests (some 40 bytes each) are broadcast to select the texts to check, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -111,17 +111,21 @@ def among(docs: DataFrame, digests: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(digests) if few else digests, "digest", "left_semi")
 
 
-def deduplicate(docs: DataFrame, keep: list[str] | None = None, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, keep: list[str] | None = None, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, checkpoint: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) as (row, keep_id, group_size, kept, digest).
 
     Texts are equal if the same after each run of white space became one space; null counts as
     empty.  The row with the smallest doc_id stays, rows without one coming last; of repeated
-    rows with that doc_id exactly one stays.  An empty table gives an empty one.
+    rows with that doc_id exactly one stays.  An empty table gives an empty one.  The state
+    is dropped at the end unless ``checkpoint`` names a shared folder to keep it in.
     """
     columns = docs.columns if keep is None else keep
     spark = docs.sparkSession
     landed = land(docs, columns, digest)
-    states = materialize(stream_state(landed, f"{scratch(spark)}/exact-state-{uuid.uuid4().hex}", files_per_batch), "exact-states")
+    folder = checkpoint or f"{scratch(spark)}/exact-state-{uuid.uuid4().hex}"
+    states = materialize(stream_state(landed, folder, files_per_batch), "exact-states")
+    if not checkpoint:
+        remove(spark, folder)
 
     # full bytes of every hit
     texts = docs.select("doc_id", "text").select(normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
