@@ -1,5 +1,88 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: from raw documents to packed sequences of tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs.  All stages but the last return the columns of
+documents, whichever these are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandloom.llm import common, exact_dedup, language, mixing, near_dedup, packing
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables in the shared folder that the stage before wrote for itself.
+_left: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """Before a stage, drops what the one before left in the shared folder, unless docs still reads it."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {x.rpartition("/")[0].rpartition("strandloom/")[2] for x in docs.inputFiles()}
+        for path in [x for x in _left if x.rpartition("strandloom/")[2] not in read]:
+            common.remove(spark, path)
+            _left.remove(path)
+        with common.recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
+@stage
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: those whose text is null or has no letter."""
+    found = language.identify(docs)
+    return common.unwrapped(found.filter(found["lang_pred"] != language.UNKNOWN))
+
+
+@stage
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the row with the smallest doc_id stays."""
+    return common.unwrapped(exact_dedup.deduplicate(docs).filter("kept"))
+
+
+@stage
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the row with the smallest doc_id stays."""
+    return common.unwrapped(near_dedup.classes(docs).filter("kept"))
+
+
+@stage
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are left out or repeated, up to three times, to meet the sources' targets."""
+    return mixing.mixed_documents(docs)
+
+
+@stage
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a sequence; a repeated row is packed as often."""
+    return packing.pack(docs, keep=["doc_id"], crc=True).select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Language models, sketches and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder."""
+    docs = common.documents(spark, sf_dir)
+    for name, f in STAGES[:-1]:
+        docs = common.materialize(f(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
