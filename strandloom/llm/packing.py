@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from functools import cache
+from sys import byteorder
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ DIMENSIONS, BITS = 3, 10
 #: Documents sorted by one task, about.
 SORT_ROWS = 200_000
 #: Words remembered by a task with their ids, and texts tokenised at once in bytes.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 BATCH_BYTES = 4 << 20
 
 
@@ -44,12 +47,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo(dict):
+    """Ids of the parts of texts that were met lately, as little-endian unsigned 16-bit numbers.
+
+    A part is what stands between spaces and line feeds, in bytes, with A-Z in lower case.
+    Most parts are a word of Latin letters, maybe with a mark behind it; such a word is one
+    unit for the tokenizer's model, which is then asked directly.  All others are encoded in
+    the usual way.
+    """
+
+    #: Bytes as the characters by which byte-level vocabularies write them.
+    PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    #: Marks that never join with letters before them.
+    MARKS = frozenset(b".,;:!?")
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001
+        super().__init__()
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+        rest = iter(range(256, 512))
+        self.written = {b: chr(b) if b in self.PRINTED else chr(next(rest)) for b in range(256)}
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if len(part) > 1 and part[-1] in self.MARKS and self.is_word(part[:-1]):
+                ids = self[part[:-1]] + self[part[-1:]]
+            elif self.is_word(part):
+                ids = array("H", [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.written))]).tobytes()
+            else:
+                ids = array("H", self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+    @staticmethod
+    def is_word(part: bytes) -> bool:
+        """Only letters below U+0250 that lower case and NFC leave as they are."""
+        if part.isalpha():
+            return True
+        text = part.decode()
+        return text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text)
+
+    def trim(self) -> None:
+        """What was not met since the last time goes, once there is too much."""
+        if len(self) > MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 16-bit numbers.
+    """Token ids of whole texts.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    parts between spaces and line feeds.  Parts are remembered; new ones are encoded many at a
-    time, with a special token between them to tell their ids apart.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of
+    its parts, one after the other.  It has lower case only: A-Z may be lowered first.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,42 +106,32 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit into 16 bits")
-        specials = self.tokenizer.get_added_tokens_decoder()
-        self.special_texts = [t.content for t in specials.values()]
-        self.mark, self.mark_text = next(iter((i, t.content) for i, t in sorted(specials.items())))
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if not any(t in p for t in self.special_texts)]
-        for p in set(parts).difference(plain):
-            self.memo[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
-        rest = iter(plain)
-        while some := list(islice(rest, 2000)):
-            ids = np.array(self.tokenizer.encode(self.mark_text.join(some), add_special_tokens=False).ids, "<u2")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 2
-            held, start = ids.tobytes(), 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                self.memo[p] = held[start:end]
-                start = end + 2
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:  # what the last batches did not use goes
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        new = []
-        for p in set().union(*split):
-            if p not in memo:
-                if (known := old.get(p)) is not None:
-                    memo[p] = known
-                else:
-                    new.append(p)
-        self._learn(new)
-        end = np.array([SEPARATOR], "<u2").tobytes()
-        return [b"".join(map(memo.__getitem__, parts)) + end for parts in split]
+        if self.tokenizer.get_vocab_size() > 1 << 16 or byteorder != "little":
+            raise ValueError("ids must fit into 16 bits, on a little-endian machine")
+        if self.tokenizer.encode("A", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids:
+            raise ValueError("the tokenizer must be one of lower case")
+        self.memo = Memo(self.tokenizer)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = array("H", [SEPARATOR]).tobytes()
+
+    @classmethod
+    @cache
+    def of(cls, path: str) -> Encoder:
+        """One for each process."""
+        return cls(path)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Texts in UTF-8 as ids in 16-bit numbers, the separator behind each."""
+        self.memo.trim()
+        get, out = self.memo.__getitem__, []
+        for text in texts:
+            low = text.lower()
+            if any(x in low for x in self.special):
+                ids = array("H", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+            else:
+                ids = b"".join(map(get, low.replace(b"\n", b" ").split(b" ")))
+            out.append(ids + self.end)
+        return out
 
 
 def directions(vocabulary: int, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -136,7 +175,7 @@ def tokenised(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
     """(row, doc_id, rid, ids, doc_tokens, place) of docs, written to the shared folder; ids are 16-bit numbers."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         toward = directions(1 << 16)
         for whole in batches:
             size, start = 0, 0
@@ -153,7 +192,7 @@ def tokenised(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
                 start = end
                 if not len(batch):
                     continue
-                ids = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
+                ids = encoder.encode(batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
                 counts = np.array([len(x) // 2 for x in ids])
                 flat = np.frombuffer(b"".join(ids), "<u2")
                 starts = np.cumsum(counts) - counts
