@@ -4,28 +4,54 @@ A state is a contig entered at one of its ends; it leaves by the other end, and
 to the next state.  As an end has at most one join, states form chains and cycles, which come
 in pairs of the two directions.  Chains are ranked by pointer doubling: after k rounds a state
 knows the one 2 ** k before it, so the rounds grow with the logarithm of the longest chain.
+A graph small enough for one task is walked there instead, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, log2
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GAP, opposite
+from . import iterate
 from .iterate import settled
 
 
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranks the chains of a small graph one after the other."""
+    pred: dict[str, str | None] = {}
+    for batch in batches:
+        pred.update(zip(batch["state"], batch["pred"].where(batch["pred"].notna(), None), strict=True))
+    after = {p: s for s, p in pred.items() if p is not None}
+    out: list[tuple[str, str, int, bool]] = []
+    seen: set[str] = set()
+    heads = [s for s, p in pred.items() if p is None]
+    for cycle, firsts in ((False, heads), (True, sorted(pred))):  # what no head leads to are cycles, met at their smallest state
+        for head in firsts:
+            state, rank = head, 0
+            while state is not None and state not in seen:
+                seen.add(state)
+                out.append((state, head, rank, cycle))
+                state, rank = after.get(state), rank + 1
+    yield pd.DataFrame(out, columns=["state", "head", "rank", "is_cycle"]).astype({"rank": "int64", "is_cycle": "bool"})
+
+
 def ranked_chains(states: DataFrame) -> DataFrame:
     """states (state, pred; pred null at a head) as (state, head, rank, is_cycle); states sort by name.
 
     The head of a cycle is its smallest state, and ranks go on from there.
     """
     states = settled(states)
+    count = states.count()
+    if count <= iterate.SMALL_GRAPH:
+        return states.coalesce(1).mapInPandas(_walked, "state string, head string, rank long, is_cycle boolean")
     key = F.coalesce("pred", F.col("state"))
     now = settled(states.select("state", key.alias("to"), F.col("pred").isNotNull().cast("long").alias("steps"), F.least(F.col("state"), key).alias("least")))
-    rounds = ceil(log2(max(2, now.count()))) + 1
+    rounds = ceil(log2(max(2, count))) + 1
     heads = states.filter("pred is null").select(F.col("state").alias("to"))
     for _ in range(rounds):
         if not now.join(heads, "to", "left_anti").limit(1).count():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import zone, zone_borders
@@ -66,3 +66,29 @@ def zoomed(bins: DataFrame, factor: int) -> DataFrame:
     """Coarser bins from finer ones, without going back to the pairs."""
     coarse = lambda c: F.floor(F.col(c) / factor).alias(c)
     return bins.groupBy("s1", coarse("bin1"), "s2", coarse("bin2")).agg(F.sum("n").alias("n"))
+
+
+#: The longest axis of the map format, and the widths of its bins.
+AXIS, WIDTHS = 2_100_000_000, (2_500_000, 1_000_000, 500_000, 250_000, 100_000, 50_000, 25_000, 10_000, 5_000, 1_000)
+
+
+def axis(sizes: DataFrame) -> DataFrame:
+    """(scf, len, start) of scaffolds (scf, len) on one axis, the longest first; one short row a scaffold."""
+    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("len"), "scf").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("scf", "len", F.coalesce(F.sum("len").over(before), F.lit(0)).cast("long").alias("start"))
+
+
+def axis_scale(sizes: DataFrame) -> int:
+    """By how much positions are divided so that the axis fits; bin widths are divided by it too."""
+    return 1 + (sizes.agg(F.sum("len")).first()[0] or 0) // AXIS
+
+
+def on_axis(lifted: DataFrame, sizes: DataFrame, scale: int) -> DataFrame:
+    """(qname, strand1, x1, strand2, x2, q1, q2) of lifted pairs, the side of the smaller scaffold first."""
+    starts = axis(sizes)
+    side = lambda i: starts.select(F.col("scf").alias(f"s{i}"), F.col("start").alias(f"start{i}"))
+    x = lambda i: F.struct(F.col(f"s{i}").alias("s"), F.floor((F.col(f"p{i}") + F.col(f"start{i}")) / scale).alias("x"), F.when(F.col(f"r{i}"), 1).otherwise(0).alias("strand"), F.col(f"q{i}").alias("q"))
+    joined = lifted.join(side(1), "s1").join(side(2), "s2")
+    turned = F.col("s1") > F.col("s2")
+    sides = joined.select("qname", F.when(turned, x(2)).otherwise(x(1)).alias("a"), F.when(turned, x(1)).otherwise(x(2)).alias("b"))
+    return sides.select("qname", F.col("a.strand").alias("strand1"), F.col("a.x").alias("x1"), F.col("b.strand").alias("strand2"), F.col("b.x").alias("x2"), F.col("a.q").alias("q1"), F.col("b.q").alias("q2"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import iterate
 from .candidates import swapped
 from .chains import ranked_chains
 from .iterate import settled
@@ -21,14 +24,36 @@ def _heaviest(w: str = "w"):  # noqa: ANN202
     return F.struct((-F.col(w)).alias("w"), "a", "b")
 
 
+def _kruskal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forest of a small graph, by edges in order."""
+    edges = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": [], "w": []})])
+    ordered = edges.assign(less=-edges["w"]).sort_values(["less", "a", "b"])
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = up[x]
+        return x
+
+    kept = []
+    for a, b in zip(ordered["a"], ordered["b"], strict=True):
+        x, y = root(a), root(b)
+        up[x] = y
+        kept.append(x != y)
+    yield ordered[["a", "b", "w"]][kept]
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Edges (a, b, w), a < b, of the maximum spanning forest.
 
     Each round every tree takes its heaviest edge out, and the trees so joined become one:
     trees halve at least, so rounds grow with the logarithm of the nodes.  With ties broken by
-    name the forest is unique.
+    name the forest is unique, and a graph small enough for one task is sorted there instead.
     """
     edges = settled(edges.filter("a < b").groupBy("a", "b").agg(F.max("w").alias("w")))
+    if edges.count() <= iterate.SMALL_GRAPH:
+        return edges.coalesce(1).mapInPandas(_kruskal, edges.schema)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     tree = settled(nodes.withColumn("tree", F.col("node")))
     chosen = None

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Graphs of up to so many edges or states (some 100 bytes each) are walked by one task; larger ones in rounds over the cluster.
+SMALL_GRAPH = 200_000
+
 _own: list[str] = []
 
 

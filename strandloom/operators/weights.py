@@ -90,3 +90,9 @@ def end_normalised(links: DataFrame) -> DataFrame:
     """links with w: the count divided by the size of the other end's zone; 0 for an empty zone."""
     w = F.when(F.col("zone2") != 0, F.col("weight") / F.col("zone2").cast("double")).otherwise(0.0)
     return links.withColumn("w", w)
+
+
+def per_zone_pair(links: DataFrame) -> DataFrame:
+    """links with w: hits for each 100,000 pairs of positions of the two zones, for looking at."""
+    area = F.col("zone1").cast("double") * F.col("zone2").cast("double")
+    return links.withColumn("w", F.coalesce(F.try_divide(F.col("weight") * 1e5, area), F.lit(0.0)))

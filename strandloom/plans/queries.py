@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reverse_complement
@@ -441,8 +441,26 @@ def chrom_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT scf, len, coalesce(sum(len) OVER (ORDER BY len DESC, scf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT scf, sum(len)::BIGINT AS len FROM element GROUP BY scf)")
 def cumulative_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("len"), "scf").rowsBetween(Window.unboundedPreceding, -1)
-    return chrom_sizes(spark, sf_dir).select("scf", "len", F.coalesce(F.sum("len").over(before), F.lit(0)).alias("start"))
+    return contacts.axis(chrom_sizes(spark, sf_dir))
+
+
+@query("""SELECT qname, CASE WHEN (CASE WHEN s1 > s2 THEN r2 ELSE r1 END) THEN 1 ELSE 0 END AS strand1, ((CASE WHEN s1 > s2 THEN p2 + b.start ELSE p1 + a.start END) // 1)::BIGINT AS x1,
+  CASE WHEN (CASE WHEN s1 > s2 THEN r1 ELSE r2 END) THEN 1 ELSE 0 END AS strand2, ((CASE WHEN s1 > s2 THEN p1 + a.start ELSE p2 + b.start END) // 1)::BIGINT AS x2
+  FROM lifted JOIN axis_ a ON a.scf = s1 JOIN axis_ b ON b.scf = s2""",
+  axis_="SELECT scf, coalesce(sum(len) OVER (ORDER BY len DESC, scf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT scf, sum(len)::BIGINT AS len FROM element GROUP BY scf)")
+def pairs_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = chrom_sizes(spark, sf_dir)
+    return contacts.on_axis(views.lifted(spark, sf_dir), sizes, contacts.axis_scale(sizes)).drop("q1", "q2")
+
+
+@query("SELECT ctg1, end1, ctg2, end2, weight * 1e5 / (zone1::DOUBLE * zone2::DOUBLE) AS w FROM link")
+def links_per_zone_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.per_zone_pair(views.links(spark, sf_dir)).select(*ENDS, "w")
+
+
+@query("SELECT bc, count(*) AS n FROM bc_hit GROUP BY bc")
+def barcode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.barcode_hits(spark, sf_dir).groupBy("bc").agg(F.count(F.lit(1)).alias("n"))
 
 
 BINS = "SELECT a.s AS s1, a.b AS bin1, c.s AS s2, c.b AS bin2, count(*) AS n FROM (SELECT least({{'s': s1, 'b': p1 // {0}}}, {{'s': s2, 'b': p2 // {0}}}) AS a, greatest({{'s': s1, 'b': p1 // {0}}}, {{'s': s2, 'b': p2 // {0}}}) AS c FROM lifted) GROUP BY ALL"

@@ -12,7 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import breaks, candidates, chains, contacts, coverage, forest, matching, pairs, sequences, weights
+from ..functions.expressions import lift
+from ..operators import breaks, candidates, chains, contacts, coverage, forest, matching, molecules, pairs, sequences, weights
 from ..operators.iterate import settled
 from ..sources.sat import ScaffoldGraph
 
@@ -145,9 +146,30 @@ def break_misjoins(accepted: DataFrame, contigs: DataFrame, graph: ScaffoldGraph
     lifted, placed = placed_pairs(accepted, contigs, graph)
     scaffolds = placed.filter("is_tail").select("scf", (F.col("off") + F.col("len")).alias("len"))
     spans = pairs.adjacent_spans(lifted).select("scf", F.col("pos1").alias("s"), F.col("pos2").alias("e"))
+    return _cut(spans, placed, scaffolds, graph, options.break_ratio)
+
+
+def break_by_molecules(hits: DataFrame, contigs: DataFrame, graph: ScaffoldGraph, ratio: float = 0.2, **molecule_options: int) -> Broken:
+    """The same by molecules of linked reads: hits (bc, scf: tid of a contig, pos, mapq), contigs (tid, name)."""
+    placed = settled(current_placement(graph).join(contigs.select("name", "tid"), "name"))
+    scaffolds = placed.filter("is_tail").select("scf", (F.col("off") + F.col("len")).alias("len"))
+    at = placed.select("tid", F.col("scf").alias("on"), "fwd", "off", "len")
+    lifted = hits.join(at, F.col("scf") == F.col("tid")).select("bc", F.col("on").alias("scf"), lift(F.col("pos"), F.col("off"), F.col("fwd"), F.col("len")).alias("pos"), "mapq")
+    spans = molecules.merged_starts(molecules.molecules(lifted, **molecule_options))
+    return _cut(spans, placed, scaffolds, graph, ratio)
+
+
+def joins_by_barcodes(links: DataFrame, k: int = 1, level: float = 0.95) -> DataFrame:
+    """Joins of a link matrix of shared barcodes: normalised by zone, mutual, and clearly the best at both ends."""
+    ranking = weights.ranked(weights.end_normalised(links))
+    mutual = candidates.mutual(weights.top(weights.significant(ranking, level), k))
+    return matching.unique_best(mutual.select("ctg1", "end1", "ctg2", "end2", "w"))
+
+
+def _cut(spans: DataFrame, placed: DataFrame, scaffolds: DataFrame, graph: ScaffoldGraph, ratio: float) -> Broken:
     intervals = settled(coverage.coverage(spans, scaffolds))
     stats = settled(coverage.region_stats(intervals, breaks.regions(placed)))
-    calls = settled(breaks.break_calls(stats, options.break_ratio))
+    calls = settled(breaks.break_calls(stats, ratio))
 
     before = Window.partitionBy("scf").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.join(calls.select("scf", "ord", F.lit(1).alias("cut")), ["scf", "ord"], "left")

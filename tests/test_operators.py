@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions.expressions import reverse_complement, zone, zone_borders
-from strandloom.operators import breaks, candidates, chains, contacts, coverage, forest, matching, metrics, molecules, pairs, sequences, weights
+from strandloom.operators import breaks, candidates, chains, contacts, coverage, forest, iterate, matching, metrics, molecules, pairs, sequences, weights
 
 EDGE = "ctg1 string, end1 string, ctg2 string, end2 string, w double"
 
@@ -105,20 +105,20 @@ def walked(df):
     return out
 
 
-def test_paths(spark):
+def test_paths(spark, any_size):
     found = chains.scaffold_elements(joins(spark, ("b", "-", "a", "-"), ("b", "+", "c", "+")), contigs_of(spark, "abcd", circ="d"))
     assert walked(found) == {("a", False): ["a+", "b-", "c+"], ("d", True): ["d+"]}
     assert rows(chains.paths_of(found), "head", "n", "len") == [("a", 3, 700), ("d", 1, 100)]
 
 
-def test_circles(spark):
+def test_circles(spark, any_size):
     found = chains.scaffold_elements(joins(spark, ("b", "-", "a", "-"), ("b", "+", "c", "+"), ("c", "-", "a", "+")), contigs_of(spark, "abc"))
     assert walked(found) == {("a", True): ["a+", "b-", "c+"]}
     turned = chains.scaffold_elements(joins(spark, ("z", "-", "y", "-"), ("z", "+", "y", "+")), contigs_of(spark, "yz"))
     assert walked(turned) == {("y", True): ["y+", "z-"]}
 
 
-def test_random_paths_hold_every_contig_once(spark):
+def test_random_paths_hold_every_contig_once(spark, any_size):
     rng = random.Random(3)
     names = [f"c{i:02d}" for i in range(40)]
     free = [(n, e) for n in names for e in "+-"]
@@ -154,6 +154,13 @@ def test_names_pass_over_taken_ones(spark):
     assert rows(chains.named_paths(paths, taken), "head", "name") == [("a", "u000000001"), ("b", "c000000003")]
 
 
+@pytest.fixture(params=["one task", "rounds"])
+def any_size(request, monkeypatch):
+    """Small graphs are walked by one task, others in rounds: both must give the same."""
+    if request.param == "rounds":
+        monkeypatch.setattr(iterate, "SMALL_GRAPH", 0)
+
+
 def _kruskal(edges):
     up = {}
 
@@ -173,14 +180,14 @@ def _kruskal(edges):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_spanning_forest(spark, seed):
+def test_spanning_forest(spark, any_size, seed):
     rng = random.Random(seed)
     edges = {(a, b): float(rng.randint(1, 5)) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.3}
     given = [(f"n{a:02d}", f"n{b:02d}", w) for (a, b), w in edges.items()]
     assert rows(forest.spanning_forest(spark.createDataFrame(given, "a string, b string, w double")), "a", "b", "w") == _kruskal(given)
 
 
-def test_contig_forest_finds_the_best_directions(spark):
+def test_contig_forest_finds_the_best_directions(spark, any_size):
     cell = "ctg1 string, ctg2 string, mm double, mp double, pm double, pp double, best double"
     one = [("a", "b", 0.0, 9.0, 0.0, 1.0, 9.0), ("b", "c", 0.0, 0.0, 8.0, 3.0, 8.0)]  # a+ b+ gives 9, then b+ c: nothing; a+ b- gives nothing
     two = [(b, a, mm, pm, mp, pp, best) for a, b, mm, mp, pm, pp, best in one]
@@ -239,3 +246,31 @@ def test_molecules(spark):
     found = molecules.molecules(hits, max_span=20_000, min_barcode=1, min_members=2, min_length=1000, min_mean_mapq=20)
     assert rows(found, "bc", "scf", "s", "e", "n", "mean_mapq") == [("b", "s", 100, 2000, 3, 30)]
     assert molecules.molecules(hits, min_barcode=6, min_members=1).count() == 0
+
+
+def test_one_axis(spark):
+    sizes = spark.createDataFrame([("a", 5), ("b", 9)], "scf string, len long")
+    assert rows(contacts.axis(sizes), "scf", "start") == [("a", 9), ("b", 0)]
+    assert contacts.axis_scale(sizes) == 1 and contacts.axis_scale(sizes.withColumn("len", F.lit(2_000_000_000))) == 2
+    lifted = spark.createDataFrame([("q", "b", 3, True, 1, 30, "a", 2, False, 1, 40)], "qname string, s1 string, p1 long, r1 boolean, ord1 int, q1 int, s2 string, p2 long, r2 boolean, ord2 int, q2 int")
+    assert rows(contacts.on_axis(lifted, sizes, 2), "x1", "strand1", "q1", "x2", "strand2", "q2") == [(5, 0, 40, 1, 1, 30)]
+
+
+def test_linked_reads(spark):
+    """Molecules that cross a gap keep a path whole; where none does it is cut."""
+    from dataclasses import replace
+
+    from strandloom.plans import scaffolding
+
+    contigs = spark.createDataFrame([(1, "a", 5000), (2, "b", 5000), (3, "c", 5000)], "tid int, name string, len long")
+    graph = scaffolding.first_graph(contigs)
+    elems = [("u000000000", 15_400, False, [("a", True), ("b", True), ("c", True)])]
+    paths = spark.createDataFrame(elems, "name string, len long, is_circ boolean, elems array<struct<name: string, fwd: boolean>>")
+    graph = scaffolding.with_assembly(replace(graph, paths=paths), paths.select("name"))
+    hits = [(f"m{i}", 1, p, 40) for i in range(10) for p in (2000, 3000, 4000)] + [(f"m{i}", 2, p, 40) for i in range(10) for p in (500, 1500)] + [(f"n{i}", 3, p, 40) for i in range(10) for p in (500, 1500, 2500)]
+    found = scaffolding.break_by_molecules(spark.createDataFrame(hits, "bc string, scf int, pos long, mapq int"), contigs, graph, min_barcode=1, min_members=1, min_length=100, min_mean_mapq=5)
+    assert rows(found.calls, "scf", "ord") == [("u000000000", 2)]
+    assert rows(found.graph.current_sizes(), "len") == [(5000,), (10_200,)]
+    links = spark.createDataFrame([("a", "-", "b", "+", 50.0, 100, 100, 50), ("b", "+", "a", "-", 50.0, 100, 100, 50)], "ctg1 string, end1 string, ctg2 string, end2 string, weight double, zone2 long, zone1 long, n long")
+    assert rows(scaffolding.joins_by_barcodes(links), "ctg1", "ctg2", "w") == [("a", "b", 0.5), ("b", "a", 0.5)]
+    assert rows(weights.per_zone_pair(links), "w") == [(500.0,), (500.0,)]
