@@ -191,12 +191,32 @@ def _mutual_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.mutual_contigs(weights.top(weights.ranked_contigs(_cells(spark, sf_dir)), TOP))
 
 
-@query()
+#: An edge is in the forest if its ends are not connected by edges before it in the order of weight and names.
+NUMBERED = "SELECT a, b, w, row_number() OVER (ORDER BY w DESC, a, b) AS k FROM ({})"
+REACH = """
+  SELECT k, a AS node FROM numbered
+  UNION
+  SELECT reach.k, CASE WHEN n.a = node THEN n.b ELSE n.a END FROM reach JOIN numbered n ON n.k < reach.k AND (n.a = node OR n.b = node)"""
+FOREST = "SELECT a, b, w FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = n.k AND r.node = n.b)"
+
+
+@query("SELECT a, b, w FROM forest", numbered=NUMBERED.format("SELECT least(ctg1, ctg2) AS a, greatest(ctg1, ctg2) AS b, max(best) AS w FROM mutual_cell GROUP BY ALL"), reach=REACH, forest=FOREST)
 def max_spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.spanning_forest(_mutual_cells(spark, sf_dir).select(F.least("ctg1", "ctg2").alias("a"), F.greatest("ctg1", "ctg2").alias("b"), F.col("best").alias("w")))
 
 
-@query()
+ENDS_AND_INSIDES = """
+  SELECT least(ctg1 || end1, ctg2 || end2) AS a, greatest(ctg1 || end1, ctg2 || end2) AS b, max(w) AS w FROM mutual GROUP BY ALL
+  UNION ALL SELECT ctg1 || '+', ctg1 || '-', 'inf'::DOUBLE FROM (SELECT DISTINCT ctg1 FROM mutual)"""
+BRANCHES = "SELECT node FROM (SELECT a AS node FROM forest UNION ALL SELECT b FROM forest) GROUP BY node HAVING count(*) > 2"
+KEPT = "SELECT * FROM forest WHERE a NOT IN (FROM branch) AND b NOT IN (FROM branch) AND w < 'inf'::DOUBLE"
+
+
+@query(
+    """SELECT left(a, length(a) - 1) AS ctg1, right(a, 1) AS end1, left(b, length(b) - 1) AS ctg2, right(b, 1) AS end2, w * 1000000 AS w FROM kept
+  UNION ALL SELECT left(b, length(b) - 1), right(b, 1), left(a, length(a) - 1), right(a, 1), w * 1000000 FROM kept""",
+    numbered=NUMBERED.format(ENDS_AND_INSIDES), reach=REACH, forest=FOREST, branch=BRANCHES, kept=KEPT,
+)
 def end_forest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.end_forest(_mutual(spark, sf_dir).select(*ENDS, "w"))
 
