@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,19 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def carried(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
+    """(row, more..., text): text only where row does not have it, as ``text_of`` finds it in both."""
+    columns = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *more]
+    return docs.select(*columns) if "text" in keep else docs.select(*columns, "text")
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of carried() rows, null as empty."""
+    names = batch.schema.names
+    column = batch.column(names.index("text")) if "text" in names else batch.column(names.index("row")).field("text")
+    return column.fill_null("")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
