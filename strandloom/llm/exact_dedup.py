@@ -86,7 +86,7 @@ def stream_state(landed: DataFrame, checkpoint: str, files_per_batch: int | None
     """
     spark = landed.sparkSession
     folders = sorted({f.rpartition("/")[0] for f in landed.inputFiles()})
-    if not folders:
+    if not folders or not landed.limit(1).count():
         return folded(landed)
     out = f"{checkpoint}/changes"
     with settings(spark, STATE):

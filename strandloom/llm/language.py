@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import carried, documents, text_of
 
 #: The longest context, in bytes; every text begins after so many line feeds.
 ORDER = 3
@@ -103,8 +103,10 @@ class ContextTrees:
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         width = self.width = len(seen) + 1
 
-        # the grams of each length, as strings of symbols in a number to base 256
-        lengths = [np.unique(every & ((1 << 8 * k) - 1)) for k in range(1, ORDER + 2)]
+        # the grams of each length as numbers to base 256: ends of longer ones, and the contexts of these
+        lengths = [every]
+        for k in range(ORDER, 0, -1):
+            lengths.insert(0, np.unique(np.concatenate([lengths[0] & ((1 << 8 * k) - 1), lengths[0] >> 8])))
         lower = np.full((256, len(langs)), 1 / 256)  # probability of each gram of the length before, in each language
         lower_keys = np.arange(256)
         self.cost: list[np.ndarray] = []
@@ -206,15 +208,16 @@ def identify(docs: DataFrame, keep: list[str] | None = None, train_docs: int = T
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
-            row, text, letters, held = batch.columns
+            row, letters, held = batch.columns[:3]
             known = letters.to_numpy(zero_copy_only=False).astype(bool) & (trees is not None)
             lang, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
             if known.any():
-                best, share = trees.best(*_bytes_of(text))
+                best, share = trees.best(*_bytes_of(text_of(batch)))
                 lang[known], score[known] = np.array(trees.langs, object)[best[known]], share[known]
             yield pa.RecordBatch.from_arrays([row, held, pa.array(lang, pa.string()), pa.array(score)], ["row", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"), held_out(F.col("doc_id")).alias("held_out"))
+    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    rows = carried(docs, columns, letters.alias("letters"), held_out(F.col("doc_id")).alias("held_out"))
     schema = rows.select("row", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(scored, schema)
 

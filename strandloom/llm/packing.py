@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import carried, documents, materialize, text_of
 
 SEQUENCE = 2048
 #: Ends every document.
@@ -179,7 +179,8 @@ def tokenised(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
         toward = directions(1 << 16)
         for whole in batches:
             size, start = 0, 0
-            text = whole.column(whole.num_columns - 1)
+            text = text_of(whole)
+            kept = [whole.schema.names.index(c) for c in ("row", "doc_id", "rid")]
             lengths = pa.compute.binary_length(text).to_pylist()
             ends = []
             for i, n in enumerate(lengths):
@@ -192,16 +193,16 @@ def tokenised(docs: DataFrame, keep: list[str], path: str) -> DataFrame:
                 start = end
                 if not len(batch):
                     continue
-                ids = encoder.encode(batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
+                ids = encoder.encode(text_of(batch).cast(pa.binary()).to_pylist())
                 counts = np.array([len(x) // 2 for x in ids])
                 flat = np.frombuffer(b"".join(ids), "<u2")
                 starts = np.cumsum(counts) - counts
                 means = np.add.reduceat(toward[flat], starts, axis=0, dtype=np.float64) / counts[:, None]
                 place = hilbert(cells(means, counts))
-                columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids", "doc_tokens", "place"])
+                columns = [*[batch.column(i) for i in kept], pa.array(ids, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "rid", "ids", "doc_tokens", "place"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "doc_id", F.monotonically_increasing_id().alias("rid"), text_or_empty().alias("text"))
+    rows = carried(docs, keep, F.col("doc_id"), F.monotonically_increasing_id().alias("rid"))
     schema = rows.drop("text").schema.add("ids", "binary").add("doc_tokens", "long").add("place", "long")
     return materialize(rows.mapInArrow(encoded, schema), "packing-tokens")
 
