@@ -129,7 +129,7 @@ def cells_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir)
 
 
-@query(f"SELECT ctg1, end1, ctg2, end2, w, rank FROM ranked WHERE rank <= {TOP}")
+@query(f"SELECT ctg1, end1, ctg2, end2, w, rank::INT AS rank FROM ranked WHERE rank <= {TOP}")
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.top(_ranked(spark, sf_dir), TOP).select(*ENDS, "w", "rank")
 
@@ -274,7 +274,7 @@ FLAT = """
   SELECT root, list_append(key, CASE WHEN flat.fwd THEN n.ord ELSE -n.ord END::BIGINT), n.name, flat.fwd = n.fwd FROM flat JOIN nested n ON n.path = flat.name"""
 
 
-@query("SELECT root, row_number() OVER (PARTITION BY root ORDER BY key) AS ord, name, fwd FROM flat WHERE name NOT IN (SELECT path FROM nested)", nested=NESTED, flat=FLAT)
+@query("SELECT root, (row_number() OVER (PARTITION BY root ORDER BY key))::INT AS ord, name, fwd FROM flat WHERE name NOT IN (SELECT path FROM nested)", nested=NESTED, flat=FLAT)
 def path_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = views.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"))
     of = F.concat(F.lit("r"), F.col("r").cast("string")).alias("name")
@@ -286,7 +286,7 @@ def path_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.flattened(inner.unionByName(west).unionByName(world).unionByName(first), roots)
 
 
-@query("SELECT scf, ord, tid, fwd, off, len, is_head, is_tail FROM placed")
+@query("SELECT scf, ord::INT AS ord, tid, fwd, off, len, is_head, is_tail FROM placed")
 def placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.placement(spark, sf_dir).select("scf", "ord", "tid", "fwd", "off", "len", "is_head", "is_tail")
 
@@ -313,7 +313,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.region_stats(views.covered(spark, sf_dir), breaks.regions(views.placement(spark, sf_dir)))
 
 
-@query("SELECT scf, region, rs, re, max_cov, round(mean_cov, 6) AS mean_cov, round(sd_cov, 6) AS sd_cov FROM stat")
+@query("SELECT scf, region::INT AS region, rs, re, max_cov, round(mean_cov, 6) AS mean_cov, round(sd_cov, 6) AS sd_cov FROM stat")
 def region_coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _stats(spark, sf_dir)
     return found.withColumn("mean_cov", F.round("mean_cov", 6)).withColumn("sd_cov", F.round("sd_cov", 6))

@@ -201,7 +201,7 @@ CTES |= {
   SELECT user_id AS bc, event_type AS scf, floor(epoch(ts))::BIGINT AS pos, floor(value)::INT AS mapq FROM events""",
     "molecule": """
   SELECT bc, scf, s, e, n, mean_mapq FROM (
-    SELECT bc, scf, session, min(pos) AS s, max(pos) AS e, count(*) AS n, sum(mapq) // count(*) AS mean_mapq FROM (
+    SELECT bc, scf, session, min(pos) AS s, max(pos) AS e, count(*) AS n, (sum(mapq) // count(*))::BIGINT AS mean_mapq FROM (
       SELECT *, sum(begins) OVER (PARTITION BY bc, scf ORDER BY pos, mapq ROWS UNBOUNDED PRECEDING) AS session FROM (
         SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY bc, scf ORDER BY pos, mapq) <= 43200 THEN 0 ELSE 1 END AS begins
         FROM bc_hit WHERE bc IN (SELECT bc FROM bc_hit GROUP BY bc HAVING count(*) > 3 AND count(*) < 1000000)))
