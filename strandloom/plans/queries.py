@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reverse_complement
 from ..operators import breaks, candidates, chains, contacts, coverage, forest, matching, metrics, molecules, pairs, sequences, weights
-from . import views
+from ..operators.iterate import shared_folder
+from ..sources import agp, fasta, sat, text
+from . import scaffolding, views
 from .views import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -499,7 +503,55 @@ def pair_bins_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT scf, string_agg((CASE WHEN fwd THEN '' ELSE '-' END) || number, ' ' ORDER BY number) AS members FROM (
   SELECT *, row_number() OVER (ORDER BY scf, ord) AS number FROM element) GROUP BY scf""")
 def agp_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources import agp
-
     placed = views.placement(spark, sf_dir).withColumn("scf", F.col("scf"))
     return agp.assembly_lines(agp.rows(placed)).select(F.col("object").cast("int").alias("scf"), "members")
+
+
+# files: written to the shared folder and read back
+
+
+def _written(spark: SparkSession, write: Callable[[str], None]) -> str:
+    path = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+def _region_graph(spark: SparkSession, sf_dir: str) -> sat.ScaffoldGraph:
+    """Regions as paths of nations, in one assembly."""
+    placed = views.placement(spark, sf_dir)
+    graph = scaffolding.first_graph(views.contigs(spark, sf_dir))
+    elems = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "fwd"))), lambda x: F.struct(x["name"].alias("name"), x["fwd"].alias("fwd")))
+    paths = placed.groupBy("scf").agg(F.max(F.col("off") + F.col("len")).alias("len"), elems.alias("elems"))
+    paths = paths.select(F.format_string("u%09d", F.col("scf")).alias("name"), "len", F.lit(False).alias("is_circ"), "elems")
+    return scaffolding.with_assembly(replace(graph, paths=paths), paths.select("name"))
+
+
+@query("SELECT 'u' || lpad(scf::VARCHAR, 9, '0') AS path, ord::INT AS ord, name, fwd, p.len, s.len AS path_len FROM placed p JOIN scaffold s USING (scf)")
+def sat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = sat.read_sat(spark, _written(spark, lambda path: sat.write_sat(_region_graph(spark, sf_dir), path)))
+    sizes = graph.current_sizes().select(F.col("name").alias("path"), F.col("len").alias("path_len"))
+    return graph.elements().join(sizes, "path").join(graph.sequences.select("name", "len"), "name").select("path", "ord", "name", "fwd", "len", "path_len")
+
+
+@query(f"SELECT {CELLS.format('weight')} FROM link")
+def links_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.read_links(spark, _written(spark, lambda path: text.write_links(views.links(spark, sf_dir), path)))
+
+
+@query("SELECT (row_number() OVER (ORDER BY tid) - 1)::INT AS tid, name, len FROM contig")
+def fai_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.contigs(spark, sf_dir).select(F.concat_ws("\t", "name", F.col("len").cast("string"), F.col("tid").cast("string"), F.lit("60"), F.lit("61")).alias("value"))
+    found = text.read_fai(spark, _written(spark, lambda path: lines.write.text(path)))
+    return text.contigs(found).select("tid", "name", "len")
+
+
+@query("SELECT row_number() OVER (ORDER BY scf, ord) AS number, scf::VARCHAR AS object, name AS comp, len, CASE WHEN fwd THEN '+' ELSE '-' END AS orient FROM element")
+def agp_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = agp.agp_lines(views.placement(spark, sf_dir))
+    return agp.read_agp(spark, _written(spark, lambda path: lines.orderBy("scf", "part").select("value").coalesce(1).write.text(path)))
+
+
+@query("SELECT name, length(seq)::BIGINT AS len, md5(seq) AS digest FROM sequence_ WHERE seq <> ''", sequence_=SEQUENCE)
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fasta.read_fasta(spark, _written(spark, lambda path: fasta.write_fasta(_sequences(spark, sf_dir), path)))
+    return found.select("name", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))
