@@ -90,8 +90,20 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+#: Rows of an Arrow batch where whole texts go through Python: a worker holds a batch or two at a time.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch, for memory; it is read when a plan runs, so it stays lowered."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def carried(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
     """(row, more..., text): text only where row does not have it, as ``text_of`` finds it in both."""
+    bound_batches(docs.sparkSession)
     columns = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *more]
     return docs.select(*columns) if "text" in keep else docs.select(*columns, "text")
 
