@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .weights import CELLS
 
 
+def in_both_directions(edges: DataFrame, first: list[str], second: list[str]) -> DataFrame:
+    """Edges whose reverse is there too.  Both directions of a pair meet in one window, without a join."""
+    a, b = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(first)]), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(second)])
+    marked = edges.withColumns({"low_": F.least(a, b), "high_": F.greatest(a, b), "up_": a < b})
+    pair = Window.partitionBy("low_", "high_")
+    kept = marked.withColumn("both_", F.min("up_").over(pair) != F.max("up_").over(pair)).filter("both_")
+    return kept.drop("low_", "high_", "up_", "both_")
+
+
 def mutual(candidates: DataFrame) -> DataFrame:
     """Candidates (ctg1, end1, ctg2, end2, ...) whose other end has this end among its own; never a contig with itself."""
-    back = candidates.select(F.col("ctg2").alias("ctg1"), F.col("end2").alias("end1"), F.col("ctg1").alias("ctg2"), F.col("end1").alias("end2"))
-    return candidates.filter("ctg1 <> ctg2").join(back, ["ctg1", "end1", "ctg2", "end2"], "left_semi")
+    return in_both_directions(candidates.filter("ctg1 <> ctg2"), ["ctg1", "end1"], ["ctg2", "end2"])
 
 
 def mutual_contigs(candidates: DataFrame) -> DataFrame:
     """The same by contig only."""
-    back = candidates.select(F.col("ctg2").alias("ctg1"), F.col("ctg1").alias("ctg2"))
-    return candidates.filter("ctg1 <> ctg2").join(back, ["ctg1", "ctg2"], "left_semi")
+    return in_both_directions(candidates.filter("ctg1 <> ctg2"), ["ctg1"], ["ctg2"])
 
 
 def orientation(cell_rows: DataFrame) -> DataFrame:

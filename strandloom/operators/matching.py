@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clearly_more
+from .candidates import in_both_directions
 
 
 def unique_best(edges: DataFrame, level: float | None = None) -> DataFrame:
@@ -21,5 +22,4 @@ def unique_best(edges: DataFrame, level: float | None = None) -> DataFrame:
     if level is not None:
         only = only & (F.col("second").isNull() | clearly_more(F.col("w"), F.col("second"), level))
     best = first.filter(only).select("ctg1", "end1", "ctg2", "end2", "w")
-    back = best.select(F.col("ctg2").alias("ctg1"), F.col("end2").alias("end1"), F.col("ctg1").alias("ctg2"), F.col("end1").alias("end2"))
-    return best.join(back, ["ctg1", "end1", "ctg2", "end2"], "left_semi")
+    return in_both_directions(best, ["ctg1", "end1"], ["ctg2", "end2"])

@@ -37,15 +37,20 @@ def templates(alignments: DataFrame) -> DataFrame:
     """One row for each run: counts of records and of five-prime records of either read, and the latter themselves."""
     five = F.col("mapped") & F.col("five")
     first, second = F.col("is_r1"), ~F.col("is_r1")
-    read = F.struct("tid", "pos", "rev", "mapq")
+    fields = ["tid", "pos", "rev", "mapq"]
+    # where a read has just one five-prime record, the maxima of its fields are that record
+    maxima = [F.max(F.when(of & five, F.col(c))).alias(f"{c}{i}") for i, of in ((1, first), (2, second)) for c in fields]
+    read = lambda i: F.struct(*[F.col(f"{c}{i}").alias(c) for c in fields]).alias(f"read{i}")
+    counts = ["rd1", "rd2", "rd1_5", "rd2_5"]
     return (
         with_runs(alignments)
         .groupBy("file_id", "qname", "run")
         .agg(
             F.count_if(first).alias("rd1"), F.count_if(second).alias("rd2"),
             F.count_if(first & five).alias("rd1_5"), F.count_if(second & five).alias("rd2_5"),
-            F.max(F.when(first & five, read)).alias("read1"), F.max(F.when(second & five, read)).alias("read2"),
+            *maxima,
         )
+        .select("file_id", "qname", "run", *counts, read(1), read(2))
     )
 
 

@@ -31,12 +31,13 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("tid"))
     joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(contigs(spark, sf_dir).select("tid", "len"), "tid")
     scattered = (F.col("l_partkey") * 7907 + F.col("l_suppkey") * 104_729 + F.col("l_linenumber") * 1_299_709 + F.col("l_orderkey") * 31) % F.col("len")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return joined.select(
-        F.lit(0).alias("file_id"), F.row_number().over(order).alias("rec_no"), F.col("l_orderkey").alias("qname"),
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    named = joined.select(
+        F.lit(0).alias("file_id"), F.col("l_orderkey").alias("qname"),
         (F.col("l_linenumber") % 2 == 1).alias("is_r1"), F.lit(True).alias("mapped"), (F.col("l_linestatus") == "O").alias("five"),
-        "tid", (scattered + 1).alias("pos"), F.col("l_quantity").cast("int").alias("mapq"), (F.col("l_returnflag") == "R").alias("rev"),
+        "tid", (scattered + 1).alias("pos"), F.col("l_quantity").cast("int").alias("mapq"), (F.col("l_returnflag") == "R").alias("rev"), *order,
     )
+    return named.withColumn("rec_no", F.row_number().over(Window.partitionBy("qname").orderBy(*order))).drop(*order)
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
