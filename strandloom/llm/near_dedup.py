@@ -5,11 +5,12 @@ with how often it occurred before.  A sketch takes the two labelled shingles of
 and keeps them in the order of the text, so it agrees for two documents if these share much of
 their text in the same order.  Thirty sketches are taken.
 
-Documents that agree in a sketch meet in a bucket.  In each bucket every document is compared
-with the bucket's first and last ones, and likewise within the parts of the bucket that also
-agree in the next sketch, or in length: pairs grow with the documents, not with their square.  A pair is
-a link if its words align within a band of a fifth of the longer text, that is, with an edit
-similarity of 0.8 or more.  Linked documents form classes.
+Documents that agree in a sketch meet in a bucket.  A pair is a link if its words align within
+a band of a fifth of the longer text, that is, with an edit similarity of 0.8 or more.  Linked
+documents form classes.  Every two documents that meet are aligned, or are known to be of one class, or
+have lengths or words that rule a link out.  Three rounds see to it: first every document of a bucket
+is compared with the bucket's first and last ones; then, where a bucket still holds several classes, with
+the document that is in most of such buckets; at last all pairs of different classes of a bucket, in blocks.
 
 Of texts that are the same, only one goes through all this.
 """
@@ -35,6 +36,10 @@ SIMILARITY = 0.8
 SLICE_BYTES = 1 << 21
 #: Up to so many documents to align (some 60 bytes each) are broadcast to select their texts, else joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Words of a text are counted by hash in so many bins, of a byte each.
+BINS = 256
+#: Documents of a bucket and a size class that are compared with each other at once.
+BLOCK = 2048
 #: Alignments of more edits than this are carried on by hashing.
 FEW_EDITS = 128
 
@@ -123,9 +128,10 @@ def sketches(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, doc_id, rid, digest, text) with n_words and sketch instead of the text."""
+    """Rows (row, doc_id, rid, digest, text) with n_words, sketch and bag (words by bin, 255 at most) instead of the text."""
     for batch in batches:
         data, offsets = _bytes_of(text_of(batch))
+        bags = np.zeros((len(batch), BINS), np.uint8)
         n_words, rows = np.zeros(len(batch), np.int64), np.full((len(batch), SKETCHES), 0, np.int64)
         start = 0
         while start < len(batch):
@@ -136,14 +142,19 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spaced[np.arange(len(shift)) + shift] = data[offsets[start] : offsets[end]]
             words, places = word_hashes(spaced)
             limits = np.cumsum(lengths + 1)
-            counts = np.bincount(np.searchsorted(limits, places, "right"), minlength=len(lengths))
+            of = np.searchsorted(limits, places, "right")
+            counts = np.bincount(of, minlength=len(lengths))
             n_words[start:end] = counts
+            in_bins = np.bincount(of * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=len(lengths) * BINS)
+            bags[start:end] = np.minimum(in_bins, 255).reshape(-1, BINS)
             full = np.flatnonzero(counts)
             if len(full):
                 rows[start + full] = sketches(words, counts[full])
             start = end
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * SKETCHES), pa.array(rows.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_words), sketch], [*batch.schema.names[:4], "n_words", "sketch"])
+        at = pa.py_buffer(np.arange(len(batch) + 1, dtype=np.int32) * np.int32(BINS))
+        bag = pa.Array.from_buffers(pa.binary(), len(batch), [None, at, pa.py_buffer(bags)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_words), sketch, bag], [*batch.schema.names[:4], "n_words", "sketch", "bag"])
 
 
 def _extension(a: np.ndarray, b: np.ndarray):  # noqa: ANN202
@@ -237,38 +248,139 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """firsts (rid, doc_id, n_words, sketch) as pairs (a, b), a < b, each once.
+def size_class() -> Column:
+    """Texts of which one has a fifth more words than the other are at most one class apart."""
+    return F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / SIMILARITY)))).cast("long")
 
-    In a bucket, and in its parts, every document is paired with the first and with the last by
-    doc_id, which do not depend on how rows were dealt.
-    """
+
+def buckets(firsts: DataFrame) -> DataFrame:
+    """firsts (rid, doc_id, n_words, sketch) as a row for each bucket of two or more that they are in."""
     j = F.expr("posexplode(sketch) as (j, key)")
-    rows = firsts.filter("n_words > 0").select("rid", "doc_id", "n_words", "sketch", j)
-    following = F.element_at("sketch", (F.col("j") + 1) % SKETCHES + 1)
-    size_class = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / SIMILARITY)))).cast("long")
-    rows = rows.select("rid", "doc_id", "j", "key", following.alias("following"), size_class.alias("size_class"), "n_words")
+    rows = firsts.filter("n_words > 0").select("rid", "doc_id", j, size_class().alias("size_class"), "n_words")
     one = F.struct("doc_id", "rid", "n_words")
-    hubs = [F.min(one).alias("low"), F.max(one).alias("high")]
-    shared = rows.groupBy("j", "key").agg(*hubs, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = materialize(rows.join(shared, ["j", "key"]), "near-buckets")
-    parts = [met]
-    for finer in ("following", "size_class"):
-        keys = ["j", "key", finer]
-        parts.append(met.drop("low", "high").join(met.groupBy(*keys).agg(*hubs), keys))
-    found = None
-    for part in parts:
-        pair = part.select("rid", "n_words", F.explode(F.array("low", "high")).alias("hub")).filter(F.col("rid") != F.col("hub.rid"))
-        found = pair if found is None else found.unionByName(pair)
+    shared = rows.groupBy("j", "key").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return materialize(rows.join(shared, ["j", "key"]), "near-buckets")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """The first round's pairs (a, b), a < b, each once, of what buckets() gives.
+
+    In a bucket every document is paired with the first and with the last by doc_id, which do not
+    depend on how rows were dealt.
+    """
+    found = met.select("rid", "n_words", F.explode(F.array("low", "high")).alias("hub")).filter(F.col("rid") != F.col("hub.rid"))
     longer = F.greatest("n_words", "hub.n_words")  # each word of difference in length is an edit
     near = longer - F.least("n_words", "hub.n_words") <= F.floor(longer * (1 - SIMILARITY) + 1e-9)
     return found.filter(near).select(F.least("rid", "hub.rid").alias("a"), F.greatest("rid", "hub.rid").alias("b")).distinct()
 
 
+def _crossed(hubs: bool):  # noqa: ANN202
+    """Groups of rows of remaining(), in their order, as pairs of different classes whose lengths and words allow a link."""
+    keys = ["j", "key", "home", "low", "high"]
+
+    def group(x: dict[str, np.ndarray], bags: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        n, root, own, part = x["n_words"], x["root"], x["size_class"] == x["home"], x["part"]
+        need = n - np.floor(n * (1 - SIMILARITY) + 1e-9).astype(np.int64)  # words in common, if n is the longer one
+        ends, whole = np.searchsorted(need, n, "right"), x["low"][0] == x["high"][0]
+        lost = n - bags.sum(1, dtype=np.int64)  # beyond 255 in a bin
+        hub = int(np.lexsort((x["rid"], x["degree"]))[-1])
+        for i in [hub] if hubs else np.flatnonzero(own):
+            others = np.arange(0 if hubs else i + 1, ends[i])
+            fits = (root[others] != root[i]) & (own[others] | own[i])
+            if hubs:
+                fits &= need[i] <= n[others]
+            elif not whole:
+                fits &= part[others] != part[i]
+            others = others[fits]
+            if len(others):
+                common = np.minimum(bags[others], bags[i]).sum(1, dtype=np.int64) + np.minimum(lost[others], lost[i])
+                others = others[common >= np.maximum(need[others], need[i])]
+            if len(others):
+                yield i, others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            x = {c: rows[c].to_numpy() for c in rows.column_names if c != "bag"}
+            bags = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+            turns = np.zeros(len(bags), bool)
+            for c in keys:
+                turns[1:] |= x[c][1:] != x[c][:-1]
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            limits = [0, *np.flatnonzero(turns).tolist(), len(bags)]
+            for start, end in zip(limits, limits[1:], strict=False):
+                rid = x["rid"][start:end]
+                if (x["root"][start:end] == x["root"][start]).all():
+                    continue
+                for i, others in group({c: v[start:end] for c, v in x.items()}, bags[start:end]):
+                    a.append(np.minimum(rid[i], rid[others]))
+                    b.append(np.maximum(rid[i], rid[others]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        held = None  # the last group, which may go on
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            same = np.ones(len(rows), bool)
+            for c in keys:
+                values = rows[c].to_numpy()
+                same &= values == values[-1:]
+            begin = int(same.argmax()) if len(rows) else 0
+            if begin:
+                yield pairs(rows.slice(0, begin))
+            held = rows.slice(begin)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return run
+
+
+def remaining(met: DataFrame, firsts: DataFrame, label: DataFrame, pairs: DataFrame, hubs: bool) -> DataFrame:
+    """Pairs (a, b), a < b, each once, that meet in a bucket, differ in label (rid, root), may be links and are not among pairs.
+
+    A link's lengths differ by a fifth at most, and as much of the longer text's words, counted in
+    bins, are in both: other pairs are left out.  Of each group only the document that is in
+    most open buckets is paired with the others if ``hubs``, else every two are.
+    """
+    rows = met.select("j", "key", "rid", "n_words", "size_class").join(label, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    mixed = rows.groupBy("j", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("j", "key")
+    rows = materialize(rows.join(mixed, ["j", "key"]), "near-open")
+    degree = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
+    carried_on = materialize(degree.join(firsts.select("rid", "bag"), "rid"), "near-bags")
+    # a group: the documents of a size class, which are paired with each other and with those of the next one
+    both = rows.withColumn("home", F.explode(F.array("size_class", F.col("size_class") - 1)))
+    keys = ["j", "key", "home"]
+    counts = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("size_class") == F.col("home")).alias("begun"), F.min("root").alias("least"), F.max("root").alias("most"))
+    counts = counts.filter("begun and least <> most").select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    both = both.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = both.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(carried_on, "rid")
+    columns = ["j", "key", "home", "low", "high", "n_words", "rid", "root", "size_class", "part", "degree", "bag"]
+    dealt = both.select(*columns).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
+    found = dealt.mapInArrow(_crossed(hubs), "a long, b long").distinct()
+    found = materialize(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    discard(rows, carried_on)
+    return found
+
+
 def identifier() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
 
 
+def aligned(docs: DataFrame, digest: Column, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b) among pairs (a, b) of firsts, whose texts are those of docs."""
+    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+    needed = materialize(firsts.join(ends, "rid", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("of_id"), "rid"), "near-needed")
+    few = needed.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", text_or_empty().alias("text"), digest.alias("digest"))
+    texts = texts.join(F.broadcast(needed) if few else needed, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("rid", "text").dropDuplicates(["rid"])
+    texts = materialize(texts, "near-texts")
+    sided = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("left")), "a")
+    links = sided.select("a", "b", "left", "right").mapInPandas(_aligned, "a long, b long, similarity double")
+    links = materialize(links, "near-links")
+    discard(texts, needed)
+    return links.select("a", "b")
+
+
 def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) as (row, class_id, class_size, kept).
 
@@ -280,24 +392,27 @@ def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     columns = docs.columns if keep is None else keep
     digest = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
     rows = carried(docs, columns, F.col("doc_id"), F.monotonically_increasing_id().alias("rid"), digest.alias("digest"))
-    schema = rows.drop("text").schema.add("n_words", "long").add("sketch", T.ArrayType(T.LongType()))
+    schema = rows.drop("text").schema.add("n_words", "long").add("sketch", T.ArrayType(T.LongType())).add("bag", "binary")
     sketched = materialize(rows.mapInArrow(_sketched, schema), "near-sketches")
-    first = F.min_by(F.struct("doc_id", "rid", "n_words", "sketch"), identifier())
+    first = F.min_by(F.struct("doc_id", "rid", "n_words", "sketch", "bag"), identifier())
     firsts = materialize(sketched.groupBy("digest").agg(first.alias("first")).select("digest", "first.*"), "near-firsts")
 
-    pairs = materialize(candidates(firsts), "near-pairs")
-    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    needed = materialize(firsts.join(ends, "rid", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("of_id"), "rid"), "near-needed")
-    few = needed.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", text_or_empty().alias("text"), digest.alias("digest"))
-    texts = texts.join(F.broadcast(needed) if few else needed, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("rid", "text").dropDuplicates(["rid"])
-    texts = materialize(texts, "near-texts")
-    sided = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("left")), "a")
-    links = sided.select("a", "b", "left", "right").mapInPandas(_aligned, "a long, b long, similarity double")
-    links = materialize(links, "near-links")
-    discard(pairs, texts, needed)
-
-    label = components(links.select("a", "b")).select(F.col("a").alias("rid"), F.col("b").alias("root"))
+    met = buckets(firsts)
+    pairs = materialize(candidates(met), "near-pairs")
+    links = aligned(docs, digest, firsts, pairs)
+    edges = components(links)
+    for hubs in (True, False):
+        discard(links)
+        label = edges.select(F.col("a").alias("rid"), F.col("b").alias("root"))
+        more = remaining(met, firsts, label, pairs, hubs)
+        links = aligned(docs, digest, firsts, more)
+        if links.limit(1).count():
+            before, edges = edges, components(edges.union(links))
+            discard(before)
+        pairs = pairs.union(more)
+    discard(pairs, met, links)
+
+    label = edges.select(F.col("a").alias("rid"), F.col("b").alias("root"))
     member = firsts.select("digest", "rid").join(label, "rid", "left").select("digest", F.coalesce("root", "rid").alias("root"))
     slim = sketched.select("doc_id", "rid", "digest").join(member, "digest")
     best = slim.groupBy("root").agg(F.min(identifier()).alias("best"), F.count(F.lit(1)).alias("class_size"))

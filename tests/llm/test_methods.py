@@ -84,6 +84,49 @@ def test_near_copies_are_found_and_others_left(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 16])
+def test_large_families_are_classes_of_all_that_meet(spark, monkeypatch, block):
+    """Copies like their original but not like each other, whose buckets end in other copies; and texts with a passage in common."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    rows, passage = [], [word() for _ in range(80)]
+    for family in range(2):
+        text = [word() for _ in range(100)]
+        rows.append((5000 * family + 2500, " ".join(text), "en", "s"))
+        for i in range(1000 if not family else 150):
+            copy, edits = list(text), int(rng.integers(11, 20))
+            for at in rng.choice(len(text), edits, replace=False):
+                copy[at] = word()
+            rows.append((5000 * family + int(i < 500) * 2600 + i, " ".join(copy), "en", "s"))
+    rows += [(20_000 + i, " ".join(passage + [word() for _ in range(int(rng.integers(15, 40)))]), "en", "s") for i in range(60)]
+
+    words = [near_dedup.word_hashes(np.frombuffer(r[1].encode(), np.uint8))[0] for r in rows]
+    marks = near_dedup.sketches(np.concatenate(words), np.array([len(w) for w in words]))
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    met = set()
+    for column in marks.T:
+        order = np.argsort(column, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(column[order])) + 1):
+            met |= {(min(a, b), max(a, b)) for i, a in enumerate(group.tolist()) for b in group[i + 1 :].tolist()}
+    for a, b in sorted(met):
+        if find(a) != find(b) and near_dedup.edit_distance(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) is not None:
+            up[find(a)] = find(b)
+    least = defaultdict(lambda: 1 << 60)
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least[find(i)], r[0])
+    found = {r["row"]["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert found == {r[0]: least[find(i)] for i, r in enumerate(rows)}
+    assert max(Counter(found.values()).values()) > 850
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + i) for i in range(1, 50)]
