@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,17 +178,21 @@ class ContextTrees:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
     """Fits the trees to about train_docs documents of each language, never to held-out ones.
 
-    Only text and lang are learned from; the bound is train_docs, whole texts of the documents
-    with the smallest hashes of doc_id.  None if there is no labelled document.
+    Only text and lang are learned from, and whole texts.  Of a language with more documents those
+    are taken whose hash of doc_id and text is small enough for a share of train_docs; rows that are the same
+    in both are taken together or not at all, and if that leaves no document, all of the language
+    are.  None if there is no labelled document.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, train_docs / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]
-    counted = labelled.filter(drawn | (F.lit(train_docs) >= F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("lang")])).select("text", "lang")
-    table = counted.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]
+    grams = lambda rows: rows.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = grams(labelled.filter(drawn | (F.lit(train_docs) >= F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("lang")])))
+    if none := sorted(set(sizes) - set(table["lang"])):
+        table = pd.concat([table, grams(labelled.filter(F.col("lang").isin(none)))])
     langs = sorted(table["lang"].unique())
     if not langs:
         return None

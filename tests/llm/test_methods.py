@@ -464,3 +464,11 @@ def test_exact_digest(spark):
 
     found = exact_dedup.deduplicate(frame(spark, rows)).collect()
     assert {bytes(r["digest"]) for r in found} == {hashlib.sha256(b"a b c").digest()}
+
+
+def test_repeated_ids_do_not_lose_a_language(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{prose(rng, 'en', 12)} {k}", f"l{i}", "s") for i in range(8) for k in range(60)] + [(9, "the same", "same", "s")] * 60 + [(None, f"none {k}", "none", "s") for k in range(60)]
+    held = {r["id"] for r in spark.range(10).filter(language.held_out(F.col("id"))).collect()}
+    rows = [r for r in rows if r[0] not in held]
+    assert language.train(frame(spark, rows), 6).langs == sorted({r[2] for r in rows})
