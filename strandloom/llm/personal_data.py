@@ -35,12 +35,12 @@ BASE = {
 MORE = {
     "local_phone": ("phone", r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
     "spelt_email": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z]{2,}(?![A-Za-z0-9])"),
-    "assigned_secret": ("secret", r"(?<![A-Za-z])(?:password|passwd|secret|token|api[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\x22']?[A-Za-z0-9_/+-]{8,200}[\x22']?"),
+    "assigned_secret": ("secret", r"(?<![A-Za-z])(?:password|passwd|secret|token|api[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\x22']?[A-Za-z0-9_/+-]{8,}+[\x22']?"),
     "key_secret": ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
 }
 KINDS = ["email", "ip", "card", "phone", "secret"]
-#: A pattern is tried where the text has this.
-HINTS = {"email": "@", "phone": "+", "spelt_email": "at", "assigned_secret": None, "key_secret": "AKIA"}
+#: A pattern is tried where the text has this ("": everywhere), and one without a hint where it has a digit.
+HINTS = {"email": "@", "phone": "+", "spelt_email": "at", "assigned_secret": "", "key_secret": "AKIA"}
 CONTEXT = 24
 
 #: Gazetteers and cue words.
@@ -84,7 +84,7 @@ def located(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     arrays = []
     for name, pattern in patterns.items():
         hint = HINTS.get(name)
-        there = F.contains("text", F.lit(hint)) if hint else has_digit
+        there = F.contains("text", F.lit(hint)) if hint is not None else has_digit
         slim = slim.withColumn(f"g_{name}", F.when(there, F.split("text", pattern, -1))).withColumn(f"h_{name}", F.when(there, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
         # what stands between the hits is kept as its length and its ends only
         gaps = F.transform(f"g_{name}", lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))

@@ -472,3 +472,10 @@ def test_repeated_ids_do_not_lose_a_language(spark):
     held = {r["id"] for r in spark.range(10).filter(language.held_out(F.col("id"))).collect()}
     rows = [r for r in rows if r[0] not in held]
     assert language.train(frame(spark, rows), 6).langs == sorted({r[2] for r in rows})
+
+
+def test_assigned_secrets_need_no_digit_and_are_whole(spark):
+    rows = [(0, "the password: correcthorse, as said", "en", "s"), (1, "token=" + "Ab1" * 200 + " end", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s")]
+    docs, spans = personal_data.located(frame(spark, rows), ["doc_id"])
+    hits = {(r["row"]["doc_id"], r["hit"]) for r in spans.filter("name = 'assigned_secret'").join(docs, "rid").collect()}
+    assert hits == {(0, "password: correcthorse"), (1, "token=" + "Ab1" * 200)}
