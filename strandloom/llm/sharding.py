@@ -5,10 +5,11 @@ starts with one partial partition for each group (its bytes in one shard, nothin
 others), and again and again takes the two partial partitions of the largest spread and joins
 them in opposite order, the heaviest shard of one with the lightest of the other.
 
-The groups are dealt to buckets by their digest, each bucket is differenced by a task of its
-own, and the partial partitions that remain, one small row for each bucket, are differenced in
-the same way.  Joining is the same operation at both levels, so this is the method with
-another order of joins; a bucket's spread is at most about its largest group's size.
+The groups are dealt to buckets by their digest and each bucket is differenced by a task of its
+own.  The partial partitions that remain, one for each bucket, are dealt to buckets again, and so
+on until one is left: a tree, of which each level is some thousands of times smaller than the
+one below.  Joining is the same operation at all levels, so this is the method with another
+order of joins; a bucket's spread is at most about its largest group's size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, text_or_empty
 
 SHARDS = 8
-#: A bucket has about so many groups; the buckets' partial partitions (some 150 bytes each) meet on the driver.
+#: A bucket has about so many groups, or so many partial partitions of the level below.
 BUCKET_GROUPS = 20_000
 #: Rows of a shard are numbered in so many independent runs at least.
 SLICE_ROWS = 200_000
@@ -75,6 +76,20 @@ def difference(partitions: Sequence[Sequence[int]]) -> list[list[int]]:
     return out
 
 
+def merged(sums: DataFrame, buckets: int, shards: int = SHARDS) -> DataFrame:
+    """Partial partitions (bucket, part, weight; parts of no weight may be missing) with the bucket and part above: (..., upper, upper_part)."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        names, of = np.unique(rows["bucket"].to_numpy(np.int64), return_inverse=True)
+        weights = np.zeros((len(names), shards), np.int64)
+        weights[of, rows["part"].to_numpy()] = rows["weight"].to_numpy(np.int64)
+        to = np.array(difference(weights.tolist()), np.int32)
+        return pd.DataFrame({"bucket": rows["bucket"], "part": rows["part"], "weight": rows["weight"], "upper": rows["upper"], "upper_part": to[of, rows["part"].to_numpy()]})
+
+    dealt = sums.withColumn("upper", F.pmod(F.xxhash64("bucket"), F.lit(buckets)))
+    return dealt.groupBy("upper").applyInPandas(one, "bucket long, part int, weight long, upper long, upper_part int")
+
+
 def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = SHARDS) -> DataFrame:
     """docs (doc_id, text, ...) as (row, size, text_crc32, shard, slot); the law is bytes.
 
@@ -105,14 +120,15 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = SHARDS)
 
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
     parts = materialize(dealt.groupBy("bucket").applyInPandas(differenced, "bucket long, digest binary, part int, part_weight long"), "sharding-parts")
-    sums: dict[int, list[int]] = {}
-    for r in parts.groupBy("bucket", "part").agg(F.max("part_weight").alias("w")).collect():
-        sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["w"]
-    order = sorted(sums)
-    final = difference([sums[b] for b in order])
-    moves = [(b, p, final[i][p]) for i, b in enumerate(order) for p in range(shards)]
-    moved = docs.sparkSession.createDataFrame(moves, "b long, p int, shard int")  # buckets x shards rows
-    where = parts.join(moved, (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))).select("digest", "shard")
+    where = parts.select("digest", "bucket", "part")
+    sums = parts.groupBy("bucket", "part").agg(F.max("part_weight").alias("weight"))
+    while buckets > 1:
+        buckets = -(-buckets // BUCKET_GROUPS)
+        joined = materialize(merged(sums, buckets, shards), "sharding-level")
+        moves = joined.select(F.col("bucket").alias("b"), F.col("part").alias("p"), "upper", "upper_part")
+        where = where.join(moves, (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))).select("digest", F.col("upper").alias("bucket"), F.col("upper_part").alias("part"))
+        sums = joined.groupBy(F.col("upper").alias("bucket"), F.col("upper_part").alias("part")).agg(F.sum("weight").alias("weight"))
+    where = where.select("digest", F.col("part").alias("shard"))
 
     placed = slim.join(where, "digest").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
