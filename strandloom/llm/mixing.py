@@ -8,7 +8,7 @@ stretch of the running sum meets documents of like size and the words taken come
 target.
 
 The running sum needs no sort of a whole source: rows are ranked inside fine buckets
-(source, size class, slice of doc_id), and the counts of the buckets are summed up.  A source
+(source, size class, slice by a hash of doc_id), and the counts of the buckets are summed up.  A source
 that holds a third of all rows is spread over as many buckets as its rows need.
 """
 
@@ -22,7 +22,7 @@ from .common import documents, materialize, unwrapped
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more than this often.
 MAX_REPEAT = 3
-#: doc_id modulo the number of slices splits a size class; a slice holds about so many rows of the table.
+#: A hash of doc_id (where there is none, of the text) splits a size class in slices; a slice holds about so many rows of the table.
 SLICE_ROWS = 20_000
 #: Up to so many buckets (some 60 bytes each) their starts are broadcast, else joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = 0) -> DataFr
     classed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "source", "doc_id", size.alias("size"),
         F.length(F.bin(size)).alias("class"),
-        F.coalesce(F.pmod("doc_id", F.lit(slices)), F.lit(0)).cast("long").alias("slice"),
+        (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % slices).alias("slice"),
         F.xxhash64("text").alias("tie"),
     )
     bucket = ["source", "class", "slice"]
@@ -118,7 +118,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         coalesce(doc_id % (SELECT greatest(1, ceil(count(*) / {SLICE_ROWS}.0))::BIGINT FROM documents), 0) AS slice
+         ('0x' || left(md5(coalesce(doc_id::VARCHAR, text, '')), 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {SLICE_ROWS}.0))::BIGINT FROM documents) AS slice
   FROM documents),
 per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size,
