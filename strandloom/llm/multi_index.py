@@ -3,7 +3,10 @@
 Vectors are cut in two halves and each half is quantised by a small codebook of its own; the
 pairs of centroids are the cells of the index, which thus has the square of the codebook's
 size.  A query scores the centroids of both halves, walks the pairs from the best summed score
-down with a heap, until the cells walked hold enough entries, and reranks these exactly.
+down with a heap, until the cells walked hold enough entries, and reranks these exactly.  How
+many are enough is learned from the vectors: of queries drawn from the sample the true neighbours
+are looked up, and the share of entries is taken within which the walk meets as many of them as
+wanted.  Vectors in clusters need a small share, shapeless ones a large one.
 
 The codebooks are fitted to a bounded sample; every vector is indexed.  Entries are dealt to
 chunks of bounded size by their first centroid: small neighbours share one, large ones are
@@ -28,10 +31,10 @@ NEIGHBOURS = 20
 TRAIN_VECTORS = 20_000
 #: Centroids of each half, at most.
 CENTROIDS = 256
-#: A query walks cells until they hold this share of all entries, or so many if that is more.
-WALKED_SHARE, WALKED = 0.35, 2_000
+#: The share of true neighbours that the walk is to meet, and how many queries of the sample tell how far it goes for that.
+RECALL, TRIAL_QUERIES = 0.95, 256
 #: Vectors of a chunk, and queries that meet them in one task.
-CHUNK, QUERY_PART = 8_192, 4_096
+CHUNK, QUERY_PART = 8_192, 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -84,6 +87,29 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int)
     return out
 
 
+def share_for(recall: float, sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, trials: int = TRIAL_QUERIES) -> float:
+    """The share of entries that walks have to reach for so much recall of the k nearest, measured within the sample.
+
+    The neighbours of a query in the whole table are nearer than those in a sample, and are met
+    sooner, so a larger table does no worse with this share.
+    """
+    half = books[0].shape[1]
+    cell = nearest(sample[:, :half], books[0]) * len(books[1]) + nearest(sample[:, half:], books[1])
+    sizes = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
+    needed = []
+    for i in np.random.default_rng(41).permutation(len(sample))[:trials]:
+        q = sample[i]
+        score = sample @ q
+        score[i] = -np.inf
+        true = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
+        order = np.argsort(-(books[0] @ q[:half])[:, None] - (books[1] @ q[half:])[None, :], axis=None, kind="stable")
+        before = np.empty(len(order))
+        before[order] = np.cumsum(sizes[order])  # entries met when a cell is done
+        needed.append(before[cell[true]])
+    found = np.concatenate(needed) if needed else np.zeros(0)
+    return float(np.quantile(found, recall, method="higher")) / len(sample) if len(found) else 1.0
+
+
 def chunks_of(sizes: np.ndarray, most: int = CHUNK) -> tuple[list[int], list[int]]:
     """For each first centroid its first chunk and their number: small ones share a chunk, large ones get several."""
     begin, number, chunk, held = [], [], -1, most
@@ -114,9 +140,11 @@ def best(query: np.ndarray, entries: np.ndarray, ids: np.ndarray, own: int, k: i
     return ids[at][order], score[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, walked_share: float = WALKED_SHARE, walked: int = WALKED) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL, walked_share: float | None = None) -> DataFrame:
     """vectors (vec_id, embedding) and queries (vec_id, embedding) as (query_id, rank, vec_id, score).
 
+    A query walks until it has met the share of all entries that ``recall`` asks for, or ``walked_share`` if that is given.
+
     Nearness is the inner product in double precision.  Rows without vec_id and vectors that
     are null, zero or not finite take no part, nor do those of another length than most.  A row
     with the query's own vec_id is no neighbour of it; other repeated rows each are.  Of no
@@ -150,7 +178,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, walked_s
         sizes[r["first"], r["second"]] = r["count"]
     begin, number = chunks_of(sizes.sum(1))
     parts = max(1, -(-asked.count() // QUERY_PART))
-    wanted = max(walked, k + 1, int(walked_share * total))
+    share = walked_share if walked_share is not None else share_for(recall, sample, books, k)
+    wanted = max(k + 1, int(np.ceil(share * total)))
     plan = spark.sparkContext.broadcast(sizes)
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,10 +188,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, walked_s
             for own, q in zip(batch["vec_id"], batch["v"], strict=True):
                 taken = walk(shared.value[0] @ q[:half], shared.value[1] @ q[half:], plan.value, wanted)
                 visits = {c for i in np.flatnonzero(taken).tolist() for c in range(begin[i], begin[i] + number[i])}
-                rows.append((own, q, taken, sorted(visits)))
+                rows.append((own, q, taken.astype("<u2").tobytes(), sorted(visits)))
             yield pd.DataFrame(rows, columns=["query_id", "q", "taken", "visits"])
 
-    asks = asked.mapInPandas(probes, "query_id long, q array<double>, taken array<int>, visits array<int>")
+    asks = asked.mapInPandas(probes, "query_id long, q array<double>, taken binary, visits array<int>")
     asks = asks.select("query_id", "q", "taken", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"), F.explode("visits").alias("chunk"))
     lists = [F.array(*[F.lit(x) for x in xs]) for xs in (begin, number)]
     salted = F.get(lists[0], "first") + F.pmod(F.xxhash64("vec_id", "row"), F.get(lists[1], "first")).cast("int")
@@ -176,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, walked_s
             place = np.zeros(len(shared.value[1]), np.int32)
             for own, q, taken in zip(asking["query_id"], asking["q"], asking["taken"], strict=True):
                 place[np.argsort(-(shared.value[1] @ q[half:]), kind="stable")] = np.arange(len(place))
-                at = np.flatnonzero(place[second] < taken[first])
+                at = np.flatnonzero(place[second] < np.frombuffer(taken, "<u2")[first])
                 found, score = best(q, v[at], ids[at], own, k)
                 out.append((np.full(len(found), own), found, score))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
