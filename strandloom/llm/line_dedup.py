@@ -1,20 +1,19 @@
 """Reversible line deduplication: cuckoo filters over exact reference counts.
 
-The exact table has one row for each line key and document that holds it, with a count of
-references.  Insertions add rows, deletions add the same rows with a negative count, so the
-table is an append-only log whose sums are the references that are left.  From it follow, for
-each key, the number of documents and the largest doc_id, whatever was inserted and deleted
+The log has one row for each line key and document that holds it, with a count of references.
+Insertions add rows, deletions add the same rows with a negative count, so the log is
+append-only and its sums are the references that are left, whatever was inserted and deleted
 before.
 
-Keys held by many documents are what a clean-up has to look for, and they are few against all
-lines.  They are kept in cuckoo filters, one for each shard of the key space, which take
-insertions and deletions as keys cross the threshold.  Documents are probed against the
-filters first; only lines that may be frequent go on to the exact table, which decides.
+Most keys stand in one document only.  Keys with enough references to matter are kept, by
+their hashes, in cuckoo filters, one for each shard of the key space, which take insertions
+and deletions as keys cross the threshold.  The log is dealt to the shards and probed there,
+each row beside its own shard's filter; what passes, and nothing else, goes on to the exact
+reference-count table, which has the full keys and decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -27,9 +26,10 @@ from .common import documents, materialize, text_or_empty
 
 MIN_LENGTH = 40
 MIN_DOCUMENTS = 5
-SHARD_KEYS = 20_000
-#: Filters up to so many bytes are broadcast; beyond it lines meet the exact table without them.
-BROADCAST_BYTES = 64 << 20
+#: A shard has about so many keys in its filter; of its rows in the log, so many are probed by one task.
+SHARD_KEYS, PROBE_ROWS = 20_000, 50_000
+#: Up to so many large shards (some 16 bytes each) are broadcast to the log's rows, else joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 class CuckooFilter:
@@ -147,38 +147,48 @@ class LineIndex:
         """Takes documents out again: docs with the texts that they were inserted with."""
         return LineIndex(self.log.unionByName(materialize(self._rows(docs, -1), "line-log")))
 
+    def repeated(self, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+        """(short): hashes of keys with so many references or more, among them all keys in so many documents."""
+        counted = self.log.groupBy(F.xxhash64("key").alias("short")).agg(F.sum("refs").alias("refs"))
+        return counted.filter(F.col("refs") >= min_documents).select("short")
+
     def frequent(self, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-        """(key, documents, last): keys in so many documents, and the largest doc_id that holds them."""
+        """The exact table: (key, documents, last): keys in so many documents, and the largest doc_id that holds them."""
         held = self.log.groupBy("key", "doc_id").agg(F.sum("refs").alias("refs")).filter("refs > 0")
         counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("last"))
         return counted.filter(F.col("documents") >= min_documents)
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast where they are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 class Filters:
-    """Cuckoo filters over the frequent keys: a table (shard, keys, filter) and the number of shards."""
+    """Cuckoo filters over hashes of keys: a table (shard, keys, filter) and the number of shards."""
 
     def __init__(self, table: DataFrame, shards: int) -> None:
         self.table, self.shards = table, shards
 
-    @staticmethod
-    def _shorts(frequent: DataFrame, shards: int) -> DataFrame:
-        short = F.xxhash64("key")
-        return frequent.select(F.pmod(short, F.lit(shards)).alias("shard"), short.alias("short")).distinct()
+    def _sharded(self, shorts: DataFrame) -> DataFrame:
+        return shorts.select(F.pmod("short", F.lit(self.shards)).alias("shard"), "short")
 
     @classmethod
-    def of(cls, frequent: DataFrame) -> Filters:
-        shards = max(1, -(-frequent.count() // SHARD_KEYS))
+    def of(cls, shorts: DataFrame) -> Filters:
+        """From distinct hashes (short)."""
+        new = cls(shorts, max(1, -(-shorts.count() // SHARD_KEYS)))
 
         def built(part: pd.DataFrame) -> pd.DataFrame:
             made = CuckooFilter.of(part["short"].to_numpy(np.int64))
             return pd.DataFrame({"shard": part["shard"].iloc[:1], "keys": [len(part)], "filter": [made.table.tobytes()]})
 
-        made = cls._shorts(frequent, shards).groupBy("shard").applyInPandas(built, "shard long, keys long, filter binary")
-        return cls(materialize(made, "line-filters"), shards)
+        made = new._sharded(shorts).groupBy("shard").applyInPandas(built, "shard long, keys long, filter binary")
+        new.table = materialize(made, "line-filters")
+        return new
 
     def refresh(self, before: DataFrame, after: DataFrame) -> Filters:
-        """After changes of the log: keys that became frequent are inserted, keys that no longer are get deleted."""
-        old, new = self._shorts(before, self.shards), self._shorts(after, self.shards)
+        """After changes of the log: hashes (short) that came to be repeated are inserted, those that no longer are get deleted."""
+        old, new = self._sharded(before), self._sharded(after)
         both = ["shard", "short"]
         entering = new.join(old, both, "left_anti").withColumn("enters", F.lit(True))
         leaving = old.join(new, both, "left_anti").withColumn("enters", F.lit(False))
@@ -198,48 +208,52 @@ class Filters:
         return Filters.of(after) if made.filter("keys < 0").limit(1).count() else Filters(made, self.shards)
 
     def candidates(self, log: DataFrame) -> DataFrame:
-        """The rows of a log whose key may be frequent: all that are, and one in some thousands of the others.
+        """The rows of a log whose key is in the filters: all that are, and one in some thousands of the others.
 
-        The filters are broadcast while their summed size is under BROADCAST_BYTES; beyond it
-        the rows go on unfiltered, and the exact table decides alone.
+        Rows go to their shard, those of a large shard (one key may hold a third of all rows) to several
+        copies of its filter, dealt by document.
         """
-        size = self.table.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        if size > BROADCAST_BYTES:
-            return log
-        held = {r["shard"]: r["filter"] for r in self.table.select("shard", "filter").collect()}
-        shared, shards = log.sparkSession.sparkContext.broadcast(held), self.shards
-
-        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter.load(x) for k, x in shared.value.items()}
-            for batch in batches:
-                shorts = batch.column(batch.num_columns - 1).to_numpy()
-                found, shard = np.zeros(len(shorts), bool), np.mod(shorts, shards)
-                for k, one in filters.items():
-                    mine = shard == k
-                    found[mine] = one.contains(shorts[mine])
-                yield batch.filter(pa.array(found)).select(range(batch.num_columns - 1))
-
-        return log.withColumn("short", F.xxhash64("key")).mapInArrow(probed, log.schema)
-
-
-def deduplicate(docs: DataFrame, keep: list[str] | None = None, min_documents: int = MIN_DOCUMENTS, index: LineIndex | None = None) -> DataFrame:
+        sharded = log.withColumn("short", F.xxhash64("key")).withColumn("shard", F.pmod("short", F.lit(self.shards)))
+        sizes = sharded.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).alias("copies"))
+        large = few(materialize(sizes.filter("copies > 1"), "line-shards"))
+        copies = F.coalesce("copies", F.lit(1))
+        rows = sharded.join(large, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", "key"), copies)).drop("copies")
+        filters = self.table.join(large, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies", "keys")
+        columns = log.columns
+
+        def probed(lines: pa.Table, held: pa.Table) -> pa.Table:
+            found = pa.array([], pa.bool_()) if not len(lines) else pa.array(np.zeros(len(lines), bool))
+            if len(lines) and len(held):
+                found = pa.array(CuckooFilter.load(held["filter"][0].as_py()).contains(lines["short"].to_numpy()))
+            return lines.filter(found).select(columns)
+
+        by = ["shard", "copy"]
+        return rows.groupBy(*by).cogroup(filters.groupBy(*by)).applyInArrow(probed, log.schema)
+
+
+def deduplicate(docs: DataFrame, keep: list[str] | None = None, min_documents: int = MIN_DOCUMENTS, index: LineIndex | None = None, filters: Filters | None = None) -> DataFrame:
     """docs (doc_id, text, ...) as (row, n_lines, n_dropped, kept_text).
 
     Lines whose key (at least MIN_LENGTH code points) is in min_documents documents or more go,
     except in the largest doc_id that holds it, where all of them stay.  ``index``: the
-    references to judge by, by default those of docs.  Null and empty texts are one empty
-    line.  Rows without doc_id are one document, smaller than every other.
+    references to judge by, by default those of docs; documents that are not in it lose all lines
+    that are frequent in it.  ``filters``: over the index's repeated keys, by default built anew.
+    Null and empty texts are one empty line; texts of any length are read whole.  Rows without
+    doc_id are one document, smaller than every other.  Columns of docs may have any names; an
+    empty table gives an empty one.
     """
     columns = docs.columns if keep is None else keep
-    index = index or LineIndex.of(docs)
-    frequent = materialize(index.frequent(min_documents), "line-frequent")
-    maybe = Filters.of(frequent).candidates(index.log.filter("refs > 0"))
-    exact = frequent.select("key", "last")
-    goes = maybe.join(exact, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    own = index is None
+    index = LineIndex.of(docs) if own else index
+    filters = filters or Filters.of(materialize(index.repeated(min_documents), "line-repeated"))
+    maybe = materialize(filters.candidates(index.log), "line-candidates")
+    exact = materialize(LineIndex(maybe).frequent(min_documents).select("key", "last"), "line-frequent")
+    asked = maybe if own else filters.candidates(LineIndex.of(docs).log)
+    goes = asked.join(exact, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     drops = goes.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drops"))  # at most a document's own lines
 
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", text_or_empty().alias("text"))
-    judged = held.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    judged = held.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     lines = split_lines(F.col("text"))
     left = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("drops", digest(x)), F.lit(False))))
     out = judged.select("row", "text", F.size(lines).cast("long").alias("n_lines"), left.alias("left"))
