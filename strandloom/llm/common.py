@@ -100,15 +100,16 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
-#: Rows of an Arrow batch where whole texts go through Python: a worker holds a batch or two at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where whole texts go through Python: a worker holds a batch or two at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's number of rows in an Arrow batch, for memory; it is read when a plan runs, so it stays lowered."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's limits of an Arrow batch, for memory; they are read when a plan runs, so they stay lowered."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().rstrip("b")
+        if not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def carried(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:

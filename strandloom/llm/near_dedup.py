@@ -8,9 +8,9 @@ their text in the same order.  Thirty sketches are taken.
 Documents that agree in a sketch meet in a bucket.  A pair is a link if its words align within
 a band of a fifth of the longer text, that is, with an edit similarity of 0.8 or more.  Linked
 documents form classes.  Every two documents that meet are aligned, or are known to be of one class, or
-have lengths or words that rule a link out.  Three rounds see to it: first every document of a bucket
-is compared with the bucket's first and last ones; then, where a bucket still holds several classes, with
-the document that is in most of such buckets; at last all pairs of different classes of a bucket, in blocks.
+have lengths or words that rule a link out.  Three rounds see to it: first every document is compared with
+the first one of all it meets; then, where a bucket still holds several classes, with the document that is
+in most of such buckets; at last all pairs of different classes of a bucket, in blocks.
 
 Of texts that are the same, only one goes through all this.
 """
@@ -33,15 +33,19 @@ from .language import _bytes_of
 SHINGLE = 5
 SKETCHES, MINIMA = 30, 2
 SIMILARITY = 0.8
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Up to so many documents to align (some 60 bytes each) are broadcast to select their texts, else joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Words of a text are counted by hash in so many bins, of a byte each.
-BINS = 256
+BINS = 1024
 #: Documents of a bucket and a size class that are compared with each other at once.
 BLOCK = 2048
-#: Alignments of more edits than this are carried on by hashing.
-FEW_EDITS = 128
+#: Alignments of more edits than this are done by columns of bits instead of diagonals.
+FEW_EDITS = 12
+#: The narrowest band tried so; a step's cost hardly depends on it up to there.
+FIRST_BAND = 512
+#: Up to so many bits in all, the places of each word are kept as a whole number; else they are put together when needed.
+MASK_BITS = 1 << 28
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -157,32 +161,69 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_words), sketch, bag], [*batch.schema.names[:4], "n_words", "sketch", "bag"])
 
 
-def _extension(a: np.ndarray, b: np.ndarray):  # noqa: ANN202
-    """A function of places i in a and shifts d: how many words a[i:] and b[i + d:] have in common at once."""
-    powers = _powers(len(a) + len(b) + 2)
-    sums = [np.append(np.uint64(0), np.cumsum(x * powers[: len(x)])) for x in (a, b)]
-    top = 1 << max(1, min(len(a), len(b))).bit_length()
+def _by_diagonals(a: list[int], b: list[int], most: int) -> int | None:
+    """Edit distance up to ``most``: how far each diagonal of the band reaches with so many edits."""
+    n, m = len(a), len(b)
+    reached, goal = [-(1 << 40)] * (2 * most + 3), m - n  # of diagonal d at d + most + 1
+    for e in range(most + 1):
+        now = reached.copy()
+        for d in range(max(-e, -n, goal - most + e), min(e, m, goal + most - e) + 1):  # others cannot reach the goal any more
+            k = d + most + 1
+            i = min(max(reached[k] + 1, reached[k - 1], reached[k + 1] + 1), n, m - d) if e else 0
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            now[k] = i
+            if d == goal and i >= n:
+                return e
+        reached = now
+    return None
+
 
-    def common(i: np.ndarray, d: np.ndarray) -> np.ndarray:
-        room = np.minimum(len(a) - i, len(b) - i - d)
-        out, step = np.zeros(len(i), np.int64), top
-        up, down = powers[np.maximum(d, 0)], powers[np.maximum(-d, 0)]
-        while step:
-            fits = np.flatnonzero(out + step <= room)
-            x, y = (i + out)[fits], (i + out + d)[fits]
-            same = (sums[0][x + step] - sums[0][x]) * up[fits] == (sums[1][y + step] - sums[1][y]) * down[fits]
-            out[fits[same]] += step
-            step >>= 1
-        return out
+def _places(a: np.ndarray, kinds: int):  # noqa: ANN202
+    """A function of a symbol, a row and a width: which of so many rows from there on (the first is 1) hold the symbol, as bits."""
+    order = np.argsort(a, kind="stable")
+    at = np.split(order, np.cumsum(np.bincount(a, minlength=kinds))[:-1])
+    bits = lambda places, width: int.from_bytes(np.packbits(np.bincount(places, minlength=width)[:width].astype(bool), bitorder="little").tobytes(), "little")
+    if kinds * len(a) <= MASK_BITS:
+        whole = [bits(x, len(a)) for x in at]
+        return lambda c, row, width: (whole[c] >> (row - 1) if row > 0 else whole[c] << (1 - row)) & ((1 << width) - 1)
 
-    return common
+    def window(c: int, row: int, width: int) -> int:
+        low, high = np.searchsorted(at[c], (row - 1, row - 1 + width))
+        return bits(at[c][low:high] - (row - 1), width)
+
+    return window
+
+
+def _by_bits(a: np.ndarray, b: np.ndarray, kinds: int, most: int) -> int | None:
+    """Edit distance up to ``most``, with a column of the band in a few whole numbers; a is not the shorter one.
+
+    Column j holds the rows from j - most to j + most, a bit for each: where the value goes up or down by one from
+    the row before.  Beyond the band's borders values go up, which never makes a path cheaper than it is; rows up
+    to 0 go on as if there were symbols that match nothing.  The goal lies on one diagonal, that is, at one and the
+    same bit in all columns, and values never fall along a diagonal.
+    """
+    width, holds = 2 * most + 1, _places(a, kinds)
+    every, goal = (1 << width) - 1, 1 << (len(a) - len(b) + most)
+    down = (1 << (most + 1)) - 1
+    up, value, last = every ^ down, len(a) - len(b), 1 << (width - 1)
+    for j, c in enumerate(b.tolist(), 1):
+        up, down = up >> 1 | last, down >> 1
+        same = holds(c, j - most, width) | down
+        level = ((((same & up) + up) ^ up) | same) & every  # the diagonal step costs nothing
+        if not level & goal:
+            value += 1
+            if value > most:
+                return None
+        right_up, right_down = ((down | (every ^ (level | up))) << 1 | 1) & every, (level & up) << 1 & every
+        up, down = right_down | (every ^ (level | right_up)), right_up & level
+    return value
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences of words, or None if it is over ``most``.
 
-    Only the diagonals of a band of ``most`` to either side are looked at, each as far as it
-    reaches with so many edits.
+    Only the diagonals of a band of ``most`` to either side are looked at.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -193,45 +234,20 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     differ = np.flatnonzero(a[len(a) - short :][::-1] != b[len(b) - short :][::-1])
     tail = int(differ[0]) if len(differ) else short
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
     kinds, n = np.unique(np.concatenate([a, b]), return_inverse=True)
-    in_a, in_b = (np.bincount(x, minlength=len(kinds)) for x in (n[: len(a)], n[len(a) :]))
-    if max(len(a), len(b)) - int(np.minimum(in_a, in_b).sum()) > most:  # words without a partner
+    a, b = n[: len(a)], n[len(a) :]
+    in_a, in_b = (np.bincount(x, minlength=len(kinds)) for x in (a, b))
+    if len(a) - int(np.minimum(in_a, in_b).sum()) > most:  # words without a partner
         return None
-
-    goal, few = len(b) - len(a), min(most, FEW_EDITS)
-    left, right, n, m = a.tolist(), b.tolist(), len(a), len(b)
-    reached = [-(1 << 40)] * (2 * few + 3)  # of diagonal d at d + few + 1
-    for e in range(few + 1):
-        now = reached.copy()
-        for d in range(max(-e, -n, goal - most + e), min(e, m, goal + most - e) + 1):  # others cannot reach the goal any more
-            k = d + few + 1
-            i = min(max(reached[k] + 1, reached[k - 1], reached[k + 1] + 1), n, m - d) if e else 0
-            while i < n and i + d < m and left[i] == right[i + d]:
-                i += 1
-            now[k] = i
-            if d == goal and i >= n:
-                return e
-        reached = now
-    if few == most:
-        return None
-
-    common = _extension(a, b)
-    shifts = np.arange(-len(a) if most > len(a) else -most, min(len(b), most) + 1)
-    reach = np.full(len(shifts) + 2, -(1 << 40), np.int64)
-    for k, i in enumerate(reached):
-        if i >= 0:
-            reach[k - few - 1 - shifts[0] + 1] = i
-    for e in range(few + 1, most + 1):
-        low, high = max(0, -e - shifts[0]), min(len(shifts), e - shifts[0] + 1)
-        d = shifts[low:high]
-        i = np.maximum(np.maximum(reach[low + 1 : high + 1] + 1, reach[low:high]), reach[low + 2 : high + 2] + 1)
-        i = np.minimum(np.maximum(i, np.maximum(-d, 0)), np.minimum(len(a), len(b) - d))
-        reach[low + 1 : high + 1] = i + common(i, d)
-        if reach[goal - shifts[0] + 1] >= len(a):
-            return e
-    return None
+    found, band = _by_diagonals(a.tolist(), b.tolist(), min(most, FEW_EDITS)), FEW_EDITS
+    while found is None and band < most:  # in long texts of few edits a narrow band is enough
+        band = min(most, max(FIRST_BAND, 4 * band))
+        found = _by_bits(a, b, len(kinds), band) if len(a) - len(b) <= band else None
+    return found
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,28 +273,27 @@ def buckets(firsts: DataFrame) -> DataFrame:
     """firsts (rid, doc_id, n_words, sketch) as a row for each bucket of two or more that they are in."""
     j = F.expr("posexplode(sketch) as (j, key)")
     rows = firsts.filter("n_words > 0").select("rid", "doc_id", j, size_class().alias("size_class"), "n_words")
-    one = F.struct("doc_id", "rid", "n_words")
-    shared = rows.groupBy("j", "key").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = rows.groupBy("j", "key").agg(F.min(F.struct("doc_id", "rid", "n_words")).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return materialize(rows.join(shared, ["j", "key"]), "near-buckets")
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """The first round's pairs (a, b), a < b, each once, of what buckets() gives.
+    """The first round's pairs (a, b), a < b, of what buckets() gives: each document with the first one by doc_id of all it meets.
 
-    In a bucket every document is paired with the first and with the last by doc_id, which do not
-    depend on how rows were dealt.
+    Of the buckets' first ones those count whose lengths allow a link.  Copies of one text mostly meet the
+    same first document, so this makes them one class at the price of one pair each.
     """
-    found = met.select("rid", "n_words", F.explode(F.array("low", "high")).alias("hub")).filter(F.col("rid") != F.col("hub.rid"))
-    longer = F.greatest("n_words", "hub.n_words")  # each word of difference in length is an edit
-    near = longer - F.least("n_words", "hub.n_words") <= F.floor(longer * (1 - SIMILARITY) + 1e-9)
-    return found.filter(near).select(F.least("rid", "hub.rid").alias("a"), F.greatest("rid", "hub.rid").alias("b")).distinct()
+    longer = F.greatest("n_words", "low.n_words")  # each word of difference in length is an edit
+    near = longer - F.least("n_words", "low.n_words") <= F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    one = met.filter(F.col("rid") != F.col("low.rid")).filter(near).groupBy("rid").agg(F.min(F.struct("low.doc_id", "low.rid")).alias("first"))
+    return one.select(F.least("rid", "first.rid").alias("a"), F.greatest("rid", "first.rid").alias("b")).distinct()
 
 
 def _crossed(hubs: bool):  # noqa: ANN202
     """Groups of rows of remaining(), in their order, as pairs of different classes whose lengths and words allow a link."""
     keys = ["j", "key", "home", "low", "high"]
 
-    def group(x: dict[str, np.ndarray], bags: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def group(x: dict[str, np.ndarray], bags: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         n, root, own, part = x["n_words"], x["root"], x["size_class"] == x["home"], x["part"]
         need = n - np.floor(n * (1 - SIMILARITY) + 1e-9).astype(np.int64)  # words in common, if n is the longer one
         ends, whole = np.searchsorted(need, n, "right"), x["low"][0] == x["high"][0]
@@ -292,6 +307,8 @@ def _crossed(hubs: bool):  # noqa: ANN202
             elif not whole:
                 fits &= part[others] != part[i]
             others = others[fits]
+            if len(others) and not hubs:  # a pair that meets in several buckets is compared in the first of them
+                others = others[~(marks[others] == marks[i]).any(1)]
             if len(others):
                 common = np.minimum(bags[others], bags[i]).sum(1, dtype=np.int64) + np.minimum(lost[others], lost[i])
                 others = others[common >= np.maximum(need[others], need[i])]
@@ -300,8 +317,9 @@ def _crossed(hubs: bool):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
-            x = {c: rows[c].to_numpy() for c in rows.column_names if c != "bag"}
+            x = {c: rows[c].to_numpy() for c in rows.column_names if c not in ("bag", "sketch")}
             bags = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+            marks = np.zeros((len(bags), SKETCHES)) if hubs else rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
             turns = np.zeros(len(bags), bool)
             for c in keys:
                 turns[1:] |= x[c][1:] != x[c][:-1]
@@ -311,7 +329,7 @@ def _crossed(hubs: bool):  # noqa: ANN202
                 rid = x["rid"][start:end]
                 if (x["root"][start:end] == x["root"][start]).all():
                     continue
-                for i, others in group({c: v[start:end] for c, v in x.items()}, bags[start:end]):
+                for i, others in group({c: v[start:end] for c, v in x.items()}, bags[start:end], marks[start:end, : x["j"][start]]):
                     a.append(np.minimum(rid[i], rid[others]))
                     b.append(np.maximum(rid[i], rid[others]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -334,18 +352,27 @@ def _crossed(hubs: bool):  # noqa: ANN202
     return run
 
 
-def remaining(met: DataFrame, firsts: DataFrame, label: DataFrame, pairs: DataFrame, hubs: bool) -> DataFrame:
-    """Pairs (a, b), a < b, each once, that meet in a bucket, differ in label (rid, root), may be links and are not among pairs.
+def opened(met: DataFrame, label: DataFrame) -> DataFrame:
+    """(j, key, rid, n_words, size_class, root): the rows of buckets whose documents are not all of one class by label (rid, root)."""
+    rows = met.select("j", "key", "rid", "n_words", "size_class").join(label, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    mixed = rows.groupBy("j", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("j", "key")
+    return materialize(rows.join(mixed, ["j", "key"]), "near-open")
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast where they are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def remaining(rows: DataFrame, carried_on: DataFrame, pairs: DataFrame, hubs: bool) -> DataFrame:
+    """Pairs (a, b), a < b, each once, that meet in a bucket of rows, differ in root, may be links and are not among pairs.
 
     A link's lengths differ by a fifth at most, and as much of the longer text's words, counted in
     bins, are in both: other pairs are left out.  Of each group only the document that is in
     most open buckets is paired with the others if ``hubs``, else every two are.
+    carried_on: (rid, bag, sketch) of the documents in rows.
     """
-    rows = met.select("j", "key", "rid", "n_words", "size_class").join(label, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = rows.groupBy("j", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("j", "key")
-    rows = materialize(rows.join(mixed, ["j", "key"]), "near-open")
     degree = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
-    carried_on = materialize(degree.join(firsts.select("rid", "bag"), "rid"), "near-bags")
     # a group: the documents of a size class, which are paired with each other and with those of the next one
     both = rows.withColumn("home", F.explode(F.array("size_class", F.col("size_class") - 1)))
     keys = ["j", "key", "home"]
@@ -353,13 +380,11 @@ def remaining(met: DataFrame, firsts: DataFrame, label: DataFrame, pairs: DataFr
     counts = counts.filter("begun and least <> most").select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     both = both.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = both.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(carried_on, "rid")
-    columns = ["j", "key", "home", "low", "high", "n_words", "rid", "root", "size_class", "part", "degree", "bag"]
+    both = both.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(degree, "rid").join(carried_on, "rid")
+    columns = ["j", "key", "home", "low", "high", "n_words", "rid", "root", "size_class", "part", "degree", "bag", *([] if hubs else ["sketch"])]
     dealt = both.select(*columns).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
     found = dealt.mapInArrow(_crossed(hubs), "a long, b long").distinct()
-    found = materialize(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    discard(rows, carried_on)
-    return found
+    return materialize(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
 
 
 def identifier() -> Column:
@@ -370,9 +395,8 @@ def aligned(docs: DataFrame, digest: Column, firsts: DataFrame, pairs: DataFrame
     """The links (a, b) among pairs (a, b) of firsts, whose texts are those of docs."""
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
     needed = materialize(firsts.join(ends, "rid", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("of_id"), "rid"), "near-needed")
-    few = needed.count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", text_or_empty().alias("text"), digest.alias("digest"))
-    texts = texts.join(F.broadcast(needed) if few else needed, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("rid", "text").dropDuplicates(["rid"])
+    texts = texts.join(few(needed), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("rid", "text").dropDuplicates(["rid"])
     texts = materialize(texts, "near-texts")
     sided = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("left")), "a")
     links = sided.select("a", "b", "left", "right").mapInPandas(_aligned, "a long, b long, similarity double")
@@ -400,17 +424,22 @@ def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     met = buckets(firsts)
     pairs = materialize(candidates(met), "near-pairs")
     links = aligned(docs, digest, firsts, pairs)
-    edges = components(links)
+    edges, carried_on = components(links), None
     for hubs in (True, False):
         discard(links)
-        label = edges.select(F.col("a").alias("rid"), F.col("b").alias("root"))
-        more = remaining(met, firsts, label, pairs, hubs)
+        rows = opened(met, edges.select(F.col("a").alias("rid"), F.col("b").alias("root")))
+        if carried_on is None:  # later on, no others are open
+            open_ids = materialize(rows.select("rid").distinct(), "near-open-ids")
+            carried_on = materialize(firsts.join(few(open_ids), "rid").select("rid", "bag", "sketch"), "near-bags")
+            discard(open_ids)
+        more = remaining(rows, carried_on, pairs, hubs)
+        discard(rows)
         links = aligned(docs, digest, firsts, more)
         if links.limit(1).count():
             before, edges = edges, components(edges.union(links))
             discard(before)
         pairs = pairs.union(more)
-    discard(pairs, met, links)
+    discard(pairs, met, links, carried_on)
 
     label = edges.select(F.col("a").alias("rid"), F.col("b").alias("root"))
     member = firsts.select("digest", "rid").join(label, "rid", "left").select("digest", F.coalesce("root", "rid").alias("root"))
