@@ -28,8 +28,16 @@ ORDER = 3
 PAD = np.full(ORDER, 10, np.uint8)
 #: About so many labelled documents of a language are counted; whole texts, chosen by a hash of doc_id.
 TRAIN_DOCS = 1500
+#: The trees' costs, nodes times languages, number about so many at most, whatever is counted: of each
+#: language the most frequent grams are kept.  They are broadcast: some 4 bytes each, and as much again for the steps.
+TREE_CELLS = 1 << 23
+#: Steps of up to so many entries are a plain table, of more a table of hashes, with equal results.
+PLAIN_STEPS = 1 << 22
+#: A byte that the best language codes in more bits than it has counts as sent as it is.  A text whose bytes then
+#: still take so many bits on average is like none of the languages.
+RAW_BITS, MOST_BITS = 8, 6.75
 #: Texts are scored in slices of so many bytes.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 UNKNOWN = "und"
 
 
@@ -93,6 +101,45 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([names[int(k)] for k in keys >> np.uint64(32)], pa.string()), "gram": pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
+class Steps:
+    """From a node and a symbol to the node that follows, 0 if there is none."""
+
+    def __init__(self, nodes: int, width: int, at: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> None:
+        self.width, self.plain = width, nodes * width <= PLAIN_STEPS
+        keys = at.astype(np.int64) * width + symbol
+        if self.plain:
+            self.to = np.zeros(nodes * width, np.int32)
+            self.to[keys] = to
+            return
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.to, left = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.arange(len(keys))
+        place = self._place(keys)
+        while len(left):  # all that find a free place take it, one each; the others go on
+            free = left[self.keys[place[left]] < 0]
+            self.keys[place[free]] = keys[free]
+            won = free[self.keys[place[free]] == keys[free]]
+            self.to[place[won]] = to[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            place[left] = (place[left] + 1) & (size - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - len(self.keys).bit_length() + 1)).astype(np.int64)
+
+    def __call__(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        keys = node.astype(np.int64) * self.width + symbol
+        if self.plain:
+            return self.to[keys]
+        out, place, left = np.zeros(len(keys), np.int32), self._place(keys), np.arange(len(keys))
+        while len(left):
+            held = self.keys[place[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.to[place[left[hit]]]
+            left = left[~hit & (held >= 0)]
+            place[left] = (place[left] + 1) & (len(self.keys) - 1)
+        return out
+
+
 class ContextTrees:
     """Frozen statistics of all languages: nodes for the grams seen anywhere, with a cost in bits for each language."""
 
@@ -112,7 +159,7 @@ class ContextTrees:
         lower_keys = np.arange(256)
         self.cost: list[np.ndarray] = []
         self.escape: list[np.ndarray] = []
-        self.step: list[np.ndarray] = []
+        self.step: list[Steps] = []
         nodes_before, keys_before = np.zeros(1, np.int64), np.zeros(1, np.int64)  # the empty context
         for k, keys in enumerate(lengths, 1):
             context, contexts = keys >> 8, np.unique(keys >> 8) if k > 1 else np.zeros(1, np.int64)
@@ -137,22 +184,24 @@ class ContextTrees:
             by_node = np.zeros((len(nodes_before) + (k > 1), len(langs)))
             by_node[(np.searchsorted(keys_before, contexts) + 1) if k > 1 else np.zeros(1, np.int64)] = escape
             self.escape.append(by_node.astype(np.float32))
-            table = np.zeros((len(by_node), width), np.int32)
             where = np.searchsorted(keys_before, context) + 1 if k > 1 else np.zeros(len(keys), np.int64)
-            table[where, self.symbol[keys & 255]] = np.arange(1, len(keys) + 1)
-            self.step.append(table.reshape(-1))
+            self.step.append(Steps(len(by_node), width, where, self.symbol[keys & 255], np.arange(1, len(keys) + 1, dtype=np.int32)))
             keys_before, nodes_before = keys, np.arange(len(keys))
             lower, lower_keys = p, keys
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        return self.lengths(data, offsets)[0]
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code length of each text in each language; and the same if no byte takes more than RAW_BITS."""
+        out, bounded = (np.zeros((len(offsets) - 1, len(self.langs))) for _ in range(2))
         for part, starts, numbers in _sliced(data, offsets):
             symbol = self.symbol[part]
-            nodes = [self.step[0][symbol]]
+            nodes = [self.step[0](np.zeros(len(part), np.int32), symbol)]
             for k in range(1, ORDER + 1):
                 node = np.zeros(len(part), np.int32)
-                node[1:] = self.step[k][nodes[-1][:-1] * np.int32(self.width) + symbol[1:]]
+                node[1:] = self.step[k](nodes[-1][:-1], symbol[1:])
                 nodes.append(node)
             cost = self.cost[ORDER][nodes[ORDER]]
             rest = np.flatnonzero(nodes[ORDER] == 0)
@@ -165,14 +214,15 @@ class ContextTrees:
             cost[rest] += self.escape[0][0] + np.float32(8)  # a byte that no language has met
             for k in range(ORDER):
                 cost[starts + k] = 0
-            np.add.at(out, numbers, np.add.reduceat(cost, starts, axis=0, dtype=np.float64))
-        return out
+            for sums, each in ((out, cost), (bounded, np.minimum(cost, RAW_BITS))):
+                np.add.at(sums, numbers, np.add.reduceat(each, starts, axis=0, dtype=np.float64))
+        return out, bounded
 
-    def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the best language of each text (ties: the first by name), and its share."""
-        bits = self.bits(data, offsets)
+    def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the best language of each text (ties: the first by name), its share, and its bounded bits for each byte."""
+        bits, bounded = self.lengths(data, offsets)
         best = bits.argmin(1)
-        return best, 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
+        return best, 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1), bounded[np.arange(len(best)), best] / np.maximum(np.diff(offsets), 1)
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
@@ -196,38 +246,55 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
     langs = sorted(table["lang"].unique())
     if not langs:
         return None
+    most = max(1, TREE_CELLS // len(langs) ** 2)
+    table = table.sort_values(["lang", "n", "gram"], ascending=[True, False, True]).groupby("lang").head(most)
     return ContextTrees(langs, {x: (t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.float64)) for x in langs for t in [table[table["lang"] == x]]})
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """docs (doc_id, text, lang, ...) as (row, held_out, lang_pred, score).
+    """scored() by the languages learned from docs (doc_id, text, lang, ...) themselves."""
+    return scored(docs, train(docs, train_docs), keep)
+
 
-    ``row`` has the columns ``keep`` of the input (all if None).  A text that is null or has no
-    letter gets the language "und" and score 0; so does every text if nothing is labelled.
-    Repeated rows are scored one by one, very long texts in slices with their full context.
+def scored(docs: DataFrame, model: ContextTrees | None, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) as (row, held_out, lang_pred, score, bits).
+
+    ``row`` has the columns ``keep`` of the input (all if None).  bits: the code length in the
+    predicted language, in bits for each byte of the text, of which none takes more than RAW_BITS;
+    MOST_BITS or more say that the text is like none of the languages.  A text that is null or has no letter gets the language "und",
+    score 0 and no bits; so does every text without a model.  Repeated rows are scored
+    one by one, very long texts whole, in slices with their full context.  Columns of docs may
+    have any names; an empty table gives an empty one.
     """
     columns = docs.columns if keep is None else keep
-    model = train(docs, train_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
             row, letters, held = batch.columns[:3]
             known = letters.to_numpy(zero_copy_only=False).astype(bool) & (trees is not None)
-            lang, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
+            lang, score, bits = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch)), np.zeros(len(batch))
             if known.any():
-                best, share = trees.best(*_bytes_of(text_of(batch)))
-                lang[known], score[known] = np.array(trees.langs, object)[best[known]], share[known]
-            yield pa.RecordBatch.from_arrays([row, held, pa.array(lang, pa.string()), pa.array(score)], ["row", "held_out", "lang_pred", "score"])
+                best, share, each = trees.best(*_bytes_of(text_of(batch)))
+                lang[known], score[known], bits[known] = np.array(trees.langs, object)[best[known]], share[known], each[known]
+            yield pa.RecordBatch.from_arrays([row, held, pa.array(lang, pa.string()), pa.array(score), pa.array(bits, mask=~known)], ["row", "held_out", "lang_pred", "score", "bits"])
+
+    rows = carried(docs, columns, has_letter().alias("letters"), held_out(F.col("doc_id")).alias("held_out"))
+    schema = rows.select("row", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema.add("bits", "double")
+    return rows.mapInArrow(judged, schema)
+
+
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+
 
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    rows = carried(docs, columns, letters.alias("letters"), held_out(F.col("doc_id")).alias("held_out"))
-    schema = rows.select("row", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(scored, schema)
+def in_a_language() -> Column:
+    """Whether identify() has found a language that the text is like."""
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("bits") < MOST_BITS)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document."""
+    """(doc_id, held_out, lang_pred, score, bits) of every document."""
     found = identify(documents(spark, sf_dir), keep=["doc_id"])
-    return found.select("row.doc_id", "held_out", "lang_pred", "score")
+    return found.select("row.doc_id", "held_out", "lang_pred", "score", "bits")
