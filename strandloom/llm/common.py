@@ -60,11 +60,18 @@ def recorded() -> Iterator[list[str]]:
         _listening.remove(paths)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder once and reads it back: cuts lineage, survives lost executors."""
+#: Rows of a file, where a table's size is known; and files that such a table may have in any case.
+FILE_ROWS, FILES = 5_000, 6
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder once and reads it back: cuts lineage, survives lost executors.
+
+    ``rows``: about how many it has at most, so that small tables do not come in a file for every partition.
+    """
     spark = df.sparkSession
     path = note(f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

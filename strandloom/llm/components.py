@@ -28,19 +28,19 @@ def small_star(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """edges (a, b) as (a, b): every node of more than one, with the smallest node of its component.
 
-    Smallest nodes are left out.  Each round is written to the shared folder; nothing is
+    Smallest nodes are left out.  ``rows``: about how many edges there are at most.  Each round is written to the shared folder; nothing is
     collected but a count and a checksum of the edges.
     """
-    now = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    now = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges", rows)
     seen = None
     while True:
         sums = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(sums) == seen or not sums[0]:
             return now
         seen = tuple(sums)
-        later = materialize(small_star(large_star(now)), "edges")
+        later = materialize(small_star(large_star(now)), "edges", 2 * sums[0])
         discard(now)
         now = later

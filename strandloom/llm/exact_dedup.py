@@ -151,12 +151,13 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, digest: Callable
     folder = checkpoint or f"{scratch(spark)}/exact-state-{uuid.uuid4().hex}"
     run = land(docs, columns, folder, digest)
     landed = spark.read.parquet(f"{folder}/landed/run-{run:09d}")
-    hits = materialize(stream_state(spark, folder, files_per_batch).filter("n > 1"), "exact-hits")
+    n = landed.count()  # footers only
+    hits = materialize(stream_state(spark, folder, files_per_batch).filter("n > 1"), "exact-hits", n)
     if not checkpoint:
         remove(spark, f"{folder}/stream")
         remove(spark, f"{folder}/changes")
 
-    clash = materialize(clashes(landed, hits), "exact-clashes")
+    clash = materialize(clashes(landed, hits), "exact-clashes", n)
     row = F.struct(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns]).alias("row")
     is_first = (F.col("first.run") == F.col("run")) & (F.col("first.rid") == F.col("rid"))
     keep_id = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))

@@ -183,7 +183,7 @@ class Filters:
             return pd.DataFrame({"shard": part["shard"].iloc[:1], "keys": [len(part)], "filter": [made.table.tobytes()]})
 
         made = new._sharded(shorts).groupBy("shard").applyInPandas(built, "shard long, keys long, filter binary")
-        new.table = materialize(made, "line-filters")
+        new.table = materialize(made, "line-filters", new.shards)
         return new
 
     def refresh(self, before: DataFrame, after: DataFrame) -> Filters:
@@ -204,7 +204,7 @@ class Filters:
             return pd.DataFrame({"shard": [shard[0]], "keys": [keys], "filter": [one.table.tobytes()]})
 
         changes = entering.unionByName(leaving).groupBy("shard")
-        made = materialize(self.table.groupBy("shard").cogroup(changes).applyInPandas(changed, "shard long, keys long, filter binary"), "line-filters")
+        made = materialize(self.table.groupBy("shard").cogroup(changes).applyInPandas(changed, "shard long, keys long, filter binary"), "line-filters", self.shards)
         return Filters.of(after) if made.filter("keys < 0").limit(1).count() else Filters(made, self.shards)
 
     def candidates(self, log: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ class Filters:
         """
         sharded = log.withColumn("short", F.xxhash64("key")).withColumn("shard", F.pmod("short", F.lit(self.shards)))
         sizes = sharded.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).alias("copies"))
-        large = few(materialize(sizes.filter("copies > 1"), "line-shards"))
+        large = few(materialize(sizes.filter("copies > 1"), "line-shards", self.shards))
         copies = F.coalesce("copies", F.lit(1))
         rows = sharded.join(large, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", "key"), copies)).drop("copies")
         filters = self.table.join(large, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies", "keys")
@@ -245,9 +245,10 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, min_documents: i
     columns = docs.columns if keep is None else keep
     own = index is None
     index = LineIndex.of(docs) if own else index
-    filters = filters or Filters.of(materialize(index.repeated(min_documents), "line-repeated"))
-    maybe = materialize(filters.candidates(index.log), "line-candidates")
-    exact = materialize(LineIndex(maybe).frequent(min_documents).select("key", "last"), "line-frequent")
+    n = index.log.count()  # of a written table: footers only
+    filters = filters or Filters.of(materialize(index.repeated(min_documents), "line-repeated", n // min_documents))
+    maybe = materialize(filters.candidates(index.log), "line-candidates", n)
+    exact = materialize(LineIndex(maybe).frequent(min_documents).select("key", "last"), "line-frequent", n // min_documents)
     asked = maybe if own else filters.candidates(LineIndex.of(docs).log)
     goes = asked.join(exact, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     drops = goes.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drops"))  # at most a document's own lines

@@ -269,12 +269,12 @@ def size_class() -> Column:
     return F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / SIMILARITY)))).cast("long")
 
 
-def buckets(firsts: DataFrame) -> DataFrame:
-    """firsts (rid, doc_id, n_words, sketch) as a row for each bucket of two or more that they are in."""
+def buckets(firsts: DataFrame, n: int) -> DataFrame:
+    """n firsts (rid, doc_id, n_words, sketch) as a row for each bucket of two or more that they are in."""
     j = F.expr("posexplode(sketch) as (j, key)")
     rows = firsts.filter("n_words > 0").select("rid", "doc_id", j, size_class().alias("size_class"), "n_words")
     shared = rows.groupBy("j", "key").agg(F.min(F.struct("doc_id", "rid", "n_words")).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return materialize(rows.join(shared, ["j", "key"]), "near-buckets")
+    return materialize(rows.join(shared, ["j", "key"]), "near-buckets", SKETCHES * n)
 
 
 def candidates(met: DataFrame) -> DataFrame:
@@ -352,11 +352,11 @@ def _crossed(hubs: bool):  # noqa: ANN202
     return run
 
 
-def opened(met: DataFrame, label: DataFrame) -> DataFrame:
+def opened(met: DataFrame, label: DataFrame, n: int) -> DataFrame:
     """(j, key, rid, n_words, size_class, root): the rows of buckets whose documents are not all of one class by label (rid, root)."""
     rows = met.select("j", "key", "rid", "n_words", "size_class").join(label, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     mixed = rows.groupBy("j", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("j", "key")
-    return materialize(rows.join(mixed, ["j", "key"]), "near-open")
+    return materialize(rows.join(mixed, ["j", "key"]), "near-open", n)
 
 
 def few(table: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def remaining(rows: DataFrame, carried_on: DataFrame, pairs: DataFrame, hubs: bool) -> DataFrame:
+def remaining(rows: DataFrame, carried_on: DataFrame, pairs: DataFrame, hubs: bool, n: int) -> DataFrame:
     """Pairs (a, b), a < b, each once, that meet in a bucket of rows, differ in root, may be links and are not among pairs.
 
     A link's lengths differ by a fifth at most, and as much of the longer text's words, counted in
@@ -384,23 +384,23 @@ def remaining(rows: DataFrame, carried_on: DataFrame, pairs: DataFrame, hubs: bo
     columns = ["j", "key", "home", "low", "high", "n_words", "rid", "root", "size_class", "part", "degree", "bag", *([] if hubs else ["sketch"])]
     dealt = both.select(*columns).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
     found = dealt.mapInArrow(_crossed(hubs), "a long, b long").distinct()
-    return materialize(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    return materialize(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs", n)
 
 
 def identifier() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
 
 
-def aligned(docs: DataFrame, digest: Column, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links (a, b) among pairs (a, b) of firsts, whose texts are those of docs."""
+def aligned(docs: DataFrame, digest: Column, firsts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The links (a, b) among pairs (a, b) of firsts, whose texts are those of docs; n: of the order of the pairs."""
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    needed = materialize(firsts.join(ends, "rid", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("of_id"), "rid"), "near-needed")
+    needed = materialize(firsts.join(ends, "rid", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("of_id"), "rid"), "near-needed", n)
     texts = docs.select("doc_id", text_or_empty().alias("text"), digest.alias("digest"))
     texts = texts.join(few(needed), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("rid", "text").dropDuplicates(["rid"])
-    texts = materialize(texts, "near-texts")
+    texts = materialize(texts, "near-texts", n)
     sided = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("left")), "a")
     links = sided.select("a", "b", "left", "right").mapInPandas(_aligned, "a long, b long, similarity double")
-    links = materialize(links, "near-links")
+    links = materialize(links, "near-links", n)
     discard(texts, needed)
     return links.select("a", "b")
 
@@ -419,24 +419,25 @@ def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     schema = rows.drop("text").schema.add("n_words", "long").add("sketch", T.ArrayType(T.LongType())).add("bag", "binary")
     sketched = materialize(rows.mapInArrow(_sketched, schema), "near-sketches")
     first = F.min_by(F.struct("doc_id", "rid", "n_words", "sketch", "bag"), identifier())
-    firsts = materialize(sketched.groupBy("digest").agg(first.alias("first")).select("digest", "first.*"), "near-firsts")
+    n = sketched.count()  # of a written table: footers only
+    firsts = materialize(sketched.groupBy("digest").agg(first.alias("first")).select("digest", "first.*"), "near-firsts", n)
 
-    met = buckets(firsts)
-    pairs = materialize(candidates(met), "near-pairs")
-    links = aligned(docs, digest, firsts, pairs)
-    edges, carried_on = components(links), None
+    met = buckets(firsts, n)
+    pairs = materialize(candidates(met), "near-pairs", n)
+    links = aligned(docs, digest, firsts, pairs, n)
+    edges, carried_on = components(links, n), None
     for hubs in (True, False):
         discard(links)
-        rows = opened(met, edges.select(F.col("a").alias("rid"), F.col("b").alias("root")))
+        rows = opened(met, edges.select(F.col("a").alias("rid"), F.col("b").alias("root")), n)
         if carried_on is None:  # later on, no others are open
-            open_ids = materialize(rows.select("rid").distinct(), "near-open-ids")
-            carried_on = materialize(firsts.join(few(open_ids), "rid").select("rid", "bag", "sketch"), "near-bags")
+            open_ids = materialize(rows.select("rid").distinct(), "near-open-ids", n)
+            carried_on = materialize(firsts.join(few(open_ids), "rid").select("rid", "bag", "sketch"), "near-bags", n)
             discard(open_ids)
-        more = remaining(rows, carried_on, pairs, hubs)
+        more = remaining(rows, carried_on, pairs, hubs, n)
         discard(rows)
-        links = aligned(docs, digest, firsts, more)
+        links = aligned(docs, digest, firsts, more, n)
         if links.limit(1).count():
-            before, edges = edges, components(edges.union(links))
+            before, edges = edges, components(edges.union(links), n)
             discard(before)
         pairs = pairs.union(more)
     discard(pairs, met, links, carried_on)

@@ -16,6 +16,8 @@ decides which candidates are personal data too.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,8 +50,11 @@ MORE = {
     "street": ("street", rf"(?<![\p{{L}}\p{{N}}])[0-9]{{1,5}}\x20(?:\p{{Lu}}\p{{Ll}}++\x20){{1,3}}(?:{STREETS})(?![\p{{L}}\p{{N}}])|(?<![\p{{L}}\p{{N}}])\p{{Lu}}[\p{{Ll}}-]*(?:{STRASSEN})\x20[0-9]{{1,4}}(?![\p{{L}}\p{{N}}])"),
 }
 KINDS = ["email", "ip", "card", "phone", "secret", "account", "national", "person", "street"]
-#: A pattern is tried where the text matches this, which its hits do ("": everywhere); one without a hint where it has a digit.
-HINTS = {"email": "@", "phone": "\\+", "spelt_email": "at", "assigned_secret": "", "key_secret": "AKIA|gh[pousr]_|xox", "titled_name": TITLES}
+#: A pattern is tried where the text has one of these, as all its hits do; one without a hint where it has a digit.
+HINTS = {
+    "email": ("@",), "phone": ("+",), "spelt_email": (" at ", "(at)", "[at]", "(at]", "[at)"), "assigned_secret": ("password", "passwd", "secret", "token", "api"),
+    "key_secret": ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox"), "national_number": ("-",), "titled_name": tuple(TITLES.split("|")), "street": tuple(f"{STREETS}|{STRASSEN}".split("|")),
+}
 #: A candidate that failed the check of its base kind has so many digits.
 NEAR_MISS = {"ip": (4, 16), "card": (12, 20), "phone": (7, 17)}
 CONTEXT = 24
@@ -116,7 +121,7 @@ def located(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     arrays = []
     for name, pattern in patterns.items():
         hint = HINTS.get(name)
-        there = has_digit if hint is None else F.col("text").rlike(hint) if hint else F.lit(True)
+        there = has_digit if hint is None else reduce(or_, [F.contains("text", F.lit(x)) for x in hint])
         slim = slim.withColumn(f"g_{name}", F.when(there, F.split("text", pattern, -1))).withColumn(f"h_{name}", F.when(there, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
         # what stands between the hits is kept as its length and its ends only
         gaps = F.transform(f"g_{name}", lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
