@@ -1,4 +1,4 @@
-"""Command line: link, build, break, gets, scaffold, pairs-bed, sizes, convert-bam and agp-assembly.
+"""Command line: link, build, break, break-links, gets, scaffold, pairs-bed, sizes, convert-bam and agp-assembly.
 
     python -m strandloom.cli scaffold -o OUT -x contigs.fai [-r contigs.fa] reads.bam ...
 
@@ -9,11 +9,12 @@ are folders of part files, as Spark writes them.
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import contacts, coverage, metrics, pairs
+from .operators import contacts, coverage, iterate, metrics, pairs, sequences
 from .plans import scaffolding
 from .plans.scaffolding import Options
 from .sources import agp, bam, fasta, sat, text, tracks
@@ -24,15 +25,12 @@ def _reads(spark: SparkSession, paths: list[str], contigs: DataFrame) -> DataFra
     frames = []
     for i, path in enumerate(paths):
         if path.endswith(".bam"):
-            records, targets = bam.renumbered(bam.read_bam(spark, path)), bam.read_bam(spark, path, kind="targets")
-            records = bam.by_name(records, targets, contigs)
+            records, targets = bam.renumbered(bam.read_bam(spark, path, tags="no")), bam.read_bam(spark, path, kind="targets")
         else:
-            records = bam.from_parquet(spark, path)
-        frames.append(records.select((F.col("file_id") + 1000 * i).alias("file_id"), "rec_no", "qname", "flag", "tid", "pos0", "mapq", "cigar"))
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return pairs.from_records(out)
+            records, targets = bam.from_parquet(spark, path), bam.from_parquet(spark, path, "targets")
+        named = bam.by_name(records, targets, contigs)
+        frames.append(named.select((F.col("file_id") + bam.FILES**2 * i).alias("file_id"), "rec_no", "qname", "flag", "tid", "pos0", "mapq", "cigar"))
+    return pairs.from_records(reduce(DataFrame.unionByName, frames))
 
 
 def _contigs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -42,7 +40,9 @@ def _contigs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         return text.contigs(named)
     if getattr(args, "fai", None):
         return text.contigs(text.read_fai(spark, args.fai))
-    return bam.read_bam(spark, args.bams[0], kind="targets").select("tid", "name", "len", F.lit(False).alias("is_circ"))
+    first = args.bams[0]
+    targets = bam.read_bam(spark, first, kind="targets") if first.endswith(".bam") else bam.from_parquet(spark, first, "targets")
+    return targets.filter(F.col("file_id") == 0).select("tid", "name", "len", F.lit(False).alias("is_circ"))
 
 
 def _graph(spark: SparkSession, args: argparse.Namespace, contigs: DataFrame) -> sat.ScaffoldGraph:
@@ -65,6 +65,12 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     sat.write_sat(scaffolding.build(graph, text.read_links(spark, args.links), _options(args)), args.out)
 
 
+def break_links(spark: SparkSession, args: argparse.Namespace) -> None:
+    known = _contigs(spark, args)
+    found = scaffolding.break_by_neighbours(text.read_links(spark, args.links), known, _graph(spark, args, known), args.limit, args.level)
+    sat.write_sat(found, args.out)
+
+
 def break_(spark: SparkSession, args: argparse.Namespace) -> None:
     known = _contigs(spark, args)
     accepted = pairs.accepted_pairs(_reads(spark, args.bams, known), args.min_mapq)
@@ -74,6 +80,9 @@ def break_(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def gets(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.pieces:
+        fasta.write_pieces(sequences.sequence_pieces(scaffolding.current_placement(sat.read_sat(spark, args.sat)), fasta.read_fasta(spark, args.fasta)), args.out)
+        return
     found = scaffolding.get_sequences(sat.read_sat(spark, args.sat), fasta.read_fasta(spark, args.fasta), args.min_length)
     fasta.write_fasta(found.select(F.col("scf").alias("name"), "seq"), args.out)
 
@@ -104,7 +113,7 @@ def sizes(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def convert_bam(spark: SparkSession, args: argparse.Namespace) -> None:
-    bam.to_parquet(spark, args.bams[0], args.out)
+    bam.to_parquet(spark, args.bams, args.out)
 
 
 def agp_assembly(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -145,9 +154,14 @@ def parser() -> argparse.ArgumentParser:
     command("link", link, "sat", "fai", "contacts", "reads")
     command("build", build, "sat", "fai", "joins").add_argument("links")
     command("break", break_, "sat", "break", "reads").add_argument("-P", dest="prefix", default="scaffs.bk")
+    one = command("break-links", break_links, "sat", "fai")
+    one.add_argument("-n", dest="limit", type=int, default=2, help="a neighbour is among the first n - 1 by contacts")
+    one.add_argument("-c", dest="level", type=float, help="judge by the order of contacts instead, at this level")
+    one.add_argument("links")
     one = command("gets", gets, "sat")
     one.add_argument("-c", dest="fasta", required=True)
     one.add_argument("-l", dest="min_length", type=int, default=0)
+    one.add_argument("--pieces", action="store_true", help="for scaffolds too long for one value: contigs in order, in lines of their own")
     one = command("scaffold", scaffold, "sat", "fai", "contacts", "joins", "break", "reads")
     one.add_argument("-i", dest="rounds", type=int)
     one.add_argument("-b", dest="break_misjoins", action="store_false", help="leave mis-joins")
@@ -164,7 +178,10 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     scaffolding.settings(spark)
-    args.run(spark, args)
+    try:
+        args.run(spark, args)
+    finally:
+        iterate.clear(spark)
 
 
 if __name__ == "__main__":

@@ -17,6 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ RECORDS = "file_id INT, rec_no BIGINT, qname STRING, flag INT, tid INT, pos0 INT
 TARGETS = "file_id INT, tid INT, name STRING, len BIGINT"
 #: Compressed bytes of a range; record numbers of range k begin at k times NUMBERS.
 RANGE_BYTES, NUMBERS = 64 << 20, 1 << 40
+#: Up to so many targets (some 50 bytes each) are broadcast to the records, else joined by a shuffle.
+BROADCAST_TARGETS = 300_000
+#: Files of a path, at most; fixed value: the flag of an unmapped read.
+FILES, UNMAPPED = 1000, 4
 #: So many records must look sound for a place to count as a record's beginning.
 PLAUSIBLE = 3
 #: Sizes of the numeric tag types.
@@ -130,12 +135,12 @@ def tags_of(data: bytes) -> dict[str, str]:
     return out
 
 
-def record_of(data: bytes) -> tuple:
-    """(qname, flag, tid, pos0, mapq, cigar, mate_tid, mate_pos, isize, tags) of a record without its size."""
+def record_of(data: bytes, tagged: bool = True) -> tuple:
+    """(qname, flag, tid, pos0, mapq, cigar, mate_tid, mate_pos, isize, tags) of a record without its size; tags null unless ``tagged``."""
     tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, isize = struct.unpack_from("<iiBBHHHiiii", data, 0)
     at = 32 + l_name
     cigar = [{"op": x & 15, "len": x >> 4} for x in struct.unpack_from(f"<{n_cigar}I", data, at)]
-    tags = tags_of(data[at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :])
+    tags = tags_of(data[at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :]) if tagged else None
     return data[32 : at - 1].decode("latin-1"), flag, tid, pos, mapq, cigar, mate, mate_pos, isize, tags
 
 
@@ -153,7 +158,7 @@ def sound(data: bytes, at: int, targets: int) -> int | None:
     return at + 4 + size
 
 
-def records(path: str, begin: int, end: int) -> Iterator[tuple]:
+def records(path: str, begin: int, end: int, tagged: bool = True) -> Iterator[tuple]:
     """Records that begin in the blocks from begin up to end."""
     targets, skip = header_of(path)
     data, at, limit = b"", 0, None  # limit: where in data the blocks past end begin
@@ -201,7 +206,7 @@ def records(path: str, begin: int, end: int) -> Iterator[tuple]:
             if limit is not None and at >= limit:
                 return
         size = struct.unpack_from("<i", data, at)[0]
-        yield record_of(data[at + 4 : at + 4 + size])
+        yield record_of(data[at + 4 : at + 4 + size], tagged)
         at += 4 + size
 
 
@@ -211,8 +216,8 @@ class Range(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], targets: bool, size: int) -> None:
-        self.paths, self.targets, self.size = paths, targets, size
+    def __init__(self, paths: list[str], targets: bool, size: int, tagged: bool) -> None:
+        self.paths, self.targets, self.size, self.tagged = paths, targets, size, tagged
 
     def partitions(self) -> list[Range]:
         if self.targets:
@@ -224,12 +229,12 @@ class BamReader(DataSourceReader):
             for tid, (name, length) in enumerate(header_of(part.path)[0]):
                 yield part.file_id, tid, name, length
             return
-        for n, record in enumerate(records(part.path, part.begin, part.end)):
+        for n, record in enumerate(records(part.path, part.begin, part.end, self.tagged)):
             yield part.file_id, part.number * NUMBERS + n, *record
 
 
 class BamSource(DataSource):
-    """Options: path (a file, a folder or a pattern that all executors see), kind (records or targets), rangeBytes."""
+    """Options: path (a file, a folder or a pattern that all executors see), kind (records or targets), rangeBytes, tags ("no": left out)."""
 
     @classmethod
     def name(cls) -> str:
@@ -243,7 +248,7 @@ class BamSource(DataSource):
         paths = sorted(glob.glob(os.path.join(where, "*.bam") if os.path.isdir(where) else where))
         if not paths:
             raise FileNotFoundError(where)
-        return BamReader(paths, self.options.get("kind") == "targets", int(self.options.get("rangeBytes", RANGE_BYTES)))
+        return BamReader(paths, self.options.get("kind") == "targets", int(self.options.get("rangeBytes", RANGE_BYTES)), self.options.get("tags") != "no")
 
 
 def register(spark: SparkSession) -> None:
@@ -272,19 +277,30 @@ def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def by_name(records_: DataFrame, targets: DataFrame, contigs: DataFrame) -> DataFrame:
     """Records with tid as in contigs (tid, name): files may list their targets in another order.
 
-    Unmapped records keep no tid; a mapped record on an unknown contig is an error of the data,
-    which ``contigs`` must be checked for (see operators.weights.unknown_contigs).
+    Unmapped records may be without a tid; a mapped record on a contig that ``contigs`` does not have is an error.
     """
-    own = targets.select("file_id", "tid", "name").join(contigs.selectExpr("name", "tid AS known"), "name").select("file_id", "tid", "known")
-    return records_.join(own, ["file_id", "tid"], "left").drop("tid").withColumnRenamed("known", "tid")
+    own = targets.select("file_id", "tid", "name").join(contigs.selectExpr("name", "tid AS known"), "name", "left")
+    joined = records_.join(F.broadcast(own) if own.count() <= BROADCAST_TARGETS else own, ["file_id", "tid"], "left")
+    stray = (F.col("flag").bitwiseAND(UNMAPPED) == 0) & (F.col("tid") >= 0) & F.col("known").isNull()
+    message = F.concat(F.lit("a read lies on a contig that is not in the list: "), F.coalesce("name", F.col("tid").cast("string")))
+    tid = F.when(stray, F.raise_error(message).cast("int")).otherwise(F.col("known"))
+    return joined.withColumn("tid", tid).select(*records_.columns)
 
 
-def to_parquet(spark: SparkSession, path: str, out: str, **options: str) -> None:
-    """Decodes once: later runs read only the columns they need."""
+def _numbered(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    """What several paths hold, each of which may be a folder or a pattern, with file ids that go on from path to path."""
+    return reduce(DataFrame.unionByName, [read_bam(spark, path, **options).withColumn("file_id", F.col("file_id") + FILES * i) for i, path in enumerate(paths)])
+
+
+def to_parquet(spark: SparkSession, paths: str | list[str], out: str, **options: str) -> None:
+    """Decodes once: later runs read only the columns they need.  The targets of each file are kept beside the records."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
     kept = ["file_id", "rec_no", "qname", "flag", "tid", "pos0", "mapq", "cigar"]
-    read_bam(spark, path, **options).select(*kept).write.mode("overwrite").parquet(out)
+    _numbered(spark, paths, tags="no", **options).select(*kept).write.mode("overwrite").parquet(f"{out}/records")
+    _numbered(spark, paths, kind="targets").write.mode("overwrite").parquet(f"{out}/targets")
 
 
-def from_parquet(spark: SparkSession, out: str) -> DataFrame:
-    """What to_parquet() wrote, with record numbers without holes."""
-    return renumbered(spark.read.parquet(out))
+def from_parquet(spark: SparkSession, out: str, kind: str = "records") -> DataFrame:
+    """What to_parquet() wrote: records with numbers without holes, or the files' targets."""
+    table = spark.read.parquet(f"{out}/{kind}")
+    return renumbered(table) if kind == "records" else table

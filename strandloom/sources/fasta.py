@@ -27,7 +27,7 @@ def with_sequences(sequences: DataFrame, fasta: DataFrame) -> DataFrame:
 def write_fasta(sequences: DataFrame, path: str, min_length: int = 0) -> None:
     """Records (name, seq) of at least ``min_length`` as ">name len" and the sequence in one line."""
     kept = sequences.filter(F.length("seq") >= F.greatest(F.lit(min_length), F.lit(1)))
-    kept.select(F.concat(F.lit(">"), "name", F.lit("\t"), F.length("seq").cast("string"), F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
+    kept.select(F.concat(F.lit(">"), "name", F.lit(" "), F.length("seq").cast("string"), F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_pieces(pieces: DataFrame, path: str) -> None:

@@ -97,6 +97,33 @@ def test_targets_of_files_are_matched_by_name(spark, tmp_path):
     assert [r["tid"] for r in found.orderBy("rec_no").collect()] == [8, 7, 8, 7]
 
 
+def test_several_files_with_other_orders_of_contigs(spark, tmp_path):
+    """Files list their contigs in different orders; converted ones are mapped by name as well, and all files are read."""
+    names, lengths = ["one", "two", "three"], {"one": 9000, "two": 8000, "three": 7000}
+    for k, order in enumerate((["three", "one", "two"], ["two", "three", "one"])):
+        records = []
+        for i in range(20):
+            for flag, name, pos in ((0x40, "one", 8900 - i * 7 - k), (0x80, "two", 10 + i * 5 + k)):
+                records.append((f"f{k}r{i}", flag, order.index(name), pos, 40, [(0, 8)]))
+        (tmp_path / f"x{k}.bam").write_bytes(bgzf(bam_bytes([(n, lengths[n]) for n in order], records), 900))
+    (tmp_path / "x.fai").write_text("".join(f"{n}\t{lengths[n]}\t{i}\n" for i, n in enumerate(names)))
+    files = [str(tmp_path / f"x{k}.bam") for k in (0, 1)]
+    columns = ["ctg1", "end1", "ctg2", "end2", "weight"]
+
+    def linked(*reads):
+        cli.main(["link", "-o", str(tmp_path / "m"), "-x", str(tmp_path / "x.fai"), *reads])
+        return rows(text.read_links(spark, str(tmp_path / "m")), *columns)
+
+    want = [("one", "-", "two", "+", 40.0), ("two", "+", "one", "-", 40.0)]
+    assert linked(*files) == want
+    cli.main(["convert-bam", "-o", str(tmp_path / "both"), *files])
+    cli.main(["convert-bam", "-o", str(tmp_path / "first"), files[0]])
+    assert linked(str(tmp_path / "both")) == want == linked(str(tmp_path / "first"), files[1])
+    (tmp_path / "x.fai").write_text("one\t9000\t0\nthree\t7000\t1\n")
+    with pytest.raises(Exception, match="not in the list: two"):
+        linked(files[0])
+
+
 def test_sat_round_trip(spark, tmp_path):
     (tmp_path / "g.sat").write_text(SAT)
     graph = sat.read_sat(spark, str(tmp_path / "g.sat"))
@@ -135,7 +162,21 @@ def test_fasta(spark, tmp_path):
     filled = fasta.with_sequences(spark.createDataFrame([("a", 0, None), ("b", 7, None), ("z", 0, None)], "name string, len long, seq string"), found)
     assert rows(filled, "name", "len") == [("a", 4), ("b", 7), ("z", 0)]
     fasta.write_fasta(found, str(tmp_path / "out"), min_length=3)
-    assert lines(tmp_path / "out") == [">a\t4", "ACGT"]
+    assert lines(tmp_path / "out") == [">a 4", "ACGT"]
+
+
+def test_pieces_bedgraph_gfa_and_repeated_sequences(spark, tmp_path):
+    (tmp_path / "g.sat").write_text(SAT.replace("S\ta\t1000\t*\n", "S\ta\t0\t*\nS\ta\t1000\t*\nS\ta\t7\tACGT\n"))
+    assert rows(sat.read_sat(spark, str(tmp_path / "g.sat")).sequences.fillna("*"), "name", "len", "seq") == [("a", 1000, "ACGT"), ("b", 500, "*"), ("c", 300, "ACGT")]
+    graph = sat.read_gfa(spark, str(tmp_path / "g.sat"))
+    assert (graph.paths.count(), graph.joins.count(), graph.assemblies.count(), graph.current.count()) == (3, 1, 0, 0)
+    assert scaffolding.current_sequences(graph).count() == 3
+    (tmp_path / "x.fa").write_text(">a\nAACC\n>b\nGG\n>c\nT\n")
+    cli.main(["gets", "-o", str(tmp_path / "out"), "-s", str(tmp_path / "g.sat"), "-c", str(tmp_path / "x.fa"), "--pieces"])
+    assert lines(tmp_path / "out") == [">u000000000", "AACC", "N" * 200 + "CC", ">u000000001", "T"]
+    intervals = spark.createDataFrame([("s", 5, 9, 2), ("s", 1, 4, 1), ("t", 1, 3, 0)], "scf string, s long, e long, cov long")
+    tracks.write_bedgraph(intervals, str(tmp_path / "bg"))
+    assert lines(tmp_path / "bg") == ["s\t1\t4\t1", "s\t5\t9\t2", "t\t1\t3\t0"]
 
 
 def test_agp(spark, tmp_path):
