@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import zone, zone_borders
+from .iterate import running
 
 
 def with_zones(contigs: DataFrame, ignore_middle: bool = True) -> DataFrame:
@@ -73,9 +74,8 @@ AXIS, WIDTHS = 2_100_000_000, (2_500_000, 1_000_000, 500_000, 250_000, 100_000,
 
 
 def axis(sizes: DataFrame) -> DataFrame:
-    """(scf, len, start) of scaffolds (scf, len) on one axis, the longest first; one short row a scaffold."""
-    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("len"), "scf").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("scf", "len", F.coalesce(F.sum("len").over(before), F.lit(0)).cast("long").alias("start"))
+    """(scf, len, start) of scaffolds (scf, len) on one axis, the longest first."""
+    return running(sizes.select("scf", "len"), [F.desc("len"), F.col("scf")], F.col("len")).withColumnRenamed("before", "start")
 
 
 def axis_scale(sizes: DataFrame) -> int:

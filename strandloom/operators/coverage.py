@@ -5,27 +5,35 @@ Positions count from 1 and intervals include both ends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Regions of support with less than this between them are one.
 JOIN_DISTANCE = 20
 #: Width of the bins by which intervals meet regions.
 REGION_BIN = 1 << 16
+#: Width of the stretches of a scaffold that are swept by tasks of their own.
+SWEEP_BIN = 1 << 20
 
 
-def coverage(spans: DataFrame, scaffolds: DataFrame) -> DataFrame:
+def coverage(spans: DataFrame, scaffolds: DataFrame, width: int = SWEEP_BIN) -> DataFrame:
     """(scf, s, e, cov): intervals of equal coverage that tile 1 to len of every scaffold (scf, len).
 
     A sweep: each span (scf, s, e) adds 1 from s on and takes it back behind e; changes at one
-    place are summed before the running sum, so the window is over distinct places.
+    place are summed first.  The running sum is taken inside bins of positions, and the bins'
+    own sums, a short row for each, are summed along the scaffold: no task holds a scaffold.
     """
     change = lambda place, by: F.struct(place.alias("pos"), F.lit(by).cast("long").alias("delta"))
     events = spans.select("scf", F.inline(F.array(change(F.col("s"), 1), change(F.col("e") + 1, -1))))
     events = events.unionByName(scaffolds.select("scf", F.lit(1).cast("long").alias("pos"), F.lit(0).cast("long").alias("delta")))
-    places = events.groupBy("scf", "pos").agg(F.sum("delta").alias("delta")).join(scaffolds.select("scf", "len"), "scf")
-    along = Window.partitionBy("scf").orderBy("pos")
-    swept = places.withColumn("cov", F.sum("delta").over(along)).withColumn("e", F.coalesce(F.lead("pos").over(along) - 1, F.col("len")))
+    places = events.groupBy("scf", "pos").agg(F.sum("delta").alias("delta")).withColumn("bin", F.floor(F.col("pos") / width))
+    over = Window.partitionBy("scf").orderBy("bin")
+    bins = places.groupBy("scf", "bin").agg(F.sum("delta").alias("change"), F.min("pos").alias("first"))
+    before = F.coalesce(F.sum("change").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("scf", "bin", before.alias("before"), F.lead("first").over(over).alias("following")).join(scaffolds.select("scf", "len"), "scf")
+    along = Window.partitionBy("scf", "bin").orderBy("pos")
+    end = F.coalesce(F.coalesce(F.lead("pos").over(along), F.col("following")) - 1, F.col("len"))
+    swept = places.join(bins, ["scf", "bin"]).withColumn("cov", F.col("before") + F.sum("delta").over(along)).withColumn("e", end)
     return swept.filter((F.col("pos") <= F.col("len")) & (F.col("e") >= F.col("pos"))).select("scf", F.col("pos").alias("s"), F.least("e", "len").alias("e"), "cov")
 
 
@@ -86,20 +94,24 @@ def column_maxima(intervals: DataFrame, width: int, columns: int) -> DataFrame:
     return cut.select("scf", F.floor(F.col("narrow") / columns).alias("window"), (F.col("narrow") % columns).alias("col"), "max_cov")
 
 
-def supported(intervals: DataFrame, low: int, high: int, distance: int = JOIN_DISTANCE) -> DataFrame:
-    """(scf, s, e): intervals with coverage from low to high, joined where less than ``distance`` lies between."""
-    along = Window.partitionBy("scf").orderBy("s")
-    kept = intervals.filter(F.col("cov").between(low, high))
-    begins = F.coalesce(F.col("s") - F.lag("e").over(along) >= distance, F.lit(True)).cast("int")
-    island = kept.withColumn("begins", begins).withColumn("island", F.sum("begins").over(along))
-    return island.groupBy("scf", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("scf", "s", "e")
+def supported(intervals: DataFrame, low: int, high: int, distance: int = JOIN_DISTANCE, width: int = SWEEP_BIN) -> DataFrame:
+    """(scf, s, e): intervals with coverage from low to high, joined where less than ``distance`` lies between.
+
+    Islands are numbered inside bins of positions, and go on from bin to bin by the bins' own counts.
+    """
+    kept = intervals.filter(F.col("cov").between(low, high)).select("scf", "s", "e", F.floor(F.col("s") / width).alias("bin"))
+    along, over = Window.partitionBy("scf", "bin").orderBy("s"), Window.partitionBy("scf").orderBy("bin")
+    marked = kept.withColumn("apart", F.col("s") - F.lag("e").over(along) >= distance)  # null for the first of a bin
+    bins = marked.groupBy("scf", "bin").agg(F.min("s").alias("first"), F.max("e").alias("last"), F.count(F.when(F.col("apart"), 1)).alias("inside"))
+    bins = bins.withColumn("begins", F.coalesce(F.col("first") - F.lag("last").over(over) >= distance, F.lit(True)).cast("int"))
+    before = F.coalesce(F.sum(F.col("inside") + F.col("begins")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = bins.select("scf", "bin", (before + F.col("begins")).alias("number"))
+    island = F.col("number") + F.count(F.when(F.col("apart"), 1)).over(along)
+    found = marked.join(numbered, ["scf", "bin"]).withColumn("island", island)
+    return found.groupBy("scf", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("scf", "s", "e")
 
 
 def base_coverage(intervals: DataFrame, scaffolds: DataFrame) -> DataFrame:
     """(scf, s, e, cov): intervals, and one of coverage 0 for a scaffold that has none."""
     missing = scaffolds.join(intervals.select("scf").distinct(), "scf", "left_anti")
     return intervals.select("scf", "s", "e", "cov").unionByName(missing.select("scf", F.lit(1).cast("long").alias("s"), F.col("len").alias("e"), F.lit(0).cast("long").alias("cov")))
-
-
-def positive(value: Column) -> Column:
-    return F.when(value > 0, value)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GAP
+from ..operators.iterate import running
 
 COLUMNS = "object STRING, beg STRING, end STRING, part STRING, type STRING, comp STRING, comp_beg STRING, comp_end STRING, orient STRING"
 
@@ -25,8 +26,7 @@ def read_agp(spark: SparkSession, path: str) -> DataFrame:
 def rows(placed: DataFrame, first: int = 1) -> DataFrame:
     """Component rows (number, object, comp, len, orient) of placements (scf, ord, name, len, fwd), in order of scaffold."""
     counts = placed.groupBy("scf").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("scf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("scf").alias("of"), before.alias("before"))
+    starts = running(counts, [F.col("scf")], F.col("n")).select(F.col("scf").alias("of"), "before")
     joined = placed.join(starts, F.col("scf") == F.col("of"))
     return joined.select((F.col("before") + F.col("ord") + first - 1).alias("number"), F.col("scf").cast("string").alias("object"), F.col("name").alias("comp"), "len", F.when(F.col("fwd"), "+").otherwise("-").alias("orient"))
 

@@ -5,7 +5,7 @@ Tags: H header, S sequence, P path, L join, A assembly (a list of paths), C curr
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +36,6 @@ class ScaffoldGraph:
         rows = self.paths.select(F.col("name").alias("path"), F.posexplode("elems").alias("place", "x"))
         return rows.select("path", (F.col("place") + 1).alias("ord"), F.col("x.name").alias("name"), F.col("x.fwd").alias("fwd"))
 
-    def lengths(self) -> DataFrame:
-        """(name, len) of everything a path can hold: sequences and paths."""
-        return self.sequences.select("name", "len").unionByName(self.paths.select("name", "len"))
-
     def current_sizes(self) -> DataFrame:
         """(name, len) of the current assembly's paths."""
         held = self.current_paths().select(F.col("path").alias("name"))
@@ -59,7 +55,9 @@ def read_sat(spark: SparkSession, path: str) -> ScaffoldGraph:
     tagged = lambda tag: lines.filter(F.col("value").startswith(f"{tag}\t"))
     field = lambda i: F.get(parts, F.lit(i))
     seq = F.when(field(3) != "*", field(3))
-    sequences = _first(tagged("S").select("at", field(1).alias("name"), F.coalesce(field(2).try_cast("long"), F.lit(0)).alias("len"), seq.alias("seq")))
+    named = tagged("S").select("at", field(1).alias("name"), F.coalesce(field(2).try_cast("long"), F.lit(0)).alias("len"), seq.alias("seq"))
+    known = F.min_by(F.when(F.col("len") != 0, F.col("len")), F.when(F.col("len") != 0, F.col("at")))  # of lines with one name, the first that says it
+    sequences = named.groupBy("name").agg(F.coalesce(known, F.lit(0)).alias("len"), F.min_by("seq", F.when(F.col("seq").isNotNull(), F.col("at"))).alias("seq"))
     elems = F.transform(F.split(field(3), ","), lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).alias("name"), (F.right(x, F.lit(1)) == "+").alias("fwd")))
     paths = _first(tagged("P").select("at", field(1).alias("name"), field(2).try_cast("long").alias("len"), field(1).rlike("^c[0-9]{9}$").alias("is_circ"), elems.alias("elems")))
     weight = F.regexp_extract(field(5), "^wt:f:(.*)$", 1).try_cast("float")
@@ -69,6 +67,12 @@ def read_sat(spark: SparkSession, path: str) -> ScaffoldGraph:
     return ScaffoldGraph(sequences, joins, paths, assemblies, current)
 
 
+def read_gfa(spark: SparkSession, path: str) -> ScaffoldGraph:
+    """Sequences, joins and paths only, as a graph without assemblies."""
+    graph = read_sat(spark, path)
+    return replace(graph, assemblies=graph.assemblies.limit(0), current=graph.current.limit(0))
+
+
 def lines_of(graph: ScaffoldGraph) -> DataFrame:
     """(section, ord, value): the lines of the file in order."""
     spark = graph.sequences.sparkSession

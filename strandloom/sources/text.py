@@ -6,9 +6,11 @@ trailing numbers count as 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import running
+
 FAI = "name STRING, len BIGINT, offset BIGINT, linebases INT, linewidth INT"
 LINKS = "ctg1 STRING, end1 STRING, ctg2 STRING, end2 STRING, weight DOUBLE, zone2 BIGINT, zone1 BIGINT, n BIGINT"
 TRACK = "name STRING, s BIGINT, e BIGINT, f4 BIGINT, f5 BIGINT, f6 BIGINT"
@@ -26,10 +28,10 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def contigs(fai: DataFrame) -> DataFrame:
-    """(tid, name, len, is_circ) of an index, numbered by offset, then name; one short row a contig."""
-    order = Window.partitionBy(F.lit(0)).orderBy("offset", "name")
+    """(tid, name, len, is_circ) of an index, numbered by offset, then name."""
     first = fai.groupBy("name").agg(F.min("offset").alias("offset"), F.min_by("len", "offset").alias("len"))
-    return first.select((F.row_number().over(order) - 1).alias("tid"), "name", "len", F.lit(False).alias("is_circ"))
+    numbered = running(first, [F.col("offset"), F.col("name")], F.lit(1))
+    return numbered.select(F.col("before").cast("int").alias("tid"), "name", "len", F.lit(False).alias("is_circ"))
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
