@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GAP, clearly_more
@@ -86,3 +86,42 @@ def doubtful_orientations(cell_rows: DataFrame, placed: DataFrame, level: float
     minus, plus = F.col("mm") + F.col("mp"), F.col("pm") + F.col("pp")
     facing, away = F.when(F.col("fwd"), minus).otherwise(plus), F.when(F.col("fwd"), plus).otherwise(minus)
     return seen.filter((away > facing) & clearly_more(away, facing, level)).select("scf", "ord")
+
+
+def misplacements(cell_rows: DataFrame, placed: DataFrame, level: float = 0.95) -> DataFrame:
+    """(scf, ord): cut behind these elements, judged by the order of each contig's contacts within its scaffold.
+
+    cell_rows: (tid1, tid2, mm, mp, pm, pp) as raw counts; placed: (scf, ord, tid, fwd, len, is_head, is_tail).
+    Contacts are ranked by hits for each base of the other contig.  A contact ahead belongs to the
+    contig's tail (the end that faces what follows) unless its head has clearly more hits of it; one behind
+    belongs to the head unless the tail has.  The first contact of the tail ought to be the next element and the first of the head
+    the one before.  Where it is another one and the hits are clear, the path is cut on that side; where
+    they are not, the contact ranked next is asked, and the path is cut unless that is the neighbour,
+    clearly.  It is cut too where an end has no contact, and where its first one lies on the wrong side.
+    """
+    own = placed.select(F.col("tid").alias("tid1"), "scf", "ord", "fwd")
+    other = placed.select(F.col("tid").alias("tid2"), F.col("scf").alias("scf2"), F.col("ord").alias("ord2"), "len")
+    minus, plus = F.col("mm") + F.col("mp"), F.col("pm") + F.col("pp")
+    seen = cell_rows.filter("tid1 <> tid2").join(own, "tid1").join(other, "tid2").withColumns(
+        {"tail": F.when(F.col("fwd"), minus).otherwise(plus), "head": F.when(F.col("fwd"), plus).otherwise(minus), "w": (minus + plus) / F.col("len")}
+    )
+    order = Window.partitionBy("tid1").orderBy(F.desc("w"), "tid2")
+    seen = seen.withColumn("rank", F.row_number().over(order)).withColumn("after", F.lead(F.struct("scf2", "ord2", "tail", "head")).over(order))
+    near = seen.filter("scf = scf2")
+    ahead = F.col("ord2") > F.col("ord")
+    tails = F.when(ahead, ~clearly_more(F.col("head"), F.col("tail"), level)).otherwise(clearly_more(F.col("tail"), F.col("head"), level))
+    contact = F.struct("rank", "ord2", "tail", "head", "after")
+    firsts = near.withColumn("of_tail", tails).groupBy("scf", "ord").agg(F.min(F.when(F.col("of_tail"), contact)).alias("t"), F.min(F.when(~F.col("of_tail"), contact)).alias("h"))
+    judged = placed.select("scf", "ord", "is_head", "is_tail").join(firsts, ["scf", "ord"], "left")
+
+    def cut(first: str, step: int, more: str, less: str) -> Column:
+        neighbour, after = F.col("ord") + step, F.col(f"{first}.after")
+        right_side = (F.col(f"{first}.ord2") > F.col("ord")) if step > 0 else (F.col(f"{first}.ord2") < F.col("ord"))
+        clear = clearly_more(F.col(f"{first}.{more}"), F.col(f"{first}.{less}"), level)
+        saved = (after["scf2"] == F.col("scf")) & (after["ord2"] == neighbour) & clearly_more(after[more], after[less], level)
+        stays = right_side & ((F.col(f"{first}.ord2") == neighbour) | (~clear & F.coalesce(saved, F.lit(False))))
+        return ~F.coalesce(stays, F.lit(False))
+
+    behind = F.when(~F.col("is_tail") & cut("t", 1, "tail", "head"), F.col("ord"))
+    before = F.when(~F.col("is_head") & cut("h", -1, "head", "tail"), F.col("ord") - 1)
+    return judged.select("scf", F.explode(F.array_compact(F.array(behind, before))).alias("ord")).distinct()

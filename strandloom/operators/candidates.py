@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import clearly_more
 from .weights import CELLS
 
 
@@ -27,18 +28,26 @@ def mutual_contigs(candidates: DataFrame) -> DataFrame:
     return in_both_directions(candidates.filter("ctg1 <> ctg2"), ["ctg1"], ["ctg2"])
 
 
-def orientation(cell_rows: DataFrame) -> DataFrame:
-    """cells with ``cell``: the place (0 to 3) of the largest of mm, mp, pm, pp; null if two are largest."""
+def orientation(cell_rows: DataFrame, level: float | None = None) -> DataFrame:
+    """cells with ``cell``: the place (0 to 3) of the largest of mm, mp, pm, pp; null if two are largest.
+
+    With ``level`` it is null too unless the largest has clearly more hits (hits: those of the
+    largest cell) than the second, and for candidates that are not the first of their contig (rank).
+    """
     values = F.array(*[name for name, *_ in CELLS])
     largest = F.array_max(values)
     times = F.size(F.filter(values, lambda x: x == largest))
-    return cell_rows.withColumn("cell", F.when(times == 1, F.array_position(values, largest) - 1))
+    only = times == 1
+    if level is not None:
+        second = F.element_at(F.array_sort(values), 3)
+        only = only & (F.col("rank") == 1) & clearly_more(F.col("hits"), second / largest * F.col("hits"), level)
+    return cell_rows.withColumn("cell", F.when(only, F.array_position(values, largest) - 1))
 
 
-def oriented(cell_rows: DataFrame) -> DataFrame:
+def oriented(cell_rows: DataFrame, level: float | None = None) -> DataFrame:
     """Edges (ctg1, end1, ctg2, end2, w) of the cells that have an orientation."""
     ends = lambda at: F.element_at(F.array(*[F.lit(c[at]) for c in CELLS]), (F.col("cell") + 1).cast("int"))
-    found = orientation(cell_rows).filter("cell is not null")
+    found = orientation(cell_rows, level).filter("cell is not null")
     return found.select("ctg1", ends(1).alias("end1"), "ctg2", ends(2).alias("end2"), F.col("best").alias("w"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import GAP, opposite
 from . import iterate
-from .iterate import settled
+from .iterate import running, settled
 
 
 def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,14 +40,15 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["state", "head", "rank", "is_cycle"]).astype({"rank": "int64", "is_cycle": "bool"})
 
 
-def ranked_chains(states: DataFrame) -> DataFrame:
+def ranked_chains(states: DataFrame, small: int | None = None) -> DataFrame:
     """states (state, pred; pred null at a head) as (state, head, rank, is_cycle); states sort by name.
 
-    The head of a cycle is its smallest state, and ranks go on from there.
+    The head of a cycle is its smallest state, and ranks go on from there.  ``small``: graphs of up to so many
+    states are walked by one task.
     """
     states = settled(states)
     count = states.count()
-    if count <= iterate.SMALL_GRAPH:
+    if count <= (iterate.SMALL_GRAPH if small is None else small):
         return states.coalesce(1).mapInPandas(_walked, "state string, head string, rank long, is_cycle boolean")
     key = F.coalesce("pred", F.col("state"))
     now = settled(states.select("state", key.alias("to"), F.col("pred").isNotNull().cast("long").alias("steps"), F.least(F.col("state"), key).alias("least")))
@@ -64,10 +65,10 @@ def ranked_chains(states: DataFrame) -> DataFrame:
         return chains
     # cut each cycle before its smallest state and rank what is then a chain
     cut = states.join(cyclic.select("state", "least"), "state").select("state", F.when(F.col("state") != F.col("least"), F.col("pred")).alias("pred"))
-    return chains.unionByName(ranked_chains(cut).withColumn("is_cycle", F.lit(True)))
+    return chains.unionByName(ranked_chains(cut, small).withColumn("is_cycle", F.lit(True)))
 
 
-def scaffold_elements(joins: DataFrame, contigs: DataFrame) -> DataFrame:
+def scaffold_elements(joins: DataFrame, contigs: DataFrame, small: int | None = None) -> DataFrame:
     """(head, is_circ, ord, name, fwd, len): every contig (name, len, is_circ) once, in one path.
 
     joins: directed, both ways, at most one for each end.  A path begins at the end whose
@@ -79,7 +80,7 @@ def scaffold_elements(joins: DataFrame, contigs: DataFrame) -> DataFrame:
     both = contigs.select("name", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("enter"))
     state = F.concat("name", mark, "enter")
     states = both.join(enters, ["name", "enter"], "left").select(state.alias("state"), "pred")
-    ranked = ranked_chains(states).select("*", F.right("state", F.lit(1)).alias("enter"), F.substring_index("state", "\x01", 1).alias("name"), F.substring_index("head", "\x01", 1).alias("first"))
+    ranked = ranked_chains(states, small).select("*", F.right("state", F.lit(1)).alias("enter"), F.substring_index("state", "\x01", 1).alias("name"), F.substring_index("head", "\x01", 1).alias("first"))
     whole = ranked.groupBy("head").agg(F.max_by("name", "rank").alias("tail"), F.min("name").alias("smallest"), F.count(F.lit(1)).alias("n"))
     starts_right = F.when(F.col("is_cycle") | (F.col("n") == 1), F.right("head", F.lit(1)) == "+").otherwise(F.col("first") < F.col("tail"))
     chosen = ranked.join(whole, "head").filter(starts_right)
@@ -106,17 +107,14 @@ def named_paths(paths: DataFrame, taken: DataFrame | None = None, first: int = 0
     """paths with ``name``: u or c (circular) and nine digits, counted in the order of their heads from ``first``.
 
     Names in ``taken`` (name) are passed over: free numbers are dealt out among as many again.
-    The window holds one short row for each path.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("head")
-    numbered = paths.withColumn("number", F.row_number().over(order))
+    numbered = running(paths, [F.col("head")], F.lit(1)).withColumnRenamed("before", "number")
     letter = F.when(F.col("is_circ"), F.lit("c")).otherwise(F.lit("u"))
     if taken is None:
-        return numbered.withColumn("name", F.concat(letter, F.format_string("%09d", F.col("number") - 1 + first))).drop("number")
-    used = taken.select(F.regexp_extract("name", "^[uc]([0-9]{9})$", 1).try_cast("long").alias("id")).filter("id is not null").distinct()
-    room = paths.count() + used.count()
-    free = paths.sparkSession.range(first, first + room).join(used, "id", "left_anti")
-    free = free.withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")))
+        return numbered.withColumn("name", F.concat(letter, F.format_string("%09d", F.col("number") + first))).drop("number")
+    used = settled(taken.select(F.regexp_extract("name", "^[uc]([0-9]{9})$", 1).try_cast("long").alias("id")).filter("id is not null").distinct())
+    room = numbered.count() + used.count()
+    free = running(paths.sparkSession.range(first, first + room).join(used, "id", "left_anti"), [F.col("id")], F.lit(1)).withColumnRenamed("before", "number")
     return numbered.join(free, "number").withColumn("name", F.concat(letter, F.format_string("%09d", "id"))).drop("number", "id")
 
 

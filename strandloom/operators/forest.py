@@ -44,15 +44,15 @@ def _kruskal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield ordered[["a", "b", "w"]][kept]
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+def spanning_forest(edges: DataFrame, small: int | None = None) -> DataFrame:
     """Edges (a, b, w), a < b, of the maximum spanning forest.
 
     Each round every tree takes its heaviest edge out, and the trees so joined become one:
     trees halve at least, so rounds grow with the logarithm of the nodes.  With ties broken by
-    name the forest is unique, and a graph small enough for one task is sorted there instead.
+    name the forest is unique, and a graph small enough for one task (``small`` edges) is sorted there instead.
     """
     edges = settled(edges.filter("a < b").groupBy("a", "b").agg(F.max("w").alias("w")))
-    if edges.count() <= iterate.SMALL_GRAPH:
+    if edges.count() <= (iterate.SMALL_GRAPH if small is None else small):
         return edges.coalesce(1).mapInPandas(_kruskal, edges.schema)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     tree = settled(nodes.withColumn("tree", F.col("node")))
@@ -125,7 +125,7 @@ def _best_directions(chain: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ctg1", "end1", "ctg2", "end2", "w"])
 
 
-def contig_forest(cell_rows: DataFrame) -> DataFrame:
+def contig_forest(cell_rows: DataFrame, small: int | None = None) -> DataFrame:
     """Directed edges (ctg1, end1, ctg2, end2, w), both ways, of the forest over contigs.
 
     cell_rows: mutual candidates (ctg1, ctg2, mm, mp, pm, pp, best).  Contigs of more than two
@@ -134,7 +134,7 @@ def contig_forest(cell_rows: DataFrame) -> DataFrame:
     """
     cell_rows = settled(cell_rows)
     links = cell_rows.select(F.least("ctg1", "ctg2").alias("a"), F.greatest("ctg1", "ctg2").alias("b"), F.col("best").alias("w"))
-    forest = settled(without_branches(spanning_forest(links)))
+    forest = settled(without_branches(spanning_forest(links, small)))
     near = settled(forest.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(forest.select(F.col("b").alias("node"), F.col("a").alias("next"))))
     # a state is a contig and the one it was reached from; chains have no cycles
     mark = F.lit("\t")
@@ -146,7 +146,7 @@ def contig_forest(cell_rows: DataFrame) -> DataFrame:
     state = lambda a, b: F.concat(a, mark, F.coalesce(b, F.lit("")))
     pred = F.when(F.col("before").isNotNull(), state(F.col("before"), F.col("earlier")))
     # the state before an inner contig is that of its other neighbour, before a contig next to an end that of the end itself
-    ranks = ranked_chains(joined.select(state(F.col("name"), F.col("before")).alias("state"), pred.alias("pred")))
+    ranks = ranked_chains(joined.select(state(F.col("name"), F.col("before")).alias("state"), pred.alias("pred")), small)
     ranks = ranks.select("head", "rank", F.split("state", "\t")[0].alias("name"), F.split("state", "\t")[1].alias("before"), F.split("head", "\t")[0].alias("first"))
     tails = ranks.groupBy("head").agg(F.max_by("name", "rank").alias("tail"))
     one_way = ranks.join(tails, "head").filter("first < tail")

@@ -41,13 +41,21 @@ def weigh(links: DataFrame, contigs: DataFrame, ignore_middle: bool = True, prod
 
 
 def cells(links: DataFrame, contigs: DataFrame, ignore_middle: bool = True, product: bool = False, min_weight: float = 0) -> DataFrame:
-    """(ctg1, ctg2, mm, mp, pm, pp, best): the weighed cells of each pair of contigs and the largest of them."""
+    """(ctg1, ctg2, mm, mp, pm, pp, hits, best): the weighed cells of each pair of contigs, the largest of them and its hits."""
     weighed = weigh(links, contigs, ignore_middle, product, min_weight)
     at = lambda a, b: F.coalesce(F.max(F.when((F.col("end1") == a) & (F.col("end2") == b), F.col("w"))), F.lit(0.0))
-    found = weighed.groupBy("ctg1", "ctg2").agg(*[at(a, b).alias(name) for name, a, b in CELLS])
+    found = weighed.groupBy("ctg1", "ctg2").agg(*[at(a, b).alias(name) for name, a, b in CELLS], F.max(F.when(F.col("w") > 0, F.col("weight"))).alias("hits"))
     return found.withColumn("best", F.greatest(*[name for name, *_ in CELLS]))
 
 
+def counted_cells(links: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(tid1, tid2, mm, mp, pm, pp): the cells of each pair of contigs (tid, name) as counts."""
+    at = lambda a, b: F.coalesce(F.sum(F.when((F.col("end1") == a) & (F.col("end2") == b), F.col("weight"))), F.lit(0.0))
+    side = lambda i: contigs.select(F.col("name").alias(f"ctg{i}"), F.col("tid").alias(f"tid{i}"))
+    rows = links.groupBy("ctg1", "ctg2").agg(*[at(a, b).alias(name) for name, a, b in CELLS])
+    return rows.join(side(1), "ctg1").join(side(2), "ctg2").select("tid1", "tid2", *[name for name, *_ in CELLS])
+
+
 def ranked(weighed: DataFrame) -> DataFrame:
     """weighed links with ``rank`` among those of the same end, the heaviest first; weights of 0 are out."""
     order = Window.partitionBy("ctg1", "end1").orderBy(F.desc("w"), "zone2", "ctg2", "end2")
@@ -72,11 +80,11 @@ def over_count(ranking: DataFrame, min_weight: float) -> DataFrame:
 
 def significant(ranking: DataFrame, level: float = 0.95) -> DataFrame:
     """Ends whose first link has clearly more hits than the second; two links to one contig do not compete."""
-    order = Window.partitionBy("ctg1", "end1").orderBy("rank")
-    second = F.struct("ctg2", "weight")
-    seen = ranking.withColumn("second", F.lead(second).over(order)).withColumn("first_rank", F.col("rank") == 1)
-    doubtful = seen.filter("first_rank").filter(F.col("second").isNotNull() & (F.col("second.ctg2") != F.col("ctg2")) & ~clearly_more(F.col("weight"), F.col("second.weight"), level))
-    return ranking.join(doubtful.select("ctg1", "end1"), ["ctg1", "end1"], "left_anti")
+    whole = Window.partitionBy("ctg1", "end1").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    link = F.struct("ctg2", "weight")
+    seen = ranking.withColumn("first_", F.first(link).over(whole)).withColumn("second_", F.nth_value(link, 2).over(whole))
+    alone = F.col("second_").isNull() | (F.col("second_.ctg2") == F.col("first_.ctg2"))
+    return seen.filter(alone | clearly_more(F.col("first_.weight"), F.col("second_.weight"), level)).drop("first_", "second_")
 
 
 def max_share(ranking: DataFrame, min_ratio: float) -> DataFrame:

@@ -39,10 +39,6 @@ class Options:
     min_length: int = 0
 
 
-def _order(name: str = "name"):  # noqa: ANN202
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)) - 1
-
-
 def first_graph(contigs: DataFrame) -> ScaffoldGraph:
     """Contigs (name, len) as a graph of which each is a path of its own."""
     spark = contigs.sparkSession
@@ -94,7 +90,7 @@ def joins_of(links: DataFrame, contigs: DataFrame, options: Options) -> DataFram
     if options.by_contig:
         rows = weights.cells(links, contigs, options.ignore_middle, options.product, options.min_weight)
         chosen = candidates.mutual_contigs(weights.top(weights.ranked_contigs(rows), options.candidates))
-        edges = forest.contig_forest(chosen) if options.spanning_forest else candidates.oriented(chosen)
+        edges = forest.contig_forest(chosen) if options.spanning_forest else candidates.oriented(chosen, options.significance if options.accurate else None)
     else:
         ranking = weights.ranked(weights.weigh(links, contigs, options.ignore_middle, options.product, options.min_weight))
         if options.accurate:
@@ -159,11 +155,28 @@ def break_by_molecules(hits: DataFrame, contigs: DataFrame, graph: ScaffoldGraph
     return _cut(spans, placed, scaffolds, graph, ratio)
 
 
+def break_by_neighbours(links: DataFrame, contigs: DataFrame, graph: ScaffoldGraph, limit: int = 2, level: float | None = None) -> ScaffoldGraph:
+    """Cuts paths by the links between contigs alone: links (ctg1, end1, ctg2, end2, weight), contigs (tid, name, len).
+
+    Behind elements whose neighbour is not among the first ``limit`` - 1 by contacts; with ``level`` by the
+    order of the contacts of either end instead (see operators.breaks.misplacements).
+    """
+    placed = settled(current_placement(graph).join(contigs.select("name", "tid"), "name"))
+    rows = settled(weights.counted_cells(links, contigs))
+    if level is not None:
+        cuts = breaks.misplacements(rows, placed, level)
+    else:
+        hits = rows.select("tid1", "tid2", (F.col("mm") + F.col("mp") + F.col("pm") + F.col("pp")).alias("hits"))
+        true = settled(breaks.true_ranks(breaks.neighbour_ranks(hits, placed), placed))
+        cuts = breaks.missing_neighbours(true, limit)
+    return _pieces(settled(cuts), placed, graph)
+
+
 def joins_by_barcodes(links: DataFrame, k: int = 1, level: float = 0.95) -> DataFrame:
-    """Joins of a link matrix of shared barcodes: normalised by zone, mutual, and clearly the best at both ends."""
+    """Joins of a link matrix of shared barcodes: normalised by zone, mutual, and clearly the best at both ends, in candidates and in joins."""
     ranking = weights.ranked(weights.end_normalised(links))
     mutual = candidates.mutual(weights.top(weights.significant(ranking, level), k))
-    return matching.unique_best(mutual.select("ctg1", "end1", "ctg2", "end2", "w"))
+    return matching.unique_best(mutual.select("ctg1", "end1", "ctg2", "end2", "w", "weight"), level, hits="weight")
 
 
 def _cut(spans: DataFrame, placed: DataFrame, scaffolds: DataFrame, graph: ScaffoldGraph, ratio: float) -> Broken:
@@ -171,6 +184,11 @@ def _cut(spans: DataFrame, placed: DataFrame, scaffolds: DataFrame, graph: Scaff
     stats = settled(coverage.region_stats(intervals, breaks.regions(placed)))
     calls = settled(breaks.break_calls(stats, ratio))
 
+    return Broken(_pieces(calls, placed, graph), intervals, scaffolds, stats, calls)
+
+
+def _pieces(calls: DataFrame, placed: DataFrame, graph: ScaffoldGraph) -> ScaffoldGraph:
+    """The graph with paths cut behind the elements in calls (scf, ord); all pieces are the new current assembly."""
     before = Window.partitionBy("scf").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.join(calls.select("scf", "ord", F.lit(1).alias("cut")), ["scf", "ord"], "left")
     cut = cut.withColumn("piece", F.coalesce(F.sum("cut").over(before), F.lit(0)))
@@ -185,7 +203,7 @@ def _cut(spans: DataFrame, placed: DataFrame, scaffolds: DataFrame, graph: Scaff
     columns = ["name", "len", "is_circ", "elems"]
     pieces_ = settled(first.select(*columns).unionByName(later.select(*columns)))
     others = graph.paths.join(pieces_.select("name"), "name", "left_anti")
-    return Broken(with_assembly(replace(graph, paths=others.select(*columns).unionByName(pieces_)), pieces_.select("name")), intervals, scaffolds, stats, calls)
+    return with_assembly(replace(graph, paths=others.select(*columns).unionByName(pieces_)), pieces_.select("name"))
 
 
 def get_sequences(graph: ScaffoldGraph, fasta: DataFrame, min_length: int = 0) -> DataFrame:

@@ -274,3 +274,79 @@ def test_linked_reads(spark):
     links = spark.createDataFrame([("a", "-", "b", "+", 50.0, 100, 100, 50), ("b", "+", "a", "-", 50.0, 100, 100, 50)], "ctg1 string, end1 string, ctg2 string, end2 string, weight double, zone2 long, zone1 long, n long")
     assert rows(scaffolding.joins_by_barcodes(links), "ctg1", "ctg2", "w") == [("a", "b", 0.5), ("b", "a", 0.5)]
     assert rows(weights.per_zone_pair(links), "w") == [(500.0,), (500.0,)]
+
+
+def test_sweep_by_bins_is_the_plain_one(spark):
+    """Coverage and supported regions by brute force, with bins that spans and gaps cross."""
+    rng = random.Random(12)
+    lengths = {"a": 300, "b": 70, "c": 1}
+    spans = [(x, s, min(lengths[x], s + rng.randint(0, 60))) for x in "aab" for _ in range(12) for s in [rng.randint(1, lengths[x])]]
+    table = spark.createDataFrame(spans, "scf string, s long, e long")
+    scaffolds = spark.createDataFrame(list(lengths.items()), "scf string, len long")
+    base = {x: [sum(s <= i <= e for y, s, e in spans if y == x) for i in range(1, n + 1)] for x, n in lengths.items()}
+    for width in (7, 64, 1 << 20):
+        found = coverage.coverage(table, scaffolds, width)
+        tiles = {x: [] for x in lengths}
+        for x, s, e, cov in sorted(rows(found, "scf", "s", "e", "cov")):
+            assert s == len(tiles[x]) + 1 and e >= s
+            tiles[x] += [cov] * (e - s + 1)
+        assert tiles == base
+        want = []
+        for x, values in base.items():
+            for i, v in enumerate(values, 1):
+                if 1 <= v <= 3:
+                    if want and want[-1][0] == x and i - want[-1][2] < 5:
+                        want[-1][2] = i
+                    else:
+                        want.append([x, i, i])
+        assert rows(coverage.supported(found, 1, 3, 5, width), "scf", "s", "e") == sorted(map(tuple, want))
+
+
+def test_numbers_and_sums_over_range_partitions(spark):
+    rng = random.Random(5)
+    values = [(i, rng.randint(0, 9)) for i in rng.sample(range(10_000), 500)]
+    found = iterate.running(spark.createDataFrame(values, "k long, v long").repartition(7), [F.desc("k")], F.col("v"))
+    total, want = 0, []
+    for k, v in sorted(values, reverse=True):
+        want.append((k, v, total))
+        total += v
+    assert rows(found, "k", "v", "before") == sorted(want)
+    assert iterate.running(spark.createDataFrame([], "k long"), [F.col("k")], F.lit(1)).count() == 0
+
+
+def test_significant_ends(spark):
+    links = [("x", "+", "y", "-", 30.0, 1), ("x", "+", "z", "-", 5.0, 2), ("x", "-", "y", "+", 10.0, 1), ("x", "-", "z", "+", 9.0, 2), ("z", "+", "y", "-", 10.0, 1), ("z", "+", "y", "+", 9.0, 2), ("y", "+", "x", "-", 1.0, 1)]
+    ranking = spark.createDataFrame(links, "ctg1 string, end1 string, ctg2 string, end2 string, weight double, rank int")
+    assert set(rows(weights.significant(ranking, 0.95), "ctg1", "end1")) == {("x", "+"), ("z", "+"), ("y", "+")}
+
+
+def test_misplaced_elements(spark):
+    """Four contigs in a row: the third has its contacts with one that lies elsewhere."""
+    placed = spark.createDataFrame([("s", i, i, True, 100, i == 1, i == 4) for i in range(1, 5)], "scf string, ord int, tid int, fwd boolean, len long, is_head boolean, is_tail boolean")
+
+    def cells(pairs_):
+        out = []
+        for a, b, n in pairs_:  # the right end of a meets the left end of b
+            out += [(a, b, 0.0, n, 0.0, 0.0), (b, a, 0.0, 0.0, n, 0.0)]
+        return spark.createDataFrame(out, "tid1 int, tid2 int, mm double, mp double, pm double, pp double")
+
+    cut = lambda pairs_: rows(breaks.misplacements(cells(pairs_), placed), "ord")
+    assert cut([(1, 2, 50.0), (2, 3, 50.0), (3, 4, 50.0)]) == []
+    # the second contig's tail meets the fourth first, and clearly
+    assert (2,) in cut([(1, 2, 50.0), (2, 4, 80.0), (2, 3, 5.0), (3, 4, 50.0)])
+    # without any contact a contig is cut off on both sides
+    assert cut([(1, 2, 50.0)]) == [(2,), (3,)]
+
+
+def test_clear_joins_need_more_hits(spark):
+    edges = [("a", "+", "b", "-", 2.0, 9.0), ("a", "+", "c", "-", 1.0, 8.0), ("b", "-", "a", "+", 2.0, 9.0), ("c", "-", "a", "+", 1.0, 8.0), ("d", "+", "e", "-", 2.0, 40.0), ("d", "+", "f", "-", 1.0, 3.0), ("e", "-", "d", "+", 2.0, 40.0)]
+    table = spark.createDataFrame(edges, EDGE + ", hits double")
+    assert rows(matching.unique_best(table), "ctg1", "ctg2") == [("a", "b"), ("b", "a"), ("d", "e"), ("e", "d")]
+    assert rows(matching.unique_best(table, 0.95, "hits"), "ctg1", "ctg2") == [("d", "e"), ("e", "d")]
+
+
+def test_accurate_orientation(spark):
+    cells = [("a", "b", 9.0, 1.0, 0.0, 0.0, 90.0, 9.0, 1), ("a", "c", 9.0, 8.0, 0.0, 0.0, 9.0, 9.0, 1), ("a", "d", 9.0, 1.0, 0.0, 0.0, 90.0, 9.0, 2), ("a", "e", 5.0, 5.0, 0.0, 0.0, 5.0, 5.0, 1)]
+    table = spark.createDataFrame(cells, "ctg1 string, ctg2 string, mm double, mp double, pm double, pp double, hits double, best double, rank int")
+    assert rows(candidates.orientation(table).fillna(-1), "ctg2", "cell") == [("b", 0), ("c", 0), ("d", 0), ("e", -1)]
+    assert rows(candidates.orientation(table, 0.95).fillna(-1), "ctg2", "cell") == [("b", 0), ("c", -1), ("d", -1), ("e", -1)]
