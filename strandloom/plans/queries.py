@@ -59,6 +59,20 @@ def hits_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hits(spark, sf_dir)
 
 
+@query("SELECT tid, is_r1, mapped, five, rev, count(*) AS n, sum(pos)::BIGINT AS pos, sum(mapq)::BIGINT AS mapq FROM record GROUP BY tid, is_r1, mapped, five, rev")
+def records_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags, and the base that a read begins with by its CIGAR."""
+    found = pairs.from_records(views.records(spark, sf_dir))
+    return found.groupBy("tid", "is_r1", "mapped", "five", "rev").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.sum("mapq").alias("mapq"))
+
+
+@query("SELECT right(qname, 16) AS bc, tid AS scf, count(*) AS n, min(pos) AS first, max(pos) AS last FROM record WHERE mapped AND is_r1 AND mapq >= 20 GROUP BY 1, 2")
+def barcoded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped first reads of good quality, by the barcode at the end of their names."""
+    found = molecules.barcode_hits(views.records(spark, sf_dir), min_mapq=20)
+    return found.groupBy("bc", "scf").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
 # contacts
 
 
@@ -92,6 +106,13 @@ def contact_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.named(contacts.contact_matrix(views.hits(spark, sf_dir, all_contacts=True), known), known)
 
 
+@query(f"SELECT {CELLS.format('weight')} FROM link WHERE ctg1 NOT IN (SELECT name FROM contig WHERE tid % 5 = 0) AND ctg2 NOT IN (SELECT name FROM contig WHERE tid % 5 = 0)")
+def contact_matrix_without_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth contig is a circle, which has no ends to join."""
+    known = views.contigs(spark, sf_dir).withColumn("is_circ", F.col("tid") % 5 == 0)
+    return contacts.named(contacts.contact_matrix(views.hits(spark, sf_dir), known), known)
+
+
 # weights and candidates
 
 
@@ -123,6 +144,12 @@ def link_weights_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weighed(spark, sf_dir).select(*ENDS, "w")
 
 
+@query("SELECT ctg1, end1, ctg2, end2, CASE WHEN weight > 2 THEN w ELSE 0.0 END AS w FROM weighed")
+def link_weights_over_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weights.weigh(views.links(spark, sf_dir), views.contigs(spark, sf_dir), min_weight=2)
+    return found.select(*ENDS, "w")
+
+
 @query("SELECT ctg1, end1, ctg2, end2, w2 * 1e6 AS w FROM weighed")
 def link_weights_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weighed(spark, sf_dir, product=True).select(*ENDS, (F.col("w") * 1e6).alias("w"))
@@ -130,7 +157,7 @@ def link_weights_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT ctg1, ctg2, mm, mp, pm, pp, best FROM cell")
 def cells_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir)
+    return _cells(spark, sf_dir).drop("hits")
 
 
 @query(f"SELECT ctg1, end1, ctg2, end2, w, rank::INT AS rank FROM ranked WHERE rank <= {TOP}")
@@ -172,6 +199,26 @@ def oriented_contig_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.oriented(candidates.mutual_contigs(weights.top(weights.ranked_contigs(_cells(spark, sf_dir)), TOP)))
 
 
+@query("""SELECT ctg1, ctg2, CASE WHEN rank = 1 AND (hits - (hits + second) / 2) / sqrt((hits + second) / 4) > 0.2533471031357997
+    THEN CASE WHEN mm = best THEN 0 WHEN mp = best THEN 1 WHEN pm = best THEN 2 ELSE 3 END END::BIGINT AS cell FROM (
+  SELECT r.*, hits, list_sort([mm, mp, pm, pp])[3] / best * hits AS second FROM ranked_cell r JOIN (SELECT ctg1, ctg2, max(weight) AS hits FROM weighed WHERE w > 0 GROUP BY ctg1, ctg2) USING (ctg1, ctg2))""")
+def orientation_accurate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = candidates.orientation(weights.ranked_contigs(_cells(spark, sf_dir)), SIGNIFICANT)
+    return found.select("ctg1", "ctg2", F.col("cell").cast("long").alias("cell"))
+
+
+@query(
+    "SELECT a.ctg1, a.end1, a.ctg2, a.end2, a.w FROM clear a JOIN clear b ON b.ctg1 = a.ctg2 AND b.end1 = a.end2 AND b.ctg2 = a.ctg1 AND b.end2 = a.end1",
+    clear="""
+  SELECT ctg1, end1, ctg2, end2, w FROM (
+    SELECT *, row_number() OVER e AS place, lead(w) OVER e AS next_w, lead(weight) OVER e AS less FROM mutual WINDOW e AS (PARTITION BY ctg1, end1 ORDER BY w DESC, ctg2, end2))
+  WHERE place = 1 AND (next_w IS NULL OR (next_w < w AND (weight - (weight + less) / 2) / sqrt((weight + less) / 4) > 0.2533471031357997))""",
+)
+def clear_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins of ends whose best link has clearly more hits than the second."""
+    return matching.unique_best(_mutual(spark, sf_dir).select(*ENDS, "w", "weight"), SIGNIFICANT, hits="weight")
+
+
 @query("SELECT ctg1, end1, ctg2, end2, w FROM joined")
 def unique_best_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joins(spark, sf_dir)
@@ -209,6 +256,13 @@ def max_spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.spanning_forest(_mutual_cells(spark, sf_dir).select(F.least("ctg1", "ctg2").alias("a"), F.greatest("ctg1", "ctg2").alias("b"), F.col("best").alias("w")))
 
 
+@query("SELECT a, b, w FROM forest", numbered=NUMBERED.format("SELECT least(ctg1, ctg2) AS a, greatest(ctg1, ctg2) AS b, max(best) AS w FROM mutual_cell GROUP BY ALL"), reach=REACH, forest=FOREST)
+def max_spanning_forest_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same forest as a large graph's is found."""
+    edges = _mutual_cells(spark, sf_dir).select(F.least("ctg1", "ctg2").alias("a"), F.greatest("ctg1", "ctg2").alias("b"), F.col("best").alias("w"))
+    return forest.spanning_forest(edges, small=0)
+
+
 ENDS_AND_INSIDES = """
   SELECT least(ctg1 || end1, ctg2 || end2) AS a, greatest(ctg1 || end1, ctg2 || end2) AS b, max(w) AS w FROM mutual GROUP BY ALL
   UNION ALL SELECT ctg1 || '+', ctg1 || '-', 'inf'::DOUBLE FROM (SELECT DISTINCT ctg1 FROM mutual)"""
@@ -225,11 +279,37 @@ def end_forest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.end_forest(_mutual(spark, sf_dir).select(*ENDS, "w"))
 
 
-@query()
+#: Along the chains of a forest without branches: for either direction of the contig reached, the best sum and the directions on the way.
+CHAIN = """
+  SELECT x AS first, NULL::VARCHAR AS prev, x AS name, [x] AS names, 0.0::DOUBLE AS sf, 0.0::DOUBLE AS sb, [true] AS wf, [false] AS wb
+  FROM near GROUP BY x HAVING count(*) = 1
+  UNION ALL
+  SELECT first, c.name, y, list_append(names, y), greatest(sf + mp, sb + pp), greatest(sf + mm, sb + pm),
+         list_append(CASE WHEN sf + mp >= sb + pp THEN wf ELSE wb END, true), list_append(CASE WHEN sf + mm >= sb + pm THEN wf ELSE wb END, false)
+  FROM chain c JOIN near ON x = c.name AND (prev IS NULL OR y <> prev) JOIN mutual_cell m ON m.ctg1 = c.name AND m.ctg2 = y"""
+WAYS = """
+  SELECT names, CASE WHEN sf >= sb THEN wf ELSE wb END AS way FROM chain WHERE len(names) > 1 AND first < name AND name IN (SELECT x FROM near GROUP BY x HAVING count(*) = 1)"""
+STEPS = """
+  SELECT ctg1, CASE WHEN f1 THEN '-' ELSE '+' END AS end1, ctg2, CASE WHEN f2 THEN '+' ELSE '-' END AS end2,
+         CASE WHEN f1 AND f2 THEN mp WHEN f1 THEN mm WHEN f2 THEN pp ELSE pm END * 1000000 AS w
+  FROM (SELECT names[i] AS ctg1, names[i + 1] AS ctg2, way[i] AS f1, way[i + 1] AS f2 FROM (SELECT *, unnest(range(1, len(names))) AS i FROM ways)) JOIN mutual_cell USING (ctg1, ctg2)"""
+CONTIG_FOREST = {
+    "numbered": NUMBERED.format("SELECT least(ctg1, ctg2) AS a, greatest(ctg1, ctg2) AS b, max(best) AS w FROM mutual_cell GROUP BY ALL"), "reach": REACH, "forest": FOREST, "branch": BRANCHES,
+    "near": "SELECT a AS x, b AS y FROM forest WHERE a NOT IN (FROM branch) AND b NOT IN (FROM branch) UNION ALL SELECT b, a FROM forest WHERE a NOT IN (FROM branch) AND b NOT IN (FROM branch)",
+    "chain": CHAIN, "ways": WAYS, "steps": STEPS,
+}
+
+
+@query("SELECT ctg1, end1, ctg2, end2, w FROM steps UNION ALL SELECT ctg2, end2, ctg1, end1, w FROM steps", **CONTIG_FOREST)
 def contig_forest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.contig_forest(_mutual_cells(spark, sf_dir))
 
 
+@query("SELECT ctg1, end1, ctg2, end2, w FROM steps UNION ALL SELECT ctg2, end2, ctg1, end1, w FROM steps", **CONTIG_FOREST)
+def contig_forest_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.contig_forest(_mutual_cells(spark, sf_dir), small=0)
+
+
 # paths
 
 #: Walks from every free end, and along cycles from every contig; of the two directions one is chosen.
@@ -255,6 +335,12 @@ def scaffold_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.scaffold_elements(_joins(spark, sf_dir), views.contigs(spark, sf_dir)).select("head", "is_circ", "ord", "name", "fwd")
 
 
+@query("SELECT head, is_circ, ord, name, fwd FROM chosen", walk=WALK, cycle=CYCLE, chosen=CHOSEN)
+def scaffold_paths_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paths as a large graph's are found."""
+    return chains.scaffold_elements(_joins(spark, sf_dir), views.contigs(spark, sf_dir), small=0).select("head", "is_circ", "ord", "name", "fwd")
+
+
 @query(
     """SELECT (CASE WHEN is_circ THEN 'c' ELSE 'u' END) || lpad((row_number() OVER (ORDER BY head) - 1)::VARCHAR, 9, '0') AS name, len, is_circ, elems FROM (
   SELECT head, is_circ, (sum(len) + 200 * (count(*) - 1))::BIGINT AS len, string_agg(name || CASE WHEN fwd THEN '+' ELSE '-' END, ',' ORDER BY ord) AS elems
@@ -359,12 +445,20 @@ def coverage_maxcol(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY scf ORDER BY s) < 20 THEN 0 ELSE 1 END AS begins FROM cover WHERE cov BETWEEN 1 AND 5))
   GROUP BY scf, island""")
 def supported_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.supported(views.covered(spark, sf_dir), 1, 5)
+    return coverage.supported(views.covered(spark, sf_dir), 1, 5, width=5000)
 
 
-@query("SELECT scf, s, e, cov FROM cover")
+@query("SELECT scf, s, e, cov FROM cover WHERE scf <> 2 UNION ALL SELECT scf, 1, len, 0 FROM scaffold WHERE scf = 2")
 def base_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.base_coverage(views.covered(spark, sf_dir), views.scaffolds(spark, sf_dir))
+    """One scaffold has no intervals at all."""
+    return coverage.base_coverage(views.covered(spark, sf_dir).filter("scf <> 2"), views.scaffolds(spark, sf_dir))
+
+
+@query("SELECT scf, s, e, cov FROM cover")
+def coverage_in_short_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep over bins that scaffolds and intervals cross many times."""
+    spans = pairs.adjacent_spans(views.lifted(spark, sf_dir)).select("scf", F.col("pos1").alias("s"), F.col("pos2").alias("e"))
+    return coverage.coverage(spans, views.scaffolds(spark, sf_dir), width=5000)
 
 
 def _hits_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,12 +488,34 @@ def missing_neighbour_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE coalesce(CASE WHEN a.fwd THEN plus ELSE minus END, 0) > coalesce(CASE WHEN a.fwd THEN minus ELSE plus END, 0)
     AND (coalesce(CASE WHEN a.fwd THEN plus ELSE minus END, 0) - (coalesce(plus, 0) + coalesce(minus, 0)) / 2) / sqrt((coalesce(plus, 0) + coalesce(minus, 0)) / 4) > 0.2533471031357997""")
 def orientation_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = views.contigs(spark, sf_dir)
-    counts = views.links(spark, sf_dir)
-    at = lambda a, b: F.coalesce(F.sum(F.when((F.col("end1") == a) & (F.col("end2") == b), F.col("weight"))), F.lit(0.0))
-    rows = counts.groupBy("ctg1", "ctg2").agg(*[at(a, b).alias(name) for name, a, b in weights.CELLS])
-    side = lambda i: known.select(F.col("name").alias(f"ctg{i}"), F.col("tid").alias(f"tid{i}"))
-    return breaks.doubtful_orientations(rows.join(side(1), "ctg1").join(side(2), "ctg2"), views.placement(spark, sf_dir), SIGNIFICANT)
+    rows = weights.counted_cells(views.links(spark, sf_dir), views.contigs(spark, sf_dir))
+    return breaks.doubtful_orientations(rows, views.placement(spark, sf_dir), SIGNIFICANT)
+
+
+def _clear(x: str, y: str) -> str:
+    return f"coalesce(({x} - ({x} + {y}) / 2) / nullif(sqrt(({x} + {y}) / 4), 0) > 0.2533471031357997, false)"
+
+
+@query(
+    f"""SELECT DISTINCT scf, ord FROM (
+    SELECT scf, ord FROM judged WHERE NOT is_tail AND NOT coalesce(t.ord2 > ord AND (t.ord2 = ord + 1 OR (NOT {_clear("t.tl", "t.hd")} AND t.scf3 = scf AND t.ord3 = ord + 1 AND {_clear("t.tl3", "t.hd3")})), false)
+    UNION ALL
+    SELECT scf, ord - 1 FROM judged WHERE NOT is_head AND NOT coalesce(h.ord2 < ord AND (h.ord2 = ord - 1 OR (NOT {_clear("h.hd", "h.tl")} AND h.scf3 = scf AND h.ord3 = ord - 1 AND {_clear("h.hd3", "h.tl3")})), false))""",
+    counted="""
+  SELECT ctg1, ctg2, coalesce(sum(weight) FILTER (end1 = '-'), 0.0) AS minus, coalesce(sum(weight) FILTER (end1 = '+'), 0.0) AS plus FROM link GROUP BY ctg1, ctg2""",
+    contact_="""
+  SELECT a.scf, a.ord, b.scf AS scf2, b.ord AS ord2, tl, hd, row_number() OVER o AS place, lead(b.scf) OVER o AS scf3, lead(b.ord) OVER o AS ord3, lead(tl) OVER o AS tl3, lead(hd) OVER o AS hd3
+  FROM (SELECT k.*, CASE WHEN fwd THEN minus ELSE plus END AS tl, CASE WHEN fwd THEN plus ELSE minus END AS hd FROM counted k JOIN placed p ON p.name = ctg1 WHERE ctg1 <> ctg2) k
+  JOIN placed a ON a.name = ctg1 JOIN placed b ON b.name = ctg2 WINDOW o AS (PARTITION BY a.scf, a.ord ORDER BY (tl + hd) / b.len DESC, b.tid)""",
+    typed=f"""
+  SELECT *, CASE WHEN ord2 > ord THEN NOT {_clear("hd", "tl")} ELSE {_clear("tl", "hd")} END AS of_tail FROM contact_ WHERE scf = scf2""",
+    judged="""
+  SELECT p.scf, p.ord::INT AS ord, is_head, is_tail, t, h FROM placed p LEFT JOIN (
+    SELECT scf, ord, min_by(typed, place) FILTER (of_tail) AS t, min_by(typed, place) FILTER (NOT of_tail) AS h FROM typed GROUP BY scf, ord) USING (scf, ord)""",
+)
+def misplacement_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weights.counted_cells(views.links(spark, sf_dir), views.contigs(spark, sf_dir))
+    return breaks.misplacements(rows, views.placement(spark, sf_dir), SIGNIFICANT)
 
 
 # molecules
@@ -424,18 +540,24 @@ def assembly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.assembly_metrics(views.scaffolds(spark, sf_dir))
 
 
-#: A base string for each contig, from the text of a document.
+#: A base string from the text of each document; five documents that follow each other are a scaffold.
 LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.regexp_replace(F.lower(F.col("text")), "[^a-z]", "")
-    texts = views.table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, *LETTERS).alias("seq"))
-    return texts.join(views.contigs(spark, sf_dir).select("name", "tid"), F.col("doc_id") == F.col("tid")).select("name", "seq")
+    return views.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.translate(letters, *LETTERS).alias("seq"))
+
+
+def _document_scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("doc_id")
+    return views.table(spark, sf_dir, "documents").select(
+        F.floor(number / 5).alias("scf"), (number % 5 + 1).cast("int").alias("ord"), F.concat(F.lit("d"), number.cast("string")).alias("name"), (number % 2 == 0).alias("fwd")
+    )
 
 
 SEQUENCE = f"""
-  SELECT name, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS[0]}', '{LETTERS[1]}') AS seq FROM documents JOIN contig ON tid = doc_id"""
+  SELECT 'd' || doc_id AS name, doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS[0]}', '{LETTERS[1]}') AS seq FROM documents"""
 TURNED = "translate(reverse(seq), 'ACGT', 'TGCA')"
 
 
@@ -445,10 +567,11 @@ def revcomp_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", F.md5(reverse_complement(F.translate(letters, *LETTERS))).alias("digest"))
 
 
-@query(f"""SELECT scf, sum(length(seq) + 200)::BIGINT - 200 AS len, md5(string_agg(CASE WHEN fwd THEN seq ELSE {TURNED} END, repeat('N', 200) ORDER BY ord)) AS digest
-  FROM element JOIN sequence_ USING (name) GROUP BY scf""", sequence_=SEQUENCE)
+@query(f"""SELECT doc_id // 5 AS scf, sum(length(seq) + 200)::BIGINT - 200 AS len, md5(string_agg(CASE WHEN doc_id % 2 = 0 THEN seq ELSE {TURNED} END, repeat('N', 200) ORDER BY doc_id)) AS digest
+  FROM sequence_ GROUP BY doc_id // 5 HAVING coalesce(min(length(coalesce(seq, ''))), 0) > 0 AND sum(length(seq) + 200) - 200 >= 5000""", sequence_=SEQUENCE)
 def scaffold_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sequences.scaffold_sequences(views.scaffold_elements(spark, sf_dir), _sequences(spark, sf_dir))
+    """Scaffolds of at least 5,000 bases, of all documents."""
+    found = sequences.scaffold_sequences(_document_scaffolds(spark, sf_dir), _sequences(spark, sf_dir), min_length=5000)
     return found.select("scf", "len", F.md5("seq").alias("digest"))
 
 
@@ -477,6 +600,14 @@ def pairs_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.on_axis(views.lifted(spark, sf_dir), sizes, contacts.axis_scale(sizes)).drop("q1", "q2")
 
 
+@query("""SELECT qname, ((CASE WHEN s1 > s2 THEN p2 + b.start ELSE p1 + a.start END) // 7)::BIGINT AS x1, ((CASE WHEN s1 > s2 THEN p1 + a.start ELSE p2 + b.start END) // 7)::BIGINT AS x2
+  FROM lifted JOIN axis_ a ON a.scf = s1 JOIN axis_ b ON b.scf = s2""",
+  axis_="SELECT scf, coalesce(sum(len) OVER (ORDER BY len DESC, scf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT scf, sum(len)::BIGINT AS len FROM element GROUP BY scf)")
+def pairs_on_scaled_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As on an axis that is too long for the format."""
+    return contacts.on_axis(views.lifted(spark, sf_dir), chrom_sizes(spark, sf_dir), 7).select("qname", "x1", "x2")
+
+
 @query("SELECT ctg1, end1, ctg2, end2, weight * 1e5 / (zone1::DOUBLE * zone2::DOUBLE) AS w FROM link")
 def links_per_zone_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.per_zone_pair(views.links(spark, sf_dir)).select(*ENDS, "w")

@@ -40,6 +40,19 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("rec_no", F.row_number().over(Window.partitionBy("qname").orderBy(*order))).drop(*order)
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a file has them, with flags and CIGARs: one for each line item; query names end in a barcode of the supplier."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = F.format_string("o%d-%016d", "l_orderkey", F.pmod("l_suppkey", F.lit(40)))
+    flag = F.when(F.col("l_linenumber") % 2 == 1, 0x40).otherwise(0x80) + F.when(F.col("l_returnflag") == "R", 0x10).otherwise(0) + F.when(F.col("l_quantity") < 6, 0x4).otherwise(0)
+    op = lambda match: F.struct(F.when(match, 0).otherwise(4).cast("tinyint").alias("op"), F.lit(50).alias("len"))
+    cigar = F.when(F.col("l_partkey") % 11 == 0, F.array().cast("array<struct<op: tinyint, len: int>>")).otherwise(F.array(op(F.col("l_linestatus") == "O"), op(F.col("l_partkey") % 3 > 0)))
+    return lines.select(
+        F.lit(0).alias("file_id"), F.monotonically_increasing_id().alias("rec_no"), name.alias("qname"), flag.alias("flag"),
+        F.pmod("l_suppkey", F.lit(25)).cast("int").alias("tid"), (F.col("l_partkey") * 31).cast("int").alias("pos0"), F.col("l_quantity").cast("smallint").alias("mapq"), cigar.alias("cigar"),
+    )
+
+
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.accepted_pairs(alignments(spark, sf_dir))
 
@@ -86,6 +99,11 @@ def barcode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CTES = {
+    "record": """
+  SELECT 'o' || l_orderkey || '-' || lpad((l_suppkey % 40)::VARCHAR, 16, '0') AS qname, l_linenumber % 2 = 1 AS is_r1, l_returnflag = 'R' AS rev, l_quantity >= 6 AS mapped,
+         l_partkey % 11 > 0 AND CASE WHEN l_returnflag = 'R' THEN l_partkey % 3 > 0 ELSE l_linestatus = 'O' END AS five,
+         (l_suppkey % 25)::INT AS tid, (l_partkey * 31 + 1)::BIGINT AS pos, CAST(l_quantity AS INT) AS mapq
+  FROM lineitem""",
     "contig": """
   SELECT n_nationkey AS tid, n_name AS name, CAST(50000 + (n_nationkey * 7919) % 40000 AS BIGINT) AS len FROM nation""",
     "aln": """

@@ -14,9 +14,8 @@ def test_same_as_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, DATA), duck, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
