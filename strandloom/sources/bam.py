@@ -18,7 +18,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,6 +28,13 @@ from pyspark.sql.types import StructType
 
 RECORDS = "file_id INT, rec_no BIGINT, qname STRING, flag INT, tid INT, pos0 INT, mapq SMALLINT, cigar ARRAY<STRUCT<op: TINYINT, len: INT>>, mate_tid INT, mate_pos INT, isize INT, tags MAP<STRING, STRING>"
 TARGETS = "file_id INT, tid INT, name STRING, len BIGINT"
+RECORD_TYPES = {
+    "file_id": pa.int32(), "rec_no": pa.int64(), "qname": pa.string(), "flag": pa.int32(), "tid": pa.int32(), "pos0": pa.int32(), "mapq": pa.int16(),
+    "cigar": pa.list_(pa.struct({"op": pa.int8(), "len": pa.int32()})), "mate_tid": pa.int32(), "mate_pos": pa.int32(), "isize": pa.int32(), "tags": pa.map_(pa.string(), pa.string()),
+}
+TARGET_TYPES = {"file_id": pa.int32(), "tid": pa.int32(), "name": pa.string(), "len": pa.int64()}
+#: Records of an Arrow batch.
+BATCH = 8_192
 #: Compressed bytes of a range; record numbers of range k begin at k times NUMBERS.
 RANGE_BYTES, NUMBERS = 64 << 20, 1 << 40
 #: Up to so many targets (some 50 bytes each) are broadcast to the records, else joined by a shuffle.
@@ -140,7 +149,7 @@ def record_of(data: bytes, tagged: bool = True) -> tuple:
     tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, isize = struct.unpack_from("<iiBBHHHiiii", data, 0)
     at = 32 + l_name
     cigar = [{"op": x & 15, "len": x >> 4} for x in struct.unpack_from(f"<{n_cigar}I", data, at)]
-    tags = tags_of(data[at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :]) if tagged else None
+    tags = list(tags_of(data[at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :]).items()) if tagged else None
     return data[32 : at - 1].decode("latin-1"), flag, tid, pos, mapq, cigar, mate, mate_pos, isize, tags
 
 
@@ -210,6 +219,12 @@ def records(path: str, begin: int, end: int, tagged: bool = True) -> Iterator[tu
         at += 4 + size
 
 
+def batched(rows: Iterator[tuple], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, a column at a time."""
+    while some := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*some, strict=True), types.values(), strict=True)], list(types))
+
+
 class Range(InputPartition):
     def __init__(self, file_id: int, path: str, number: int, begin: int, end: int) -> None:
         self.file_id, self.path, self.number, self.begin, self.end = file_id, path, number, begin, end
@@ -224,13 +239,12 @@ class BamReader(DataSourceReader):
             return [Range(i, p, 0, 0, 0) for i, p in enumerate(self.paths)]
         return [Range(i, p, k, *r) for i, p in enumerate(self.paths) for k, r in enumerate(ranges(p, self.size))]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if self.targets:
-            for tid, (name, length) in enumerate(header_of(part.path)[0]):
-                yield part.file_id, tid, name, length
-            return
-        for n, record in enumerate(records(part.path, part.begin, part.end, self.tagged)):
-            yield part.file_id, part.number * NUMBERS + n, *record
+            yield from batched(((part.file_id, tid, name, length) for tid, (name, length) in enumerate(header_of(part.path)[0])), TARGET_TYPES)
+        else:
+            found = records(part.path, part.begin, part.end, self.tagged)
+            yield from batched(((part.file_id, part.number * NUMBERS + n, *record) for n, record in enumerate(found)), RECORD_TYPES)
 
 
 class BamSource(DataSource):
