@@ -8,15 +8,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that count as white space in every contract: tab to carriage return, and space.
-SPACE = "\\x20\\x09-\\x0D"
-
 _own_scratch: list[str] = []
 
 
@@ -98,11 +94,6 @@ def discard(*tables: DataFrame) -> None:
                 remove(df.sparkSession, folder)
 
 
-def wrapped(docs: DataFrame) -> DataFrame:
-    """All columns of docs in one struct column, so that no name of theirs can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-
-
 def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
@@ -135,7 +126,3 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
