@@ -13,7 +13,6 @@ from ..operators.iterate import running
 
 FAI = "name STRING, len BIGINT, offset BIGINT, linebases INT, linewidth INT"
 LINKS = "ctg1 STRING, end1 STRING, ctg2 STRING, end2 STRING, weight DOUBLE, zone2 BIGINT, zone1 BIGINT, n BIGINT"
-TRACK = "name STRING, s BIGINT, e BIGINT, f4 BIGINT, f5 BIGINT, f6 BIGINT"
 
 
 def _tabbed(spark: SparkSession, path: str, schema: str, least: str) -> DataFrame:
