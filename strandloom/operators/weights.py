@@ -49,8 +49,12 @@ def cells(links: DataFrame, contigs: DataFrame, ignore_middle: bool = True, prod
 
 
 def counted_cells(links: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(tid1, tid2, mm, mp, pm, pp): the cells of each pair of contigs (tid, name) as counts."""
-    at = lambda a, b: F.coalesce(F.sum(F.when((F.col("end1") == a) & (F.col("end2") == b), F.col("weight"))), F.lit(0.0))
+    """(tid1, tid2, mm, mp, pm, pp): the cells of each pair of contigs (tid, name) as counts.
+
+    The count of a link is its number of hits, or its weight where a file does not say the number.
+    """
+    hits = F.when(F.col("n") > 0, F.col("n").cast("double")).otherwise(F.col("weight"))
+    at = lambda a, b: F.coalesce(F.sum(F.when((F.col("end1") == a) & (F.col("end2") == b), hits)), F.lit(0.0))
     side = lambda i: contigs.select(F.col("name").alias(f"ctg{i}"), F.col("tid").alias(f"tid{i}"))
     rows = links.groupBy("ctg1", "ctg2").agg(*[at(a, b).alias(name) for name, a, b in CELLS])
     return rows.join(side(1), "ctg1").join(side(2), "ctg2").select("tid1", "tid2", *[name for name, *_ in CELLS])
@@ -104,3 +108,16 @@ def per_zone_pair(links: DataFrame) -> DataFrame:
     """links with w: hits for each 100,000 pairs of positions of the two zones, for looking at."""
     area = F.col("zone1").cast("double") * F.col("zone2").cast("double")
     return links.withColumn("w", F.coalesce(F.try_divide(F.col("weight") * 1e5, area), F.lit(0.0)))
+
+
+def end_table(ranking: DataFrame) -> DataFrame:
+    """For looking at: the candidates of each end in order, (ctg1, end1, rank, ctg2, end2, w, zone1, zone2)."""
+    return ranking.select("ctg1", "end1", "rank", "ctg2", "end2", "w", "zone1", "zone2")
+
+
+def pair_table(cell_rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """For looking at: counted cells of pairs of contigs by name, (ctg1, ctg2, density: hits for each base of the second, mm, mp, pm, pp, len2)."""
+    side = lambda i, *more: contigs.select(F.col("tid").alias(f"tid{i}"), F.col("name").alias(f"ctg{i}"), *more)
+    named = cell_rows.join(side(1), "tid1").join(side(2, F.col("len").alias("len2")), "tid2")
+    density = (F.col("mm") + F.col("mp") + F.col("pm") + F.col("pp")) / F.col("len2")
+    return named.select("ctg1", "ctg2", density.alias("density"), "mm", "mp", "pm", "pp", "len2")

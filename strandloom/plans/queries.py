@@ -235,6 +235,20 @@ def end_normalised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.end_normalised(views.links(spark, sf_dir)).select(*ENDS, "w")
 
 
+@query("SELECT ctg1, end1, rank::INT AS rank, ctg2, end2, w, zone1, zone2 FROM ranked")
+def candidates_of_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.end_table(_ranked(spark, sf_dir))
+
+
+@query("""SELECT ctg1, ctg2, (mm + mp + pm + pp) / len2 AS density, mm, mp, pm, pp, len2 FROM (
+  SELECT ctg1, ctg2, coalesce(sum(n) FILTER (end1 = '-' AND end2 = '-'), 0)::DOUBLE AS mm, coalesce(sum(n) FILTER (end1 = '-' AND end2 = '+'), 0)::DOUBLE AS mp,
+         coalesce(sum(n) FILTER (end1 = '+' AND end2 = '-'), 0)::DOUBLE AS pm, coalesce(sum(n) FILTER (end1 = '+' AND end2 = '+'), 0)::DOUBLE AS pp, max(c.len) AS len2
+  FROM link JOIN contig c ON c.name = ctg2 GROUP BY ctg1, ctg2)""")
+def contacts_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = views.contigs(spark, sf_dir)
+    return weights.pair_table(weights.counted_cells(views.links(spark, sf_dir), known), known)
+
+
 # forests
 
 
