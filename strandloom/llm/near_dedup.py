@@ -425,22 +425,27 @@ def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     met = buckets(firsts, n)
     pairs = materialize(candidates(met), "near-pairs", n)
     links = aligned(docs, digest, firsts, pairs, n)
-    edges, carried_on = components(links, n), None
+    edges, carried_on, written = components(links, n), None, [pairs, met, links]
     for hubs in (True, False):
-        discard(links)
         rows = opened(met, edges.select(F.col("a").alias("rid"), F.col("b").alias("root")), n)
+        written.append(rows)
+        if not rows.limit(1).count():
+            break
         if carried_on is None:  # later on, no others are open
             open_ids = materialize(rows.select("rid").distinct(), "near-open-ids", n)
             carried_on = materialize(firsts.join(few(open_ids), "rid").select("rid", "bag", "sketch"), "near-bags", n)
-            discard(open_ids)
+            written += [open_ids, carried_on]
         more = remaining(rows, carried_on, pairs, hubs, n)
-        discard(rows)
+        written.append(more)
+        if not more.limit(1).count():
+            continue
         links = aligned(docs, digest, firsts, more, n)
+        written.append(links)
         if links.limit(1).count():
             before, edges = edges, components(edges.union(links), n)
             discard(before)
         pairs = pairs.union(more)
-    discard(pairs, met, links, carried_on)
+    discard(*written)
 
     label = edges.select(F.col("a").alias("rid"), F.col("b").alias("root"))
     member = firsts.select("digest", "rid").join(label, "rid", "left").select("digest", F.coalesce("root", "rid").alias("root"))
