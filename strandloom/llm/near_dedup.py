@@ -95,8 +95,8 @@ def _occurrences(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sketches (texts, SKETCHES) of texts with counts[i] > 0 words each, one after the other in words."""
+def sketches(words: np.ndarray, counts: np.ndarray, number: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
+    """Sketches (texts, number) of texts with counts[i] > 0 words each, one after the other in words."""
     ends = np.cumsum(counts)
     n = np.maximum(counts - SHINGLE + 1, 1)
     begin = np.cumsum(n) - n
@@ -109,13 +109,13 @@ def sketches(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     key = _mixed(key)
     key = _mixed(key + _occurrences(key ^ _mixed(of.astype(np.uint64) * _ODD)) * np.uint64(0xD1342543DE82EF95))
 
-    out = np.empty((len(counts), SKETCHES), np.int64)
+    out = np.empty((len(counts), number), np.int64)
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
-    seeds = np.random.default_rng(5).integers(1, 1 << 62, (SKETCHES, 2)).astype(np.uint64)
+    seeds = np.random.default_rng(5).integers(1, 1 << 62, (number, 2)).astype(np.uint64)
     for j, (a, b) in enumerate(seeds):
         order = _mixed(key * (a * np.uint64(2) + np.uint64(1)) + b)
-        places = np.full((MINIMA, len(counts)), len(key), np.int64)  # len(key): the text has fewer shingles
-        for i in range(MINIMA):
+        places = np.full((minima, len(counts)), len(key), np.int64)  # len(key): the text has fewer shingles
+        for i in range(minima):
             least = np.minimum.reduceat(order, begin)
             hit = np.flatnonzero(order == np.repeat(least, n))
             hit = hit[order[hit] != most]
@@ -131,34 +131,38 @@ def sketches(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(number: int, minima: int):  # noqa: ANN202
     """Rows (row, doc_id, rid, digest, text) with n_words, sketch and bag (words by bin, 255 at most) instead of the text."""
-    for batch in batches:
-        data, offsets = _bytes_of(text_of(batch))
-        bags = np.zeros((len(batch), BINS), np.uint8)
-        n_words, rows = np.zeros(len(batch), np.int64), np.full((len(batch), SKETCHES), 0, np.int64)
-        start = 0
-        while start < len(batch):
-            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
-            lengths = np.diff(offsets[start : end + 1])
-            spaced = np.full(int(lengths.sum() + len(lengths)), 32, np.uint8)  # a space after each text
-            shift = np.repeat(np.arange(len(lengths)), lengths)
-            spaced[np.arange(len(shift)) + shift] = data[offsets[start] : offsets[end]]
-            words, places = word_hashes(spaced)
-            limits = np.cumsum(lengths + 1)
-            of = np.searchsorted(limits, places, "right")
-            counts = np.bincount(of, minlength=len(lengths))
-            n_words[start:end] = counts
-            in_bins = np.bincount(of * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=len(lengths) * BINS)
-            bags[start:end] = np.minimum(in_bins, 255).reshape(-1, BINS)
-            full = np.flatnonzero(counts)
-            if len(full):
-                rows[start + full] = sketches(words, counts[full])
-            start = end
-        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * SKETCHES), pa.array(rows.reshape(-1)))
-        at = pa.py_buffer(np.arange(len(batch) + 1, dtype=np.int32) * np.int32(BINS))
-        bag = pa.Array.from_buffers(pa.binary(), len(batch), [None, at, pa.py_buffer(bags)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_words), sketch, bag], [*batch.schema.names[:4], "n_words", "sketch", "bag"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _bytes_of(text_of(batch))
+            bags = np.zeros((len(batch), BINS), np.uint8)
+            n_words, rows = np.zeros(len(batch), np.int64), np.full((len(batch), number), 0, np.int64)
+            start = 0
+            while start < len(batch):
+                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+                lengths = np.diff(offsets[start : end + 1])
+                spaced = np.full(int(lengths.sum() + len(lengths)), 32, np.uint8)  # a space after each text
+                shift = np.repeat(np.arange(len(lengths)), lengths)
+                spaced[np.arange(len(shift)) + shift] = data[offsets[start] : offsets[end]]
+                words, places = word_hashes(spaced)
+                limits = np.cumsum(lengths + 1)
+                of = np.searchsorted(limits, places, "right")
+                counts = np.bincount(of, minlength=len(lengths))
+                n_words[start:end] = counts
+                in_bins = np.bincount(of * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=len(lengths) * BINS)
+                bags[start:end] = np.minimum(in_bins, 255).reshape(-1, BINS)
+                full = np.flatnonzero(counts)
+                if len(full):
+                    rows[start + full] = sketches(words, counts[full], number, minima)
+                start = end
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * number), pa.array(rows.reshape(-1)))
+            at = pa.py_buffer(np.arange(len(batch) + 1, dtype=np.int32) * np.int32(BINS))
+            bag = pa.Array.from_buffers(pa.binary(), len(batch), [None, at, pa.py_buffer(bags)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_words), sketch, bag], [*batch.schema.names[:4], "n_words", "sketch", "bag"])
+
+    return run
 
 
 def _by_diagonals(a: list[int], b: list[int], most: int) -> int | None:
@@ -274,7 +278,7 @@ def buckets(firsts: DataFrame, n: int) -> DataFrame:
     j = F.expr("posexplode(sketch) as (j, key)")
     rows = firsts.filter("n_words > 0").select("rid", "doc_id", j, size_class().alias("size_class"), "n_words")
     shared = rows.groupBy("j", "key").agg(F.min(F.struct("doc_id", "rid", "n_words")).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return materialize(rows.join(shared, ["j", "key"]), "near-buckets", SKETCHES * n)
+    return materialize(rows.join(shared, ["j", "key"]), "near-buckets", n)
 
 
 def candidates(met: DataFrame) -> DataFrame:
@@ -319,7 +323,7 @@ def _crossed(hubs: bool):  # noqa: ANN202
         def pairs(rows: pa.Table) -> pa.RecordBatch:
             x = {c: rows[c].to_numpy() for c in rows.column_names if c not in ("bag", "sketch")}
             bags = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
-            marks = np.zeros((len(bags), SKETCHES)) if hubs else rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+            marks = np.zeros((len(bags), 0)) if hubs else rows["sketch"].combine_chunks().flatten().to_numpy().reshape(len(bags), -1)
             turns = np.zeros(len(bags), bool)
             for c in keys:
                 turns[1:] |= x[c][1:] != x[c][:-1]
@@ -405,19 +409,22 @@ def aligned(docs: DataFrame, digest: Column, firsts: DataFrame, pairs: DataFrame
     return links.select("a", "b")
 
 
-def classes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def classes(docs: DataFrame, keep: list[str] | None = None, number: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
     """docs (doc_id, text, ...) as (row, class_id, class_size, kept).
 
     class_id is the smallest doc_id of the class (null if none has one), whose row stays; of
     repeated rows exactly one does.  Equal texts are one class; null counts as empty.  A text
     without any word is near to nothing but its equals; one of fewer than five words is a
-    shingle as a whole.  An empty table gives an empty one.
+    shingle as a whole.  Texts of any length are sketched and aligned whole; columns of docs may
+    have any names; an empty table gives an empty one.  number, minima: how many sketches there
+    are, and of how many shingles each; more of the former find more of the pairs that are just
+    links, more of the latter make buckets smaller and stricter about order.
     """
     columns = docs.columns if keep is None else keep
     digest = F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
     rows = carried(docs, columns, F.col("doc_id"), F.monotonically_increasing_id().alias("rid"), digest.alias("digest"))
     schema = rows.drop("text").schema.add("n_words", "long").add("sketch", T.ArrayType(T.LongType())).add("bag", "binary")
-    sketched = materialize(rows.mapInArrow(_sketched, schema), "near-sketches")
+    sketched = materialize(rows.mapInArrow(_sketched(number, minima), schema), "near-sketches")
     first = F.min_by(F.struct("doc_id", "rid", "n_words", "sketch", "bag"), identifier())
     n = sketched.count()  # of a written table: footers only
     firsts = materialize(sketched.groupBy("digest").agg(first.alias("first")).select("digest", "first.*"), "near-firsts", n)

@@ -80,7 +80,23 @@ def test_sketches_keep_order_and_occurrences():
     assert (one(words("x y z v w " * 9)) != one(words("x y z v w " * 30))).any()
 
 
-def test_near_copies_are_found_and_others_left(spark):
+def test_more_minima_are_stricter_about_order():
+    """Of texts whose two halves are exchanged, fewer sketches agree the more minima are in one; the same words in order always agree."""
+    rng = np.random.default_rng(3)
+    shares = []
+    for minima in (1, 2, 3, 5):
+        same = []
+        for _ in range(40):
+            a = rng.integers(1, 1 << 60, 200).astype(np.uint64)
+            x, y = near_dedup.sketches(np.concatenate([a, a[100:], a[:100]]), np.array([200, 200]), 40, minima)
+            same.append((x == y).mean())
+            assert (near_dedup.sketches(a, np.array([200]), 40, minima)[0] == x).all()
+        shares.append(np.mean(same))
+    assert shares[0] > 0.9 > shares[1] > shares[2] > shares[3]
+
+
+@pytest.mark.parametrize(("number", "minima"), [(30, 2), (50, 3)])
+def test_near_copies_are_found_and_others_left(spark, number, minima):
     rng = random.Random(11)
     rows, want = [], {}
     for i in range(60):
@@ -91,7 +107,7 @@ def test_near_copies_are_found_and_others_left(spark):
             copy = [w if rng.random() > 0.03 else rng.choice("new other word".split()) for w in text]
             rows.append((100 * i + j, " ".join(copy), "en", "s"))
             want[100 * i + j] = 100 * i
-    found = {r["row"]["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows)).collect()}
+    found = {r["row"]["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows), number=number, minima=minima).collect()}
     assert found == want
 
 
