@@ -139,10 +139,15 @@ def template_rows(templates: dict[str, tuple[str, str, str]], frequency: dict[st
 
 def windows(words: Column, size: int, some: Column) -> Column:
     """The windows of a size over an array of words that hold one of some words, as sets: (of, block)."""
-    begins = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int"))
-    cut = F.transform(begins, lambda i: F.array_distinct(F.slice(words, i * size + 1, F.lit(2 * size))))
-    held = F.filter(cut, lambda x: F.arrays_overlap(x, some))
-    return F.transform(held, lambda x: F.struct(F.lit(size).alias("of"), x.alias("block")))
+
+    def over(all_words: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.floor((F.size(all_words) - 1) / size).cast("int"))
+        cut = lambda i: F.slice(all_words, i * size + 1, F.lit(2 * size))
+        held = F.filter(begins, lambda i: F.arrays_overlap(cut(i), some))
+        return F.transform(held, lambda i: F.struct(F.lit(size).alias("of"), F.array_distinct(cut(i)).alias("block")))
+
+    # as a variable of an outer function the words are made once, not once for each window
+    return F.get(F.transform(F.array(words), over), F.lit(0))
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, phrases: dict[str, str] = PHRASES, templates: dict[str, tuple[str, str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
