@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import carried, documents, text_of
@@ -239,15 +239,20 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, train_docs / n))])
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]
-    grams = lambda rows: rows.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    most = max(1, TREE_CELLS // len(sizes) ** 2)
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+
+    def grams(rows: DataFrame) -> pd.DataFrame:
+        counts = rows.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        return counts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= most).drop("place").toPandas()  # TREE_CELLS rows at most
+
     table = grams(labelled.filter(drawn | (F.lit(train_docs) >= F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("lang")])))
     if none := sorted(set(sizes) - set(table["lang"])):
         table = pd.concat([table, grams(labelled.filter(F.col("lang").isin(none)))])
     langs = sorted(table["lang"].unique())
     if not langs:
         return None
-    most = max(1, TREE_CELLS // len(langs) ** 2)
-    table = table.sort_values(["lang", "n", "gram"], ascending=[True, False, True]).groupby("lang").head(most)
+    table = table.sort_values(["lang", "n", "gram"], ascending=[True, False, True])
     return ContextTrees(langs, {x: (t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.float64)) for x in langs for t in [table[table["lang"] == x]]})
 
 
