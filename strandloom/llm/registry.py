@@ -15,6 +15,7 @@ from .multi_index import op4_neighbours
 from .near_dedup import op1_near_dedup
 from .packing import op2_packing
 from .personal_data import op5_personal_data
+from .pieces import op11_sentencepiece
 from .sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
