@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import bound_batches, carried, documents, text_of
 
@@ -348,7 +349,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str | None = No
             yield pa.RecordBatch.from_arrays(out, ["row", "ids", "decoded"][: len(out)])
 
     rows = carried(docs, columns)
-    schema = rows.select("row").schema.add("ids", "array<int>")
+    schema = rows.select("row").schema.add("ids", ArrayType(IntegerType()))
     return rows.mapInArrow(encoded, schema.add("decoded", "string") if decoded else schema)
 
 
