@@ -71,6 +71,15 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many short rows are broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast where they are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _found(spark: SparkSession, path: str):  # noqa: ANN202
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

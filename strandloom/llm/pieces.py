@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import bound_batches, carried, documents, text_of
 
@@ -370,7 +370,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
 
     bound_batches(tokens.sparkSession)
-    return tokens.mapInArrow(texts, tokens.schema.add("decoded", "string"))
+    return tokens.mapInArrow(texts, StructType([*tokens.schema.fields, StructField("decoded", StringType())]))
 
 
 def joined_ids(ids: Column) -> Column:

@@ -11,13 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import exact_dedup, language, licenses, line_dedup, mixing, near_dedup, packing, personal_data, sharding
+from strandloom.llm import exact_dedup, language, licenses, line_dedup, mixing, near_dedup, packing, personal_data, pieces, sharding
 
 from .conftest import SCHEMA
 
 ALL = {
     "near": near_dedup.classes, "packing": packing.pack, "exact": exact_dedup.deduplicate, "personal": personal_data.find, "licenses": licenses.scan,
-    "mixing": mixing.mix, "sharding": sharding.shard, "language": language.identify, "lines": line_dedup.deduplicate,
+    "mixing": mixing.mix, "sharding": sharding.shard, "language": language.identify, "lines": line_dedup.deduplicate, "pieces": pieces.encode,
 }
 
 
