@@ -1,13 +1,14 @@
 """Reversible line deduplication: cuckoo filters over exact reference counts.
 
 The log has one row for each line key and document that holds it, with a count of references.
-Insertions add rows, deletions add the same rows with a negative count, so the log is
-append-only and its sums are the references that are left, whatever was inserted and deleted
-before.
+Insertions add rows, deletions add rows with a negative count for what is still there, so the
+log is append-only and its sums are the references that are left, whatever was inserted and
+deleted before.  Beside it stand its sums by hash of the key, to which a change adds its own.
 
 Most keys stand in one document only.  Keys with enough references to matter are kept, by
-their hashes, in cuckoo filters, one for each shard of the key space, which take insertions
-and deletions as keys cross the threshold.  The log is dealt to the shards and probed there,
+their hashes, in cuckoo filters, one for each shard of the key space.  A change's own sums tell
+which hashes cross the threshold; they are inserted into the filters of their shards, or
+deleted there, and nothing else is touched.  The log is dealt to the shards and probed there,
 each row beside its own shard's filter; what passes, and nothing else, goes on to the exact
 reference-count table, which has the full keys and decides.
 """
@@ -22,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import documents, few, materialize, text_or_empty
 
 MIN_LENGTH = 40
 MIN_DOCUMENTS = 5
 #: A shard has about so many keys in its filter; of its rows in the log, so many are probed by one task.
 SHARD_KEYS, PROBE_ROWS = 20_000, 50_000
-#: Up to so many large shards (some 16 bytes each) are broadcast to the log's rows, else joined by a shuffle.
-BROADCAST_ROWS = 300_000
+
+
+FILTER_ROW = "shard long, keys long, filter binary"
 
 
 class CuckooFilter:
@@ -122,35 +124,71 @@ def digest(line: Column, min_length: int = MIN_LENGTH) -> Column:
 
 
 class LineIndex:
-    """The log of references: (key, doc_id, refs) rows, in Parquet in the shared folder.
+    """Exact reference counts of line keys, in tables of the shared folder that changes add to.
+
+    log: (key, doc_id, of, refs), what each change gave or took: ``of`` is a hash of the text that a
+    line was given with.  Nothing is taken that is not there, so its sums are what is left.
+    counts: (short, refs), the same by hashes of keys; delta: the last change's part of it.
 
     A document is a doc_id: rows that repeat one, and all rows without one, are one document.
     """
 
-    def __init__(self, log: DataFrame) -> None:
-        self.log = log
+    def __init__(self, log: DataFrame, counts: DataFrame | None = None, delta: DataFrame | None = None) -> None:
+        self.log, self.counts, self.delta = log, self._by_hash(log) if counts is None else counts, delta
 
     @staticmethod
-    def _rows(docs: DataFrame, sign: int) -> DataFrame:
+    def _by_hash(log: DataFrame) -> DataFrame:
+        return log.groupBy(F.xxhash64("key").alias("short")).agg(F.sum("refs").alias("refs"))
+
+    @staticmethod
+    def _rows(docs: DataFrame) -> DataFrame:
         """One reference of each row to each distinct key, however often the text repeats the line."""
         keys = F.array_distinct(F.filter(F.transform(split_lines(text_or_empty()), lambda x: digest(x)), lambda d: d.isNotNull()))
-        return docs.select("doc_id", F.explode(keys).alias("key")).withColumn("refs", F.lit(sign))
+        return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("of"), F.explode(keys).alias("key")).select("key", "doc_id", "of", F.lit(1).cast("long").alias("refs"))
 
     @classmethod
-    def of(cls, docs: DataFrame) -> LineIndex:
-        return cls(materialize(cls._rows(docs, 1), "line-log"))
+    def of(cls, docs: DataFrame, counted: bool = False) -> LineIndex:
+        """``counted``: for an index that is to be changed, the counts are written too."""
+        log = materialize(cls._rows(docs), "line-log")
+        return cls(log, materialize(cls._by_hash(log), "line-counts") if counted else None)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return LineIndex(self.log.unionByName(materialize(self._rows(docs, 1), "line-log")))
+        return self._changed(self._rows(docs))
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """Takes documents out again: docs with the texts that they were inserted with."""
-        return LineIndex(self.log.unionByName(materialize(self._rows(docs, -1), "line-log")))
+        """Takes documents out again: docs with the texts that they were inserted with.
+
+        References that are not there, as of documents that never came or have gone before, are passed over.
+        """
+        asked = self._rows(docs).groupBy("key", "doc_id").agg(F.sum("refs").alias("wanted"))
+        asked = materialize(asked, "line-deletions")
+        known = asked.select(F.col("key").alias("key_"), F.col("doc_id").alias("doc_"))
+        same = (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("doc_"))
+        there = self.log.join(known, same, "left_semi").groupBy(F.col("key").alias("key_"), F.col("doc_id").alias("doc_")).agg(F.sum("refs").alias("there"))
+        goes = asked.join(there, same).withColumn("refs", -F.least("wanted", "there")).filter("refs < 0")
+        return self._changed(goes.select("key", "doc_id", F.lit(0).cast("long").alias("of"), "refs"))
+
+    def _changed(self, rows: DataFrame) -> LineIndex:
+        more = materialize(rows, "line-log")
+        delta = materialize(self._by_hash(more), "line-counts")
+        return LineIndex(self.log.unionByName(more), self.counts.unionByName(delta), delta)
+
+    def compacted(self) -> LineIndex:
+        """The same in one table each, after many changes."""
+        log = self.log.groupBy("key", "doc_id", "of").agg(F.sum("refs").alias("refs")).filter("refs <> 0")
+        counts = self.counts.groupBy("short").agg(F.sum("refs").alias("refs")).filter("refs > 0")
+        return LineIndex(materialize(log, "line-log"), materialize(counts, "line-counts"))
 
     def repeated(self, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
         """(short): hashes of keys with so many references or more, among them all keys in so many documents."""
-        counted = self.log.groupBy(F.xxhash64("key").alias("short")).agg(F.sum("refs").alias("refs"))
-        return counted.filter(F.col("refs") >= min_documents).select("short")
+        return self.counts.groupBy("short").agg(F.sum("refs").alias("refs")).filter(F.col("refs") >= min_documents).select("short")
+
+    def crossed(self, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+        """(short, enters): hashes that the last change made repeated, or no longer repeated; the log is not read for it."""
+        last = self.delta.select("short", F.col("refs").alias("by"))
+        now = self.counts.join(last.select("short"), "short", "left_semi").groupBy("short").agg(F.sum("refs").alias("now"))
+        both = last.join(now, "short").select("short", (F.col("now") >= min_documents).alias("enters"), (F.col("now") - F.col("by") >= min_documents).alias("was"))
+        return both.filter("enters <> was").select("short", "enters")
 
     def frequent(self, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
         """The exact table: (key, documents, last): keys in so many documents, and the largest doc_id that holds them."""
@@ -159,39 +197,37 @@ class LineIndex:
         return counted.filter(F.col("documents") >= min_documents)
 
 
-def few(table: DataFrame) -> DataFrame:
-    """A written table of short rows, to be broadcast where they are few."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 class Filters:
     """Cuckoo filters over hashes of keys: a table (shard, keys, filter) and the number of shards."""
 
     def __init__(self, table: DataFrame, shards: int) -> None:
         self.table, self.shards = table, shards
 
-    def _sharded(self, shorts: DataFrame) -> DataFrame:
-        return shorts.select(F.pmod("short", F.lit(self.shards)).alias("shard"), "short")
-
-    @classmethod
-    def of(cls, shorts: DataFrame) -> Filters:
-        """From distinct hashes (short)."""
-        new = cls(shorts, max(1, -(-shorts.count() // SHARD_KEYS)))
+    def _sharded(self, shorts: DataFrame, *more: str) -> DataFrame:
+        return shorts.select(F.pmod("short", F.lit(self.shards)).alias("shard"), "short", *more)
 
+    @staticmethod
+    def _built(sharded: DataFrame) -> DataFrame:
         def built(part: pd.DataFrame) -> pd.DataFrame:
             made = CuckooFilter.of(part["short"].to_numpy(np.int64))
             return pd.DataFrame({"shard": part["shard"].iloc[:1], "keys": [len(part)], "filter": [made.table.tobytes()]})
 
-        made = new._sharded(shorts).groupBy("shard").applyInPandas(built, "shard long, keys long, filter binary")
-        new.table = materialize(made, "line-filters", new.shards)
+        return sharded.groupBy("shard").applyInPandas(built, FILTER_ROW)
+
+    @classmethod
+    def of(cls, shorts: DataFrame) -> Filters:
+        """From distinct hashes (short)."""
+        new = cls(shorts, max(1, -(-shorts.count() // SHARD_KEYS)))
+        new.table = materialize(cls._built(new._sharded(shorts)), "line-filters", new.shards)
         return new
 
-    def refresh(self, before: DataFrame, after: DataFrame) -> Filters:
-        """After changes of the log: hashes (short) that came to be repeated are inserted, those that no longer are get deleted."""
-        old, new = self._sharded(before), self._sharded(after)
-        both = ["shard", "short"]
-        entering = new.join(old, both, "left_anti").withColumn("enters", F.lit(True))
-        leaving = old.join(new, both, "left_anti").withColumn("enters", F.lit(False))
+    def refresh(self, index: LineIndex, min_documents: int = MIN_DOCUMENTS) -> Filters:
+        """After a change of the index: hashes that came to be repeated are inserted, those that no longer are get deleted.
+
+        Only shards with such hashes are touched.  One that gets too full is built anew, from the counts.
+        """
+        changes = materialize(self._sharded(index.crossed(min_documents), "enters"), "line-crossed")
+        touched = changes.select("shard").distinct()
 
         def changed(shard: tuple, held: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
             enters = changes["enters"].to_numpy(bool)
@@ -199,13 +235,17 @@ class Filters:
             one = CuckooFilter.load(held["filter"].iloc[0]) if len(held) else CuckooFilter(len(comes) + 8)
             one.delete(goes)
             keys = int(held["keys"].sum()) - len(goes) + len(comes)
-            if not one.insert(comes):  # too full: its keys are in the exact table, so it is built anew from there
+            if not one.insert(comes):
                 return pd.DataFrame({"shard": [shard[0]], "keys": [-1], "filter": [b""]})
             return pd.DataFrame({"shard": [shard[0]], "keys": [keys], "filter": [one.table.tobytes()]})
 
-        changes = entering.unionByName(leaving).groupBy("shard")
-        made = materialize(self.table.groupBy("shard").cogroup(changes).applyInPandas(changed, "shard long, keys long, filter binary"), "line-filters", self.shards)
-        return Filters.of(after) if made.filter("keys < 0").limit(1).count() else Filters(made, self.shards)
+        held = self.table.join(touched, "shard", "left_semi").groupBy("shard")
+        made = materialize(held.cogroup(changes.groupBy("shard")).applyInPandas(changed, FILTER_ROW), "line-filters", self.shards)
+        full = made.filter("keys < 0").select("shard")
+        if full.limit(1).count():
+            again = self._built(self._sharded(index.repeated(min_documents)).join(full, "shard", "left_semi"))
+            made = made.filter("keys >= 0").unionByName(materialize(again, "line-filters", self.shards))
+        return Filters(self.table.join(touched, "shard", "left_anti").unionByName(made), self.shards)
 
     def candidates(self, log: DataFrame) -> DataFrame:
         """The rows of a log whose key is in the filters: all that are, and one in some thousands of the others.
@@ -244,17 +284,18 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, min_documents: i
     """
     columns = docs.columns if keep is None else keep
     own = index is None
-    index = LineIndex.of(docs) if own else index
-    n = index.log.count()  # of a written table: footers only
-    filters = filters or Filters.of(materialize(index.repeated(min_documents), "line-repeated", n // min_documents))
-    maybe = materialize(filters.candidates(index.log), "line-candidates", n)
-    exact = materialize(LineIndex(maybe).frequent(min_documents).select("key", "last"), "line-frequent", n // min_documents)
-    asked = maybe if own else filters.candidates(LineIndex.of(docs).log)
+    new = LineIndex.of(docs)
+    index = new if own else index
+    n = new.log.count()  # of a written table: footers only
+    filters = filters or Filters.of(materialize(index.repeated(min_documents), "line-repeated", index.log.count() // min_documents))
+    asked = materialize(filters.candidates(new.log), "line-candidates", n)
+    judging = asked if own else index.log.join(asked.select("key").distinct(), "key", "left_semi")
+    exact = materialize(LineIndex(judging).frequent(min_documents).select("key", "last"), "line-frequent", n // min_documents)
     goes = asked.join(exact, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    drops = goes.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drops"))  # at most a document's own lines
+    drops = goes.groupBy(F.col("doc_id").alias("of_doc"), F.col("of").alias("of_text")).agg(F.collect_set("key").alias("drops"))  # at most a text's own lines
 
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", text_or_empty().alias("text"))
-    judged = held.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("of"))
+    judged = held.join(drops, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("of") == F.col("of_text")), "left")
     lines = split_lines(F.col("text"))
     left = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("drops", digest(x)), F.lit(False))))
     out = judged.select("row", "text", F.size(lines).cast("long").alias("n_lines"), left.alias("left"))

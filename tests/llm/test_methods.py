@@ -334,15 +334,14 @@ def test_line_index_is_reversible(spark, monkeypatch, probe_rows):
     assert filters.candidates(larger.log).select("key").distinct().count() == 10
     # insertions and deletions of filters follow the keys over the threshold
     fewer = index.delete(rows(range(2), 7))
-    after = fewer.repeated()
-    assert {x[1:] for x in table(fewer.frequent())} == {(6, 5)} and after.count() == 3
-    gone = filters.refresh(repeated, after)
+    assert {x[1:] for x in table(fewer.frequent())} == {(6, 5)} and fewer.repeated().count() == 3
+    gone = filters.refresh(fewer)
     assert gone.candidates(index.log).select("key").distinct().count() == 3
-    back = gone.refresh(after, repeated)
+    back = gone.refresh(fewer.insert(rows(range(2), 7)))
     assert back.candidates(index.log).select("key").distinct().count() == 10
     for n in (3, 300):  # beyond the room there is, filters are built anew
-        grown = index.insert(rows(range(100, 106), n)).repeated()
-        assert filters.refresh(repeated, grown).candidates(rows([1], n).transform(lambda d: line_dedup.LineIndex._rows(d, 1))).count() == n
+        grown = filters.refresh(index.insert(rows(range(100, 106), n)))
+        assert grown.candidates(line_dedup.LineIndex.of(rows([1], n)).log).count() == n
     # documents judged by an index that has seen insertions and deletions: as if only what is left had been there
     kept = lambda found: {r["row"]["doc_id"]: r["kept_text"] for r in found.collect()}
     assert kept(line_dedup.deduplicate(first, index=again)) == kept(line_dedup.deduplicate(first))
@@ -350,6 +349,50 @@ def test_line_index_is_reversible(spark, monkeypatch, probe_rows):
     assert kept(line_dedup.deduplicate(more, index=larger)) == {i: "\n".join(line.format(x) for x in range(20) if i == 8 or x >= 10) for i in (6, 7, 8)}
 
 
+def test_deletions_of_what_is_not_there(spark, monkeypatch):
+    """Stray, repeated and reversed deletions leave what a rebuild from the documents left has."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    line = "A line of more than forty characters, number {}, in documents."
+    rows = lambda ids, n=4: frame(spark, [(i, "\n".join(line.format(x) for x in range(n)), "en", "s") for i in ids])
+    table = lambda df: sorted((bytes(r["key"]), r["documents"], r["last"]) for r in df.collect())
+    kept = lambda found: sorted((r["row"]["doc_id"], r["n_dropped"], r["kept_text"]) for r in found.collect())
+    docs = rows(range(5))
+    start = line_dedup.LineIndex.of(docs)
+    filters = line_dedup.Filters.of(start.repeated())
+    changes = {
+        "stray": lambda x: x.delete(rows([77])), "partly stray": lambda x: x.delete(rows([4], 9)).insert(rows([4])), "twice": lambda x: x.insert(rows([9])).delete(rows([9])).delete(rows([9])),
+        "twice in one": lambda x: x.insert(rows([9])).delete(rows([9, 9])), "again inserted": lambda x: x.delete(rows([4])).delete(rows([4])).insert(rows([4])),
+        "no id": lambda x: x.delete(rows([None])), "compacted": lambda x: x.delete(rows([4])).insert(rows([4])).compacted().delete(rows([77])),
+    }
+    for name, change in changes.items():
+        index = change(start)
+        assert table(index.frequent()) == table(start.frequent()), name
+        assert index.repeated().count() == 4, name
+        assert kept(line_dedup.deduplicate(docs, index=index)) == kept(line_dedup.deduplicate(docs)), name
+        if index.delta is not None:
+            assert kept(line_dedup.deduplicate(docs, index=index, filters=filters.refresh(index))) == kept(line_dedup.deduplicate(docs)), name
+    assert start.delete(rows([2])).frequent().count() == 0 and start.delete(rows([2])).delete(rows([2])).insert(rows([2])).frequent().count() == 4
+
+
+def test_a_change_reads_its_own_rows_and_the_counts(spark):
+    line = "A line of more than forty characters, number {}, in documents."
+    rows = lambda ids: frame(spark, [(i, "\n".join(line.format(x) for x in range(4)), "en", "s") for i in ids])
+    for start in (line_dedup.LineIndex.of(rows(range(5)), counted=True), line_dedup.LineIndex.of(rows(range(5))).compacted()):
+        for index, n in ((start.insert(rows([9])), 0), (start.delete(rows([3])), 4), (start.insert(rows([9])).delete(rows([1])).delete(rows([2])), 4)):
+            changes = index.crossed()
+            assert changes.count() == n
+            assert {f.rpartition("/")[0].rpartition("/")[2].rpartition("-")[0] for f in changes.inputFiles()} == {"line-counts"}
+
+
+def test_lines_of_rows_without_an_id_stay_apart(spark):
+    """Rows without doc_id are one document to the counts, but each keeps the lines that are its own."""
+    line = "A line of more than forty characters, number {}, in documents."
+    docs = frame(spark, [(i, line.format(0), "en", "s") for i in range(5)] + [(None, f"{line.format(0)}\n{i}\n{line.format(i)}", "en", "s") for i in range(30)])
+    found = {(r["row"]["doc_id"], r["row"]["text"]): r["kept_text"] for r in line_dedup.deduplicate(docs).collect()}
+    assert found[None, f"{line.format(0)}\n7\n{line.format(7)}"] == f"7\n{line.format(7)}" and found[4, line.format(0)] == line.format(0)
+    assert sum(x == "" for x in found.values()) == 4
+
+
 # language
 
 
