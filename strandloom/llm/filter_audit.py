@@ -53,6 +53,7 @@ def masked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     slim = own_failures(plain).select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "own")
     slim = materialize(slim, "audit-masks")
     first = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
+    first = materialize(first, "audit-copies")  # a table of its own, so that the join has both sides to deal out, and can split a text of many copies
     quality = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     quality = quality.filter("doc_id is not null and (good = 1 or toxic = 1)")
     flagged = slim.join(first, "digest", "left").join(quality, "doc_id", "left")
