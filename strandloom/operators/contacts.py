@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import zone, zone_borders
-from .iterate import running
+from .iterate import running, settled
 
 
 def with_zones(contigs: DataFrame, ignore_middle: bool = True) -> DataFrame:
@@ -69,8 +72,31 @@ def zoomed(bins: DataFrame, factor: int) -> DataFrame:
     return bins.groupBy("s1", coarse("bin1"), "s2", coarse("bin2")).agg(F.sum("n").alias("n"))
 
 
-#: The longest axis of the map format, and the widths of its bins.
-AXIS, WIDTHS = 2_100_000_000, (2_500_000, 1_000_000, 500_000, 250_000, 100_000, 50_000, 25_000, 10_000, 5_000, 1_000)
+def zoom_levels(longest: int, width: int = 1000, factor: int = 2) -> list[int]:
+    """Widths from ``width`` on, each ``factor`` times the one before, up to the first whose bin holds the longest sequence."""
+    widths = [width]
+    while widths[-1] <= longest:  # positions go from 0 to the length
+        widths.append(widths[-1] * factor)
+    return widths
+
+
+def zoom_pyramid(pairs: DataFrame, sizes: DataFrame, width: int = 1000, factor: int = 2) -> DataFrame:
+    """Map export at all zooms: (level, width, s1, bin1, s2, bin2, n) of lifted pairs on scaffolds (scf, len).
+
+    Level 0 counts the pairs; every other one sums the bins of the level before it, which is
+    written once, so that each is read from a table that is smaller than the one before.  The
+    last level has one bin for each pair of scaffolds.  Without scaffolds there is level 0 alone.
+    """
+    longest = sizes.agg(F.max("len")).first()[0] or 0
+    levels, bins = [], binned(pairs, width)
+    for level, wide in enumerate(zoom_levels(longest, width, factor)):
+        bins = settled(bins if level == 0 else zoomed(bins, factor))
+        levels.append(bins.select(F.lit(level).alias("level"), F.lit(wide).cast("long").alias("width"), "s1", "bin1", "s2", "bin2", "n"))
+    return reduce(DataFrame.unionByName, levels)
+
+
+#: The longest axis of the map format, the widths of its bins in bases, the least mapping quality of its pairs.
+AXIS, WIDTHS, MAP_MAPQ = 2_100_000_000, (2_500_000, 1_000_000, 500_000, 250_000, 100_000, 50_000, 25_000, 10_000, 5_000, 1_000), 1
 
 
 def axis(sizes: DataFrame) -> DataFrame:
@@ -92,3 +118,26 @@ def on_axis(lifted: DataFrame, sizes: DataFrame, scale: int) -> DataFrame:
     turned = F.col("s1") > F.col("s2")
     sides = joined.select("qname", F.when(turned, x(2)).otherwise(x(1)).alias("a"), F.when(turned, x(1)).otherwise(x(2)).alias("b"))
     return sides.select("qname", F.col("a.strand").alias("strand1"), F.col("a.x").alias("x1"), F.col("b.strand").alias("strand2"), F.col("b.x").alias("x2"), F.col("a.q").alias("q1"), F.col("b.q").alias("q2"))
+
+
+def axis_map(lifted: DataFrame, sizes: DataFrame, scale: int, widths: tuple[int, ...] = WIDTHS, min_mapq: int = MAP_MAPQ) -> DataFrame:
+    """The one-axis map at all its widths: (width, bin_width, bin1, bin2, n), bin1 <= bin2.
+
+    bin_width: the width on the axis, divided by the scale as positions are, and at least 1.
+    Pairs are counted once, in cells of the largest width that divides all of these; the cells
+    are then dealt to the bins of every width at once, summed before they are shuffled.  Both
+    reads of a pair need the mapping quality.
+    """
+    wide = {w: max(1, w // scale) for w in widths}
+    grid = math.gcd(*wide.values())
+    placed = on_axis(lifted, sizes, scale).filter((F.col("q1") >= min_mapq) & (F.col("q2") >= min_mapq))
+    cell = lambda c: F.floor(F.col(c) / grid)
+    cells = placed.select(F.least(cell("x1"), cell("x2")).alias("a"), F.greatest(cell("x1"), cell("x2")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    level = lambda w: F.struct(F.lit(w).cast("long").alias("width"), F.lit(wide[w]).cast("long").alias("bin_width"), F.floor(F.col("a") / (wide[w] // grid)).alias("bin1"), F.floor(F.col("b") / (wide[w] // grid)).alias("bin2"))
+    dealt = cells.select("n", F.inline(F.array(*[level(w) for w in widths])))
+    return dealt.groupBy("width", "bin_width", "bin1", "bin2").agg(F.sum("n").alias("n"))
+
+
+def axis_sizes(sizes: DataFrame, scale: int) -> DataFrame:
+    """(name, len): the map's only sequence, as long as all scaffolds (scf, len) on the axis."""
+    return sizes.agg(F.floor(F.coalesce(F.sum("len"), F.lit(0)) / scale).alias("len")).select(F.lit("assembly").alias("name"), "len")

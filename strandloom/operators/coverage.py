@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import settled
+
 #: Regions of support with less than this between them are one.
 JOIN_DISTANCE = 20
 #: Width of the bins by which intervals meet regions.
@@ -26,7 +28,7 @@ def coverage(spans: DataFrame, scaffolds: DataFrame, width: int = SWEEP_BIN) ->
     change = lambda place, by: F.struct(place.alias("pos"), F.lit(by).cast("long").alias("delta"))
     events = spans.select("scf", F.inline(F.array(change(F.col("s"), 1), change(F.col("e") + 1, -1))))
     events = events.unionByName(scaffolds.select("scf", F.lit(1).cast("long").alias("pos"), F.lit(0).cast("long").alias("delta")))
-    places = events.groupBy("scf", "pos").agg(F.sum("delta").alias("delta")).withColumn("bin", F.floor(F.col("pos") / width))
+    places = settled(events.groupBy("scf", "pos").agg(F.sum("delta").alias("delta")).withColumn("bin", F.floor(F.col("pos") / width)))  # read for the bins and for the sweep
     over = Window.partitionBy("scf").orderBy("bin")
     bins = places.groupBy("scf", "bin").agg(F.sum("delta").alias("change"), F.min("pos").alias("first"))
     before = F.coalesce(F.sum("change").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -48,35 +48,53 @@ def spanning_forest(edges: DataFrame, small: int | None = None) -> DataFrame:
     """Edges (a, b, w), a < b, of the maximum spanning forest.
 
     Each round every tree takes its heaviest edge out, and the trees so joined become one:
-    trees halve at least, so rounds grow with the logarithm of the nodes.  With ties broken by
-    name the forest is unique, and a graph small enough for one task (``small`` edges) is sorted there instead.
+    trees halve at least, so rounds grow with the logarithm of the nodes.  The graph is
+    contracted as they do: edges inside a tree go, and of those between the same two trees the
+    heaviest stays, so every round reads a smaller table than the one before.  With ties broken
+    by name the forest is unique, and a graph small enough for one task (``small`` edges) is sorted there instead.
     """
     edges = settled(edges.filter("a < b").groupBy("a", "b").agg(F.max("w").alias("w")))
     if edges.count() <= (iterate.SMALL_GRAPH if small is None else small):
         return edges.coalesce(1).mapInPandas(_kruskal, edges.schema)
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    tree = settled(nodes.withColumn("tree", F.col("node")))
-    chosen = None
-    while True:
-        side = lambda c: tree.select(F.col("node").alias(c), F.col("tree").alias(f"t{c}"))
-        between = settled(edges.join(side("a"), "a").join(side("b"), "b").filter("ta <> tb"))
-        if not between.limit(1).count():
-            return edges.limit(0) if chosen is None else chosen
-        both = between.select(F.col("ta").alias("tree"), F.col("tb").alias("other"), "a", "b", "w").unionByName(between.select(F.col("tb").alias("tree"), F.col("ta").alias("other"), "a", "b", "w"))
-        best = settled(both.groupBy("tree").agg(F.min_by(F.struct("other", "a", "b", "w"), _heaviest()).alias("x")).select("tree", "x.*"))
-        taken = best.select("a", "b", "w").distinct()
+    chosen, left = None, edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", "w")  # x, y: the trees that an edge lies between
+    while left.limit(1).count():
+        best, taken = _heaviest_out(left)
         chosen = settled(taken if chosen is None else chosen.unionByName(taken))
-        # trees point at each other along the edges taken; each group has one pair that point at one another
-        back = best.select(F.col("tree").alias("other"), F.col("other").alias("to"))
-        root = best.join(back, "other", "left").select("tree", F.when((F.col("to") == F.col("tree")) & (F.col("tree") < F.col("other")), F.col("tree")).otherwise(F.col("other")).alias("up"))
-        while True:
-            root = settled(root)
-            higher = root.select(F.col("tree").alias("up"), F.col("up").alias("top"))
-            moved = settled(root.join(higher, "up").select("tree", "up", "top"))
-            if not moved.filter("up <> top").limit(1).count():
-                break
-            root = moved.select("tree", F.col("top").alias("up"))
-        tree = settled(tree.join(root, "tree", "left").select("node", F.coalesce("up", "tree").alias("tree")))
+        left = contracted(left, _roots(best))
+    return edges.limit(0) if chosen is None else chosen
+
+
+def _heaviest_out(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each tree the tree at the other end of its heaviest edge, (tree, other), and the edges taken."""
+    way = lambda x, y: F.struct(F.col(x).alias("tree"), F.col(y).alias("other"), "a", "b", "w")
+    both = left.select(F.inline(F.array(way("x", "y"), way("y", "x"))))
+    best = settled(both.groupBy("tree").agg(F.min_by(F.struct("other", "a", "b", "w"), _heaviest()).alias("edge")).select("tree", "edge.*"))
+    return best.select("tree", "other"), best.select("a", "b", "w").distinct()
+
+
+def _roots(best: DataFrame) -> DataFrame:
+    """(tree, up): the tree that each is now part of.
+
+    Trees point at one another along the edges taken; of each group two point at each other, and the smaller of these is its root.
+    """
+    back = best.select(F.col("tree").alias("other"), F.col("other").alias("to"))
+    mutual = (F.col("to") == F.col("tree")) & (F.col("tree") < F.col("other"))
+    root = best.join(back, "other", "left").select("tree", F.when(mutual, F.col("tree")).otherwise(F.col("other")).alias("up"))
+    while True:
+        root = settled(root)
+        higher = root.select(F.col("tree").alias("up"), F.col("up").alias("top"))
+        moved = settled(root.join(higher, "up").select("tree", "up", "top"))
+        if not moved.filter("up <> top").limit(1).count():
+            return root
+        root = moved.select("tree", F.col("top").alias("up"))
+
+
+def contracted(left: DataFrame, root: DataFrame) -> DataFrame:
+    """Edges (x, y, a, b, w) between the trees that root (tree, up) makes of x and y, at most one for two trees."""
+    end = lambda c: root.select(F.col("tree").alias(c), F.col("up").alias(f"{c}_up"))
+    between = left.join(end("x"), "x").join(end("y"), "y").filter("x_up <> y_up")
+    grouped = between.groupBy(F.least("x_up", "y_up").alias("x"), F.greatest("x_up", "y_up").alias("y"))
+    return settled(grouped.agg(F.min_by(F.struct("a", "b", "w"), _heaviest()).alias("edge")).select("x", "y", "edge.*"))
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
@@ -89,7 +107,7 @@ def without_branches(edges: DataFrame) -> DataFrame:
     return edges.join(branching.withColumnRenamed("node", "a"), "a", "left_anti").join(branching.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b", "w")
 
 
-def end_forest(mutual: DataFrame) -> DataFrame:
+def end_forest(mutual: DataFrame, small: int | None = None) -> DataFrame:
     """Directed edges (ctg1, end1, ctg2, end2, w), both ways, of the forest over ends.
 
     The two ends of a contig are tied more firmly than any contact; ends of more than two
@@ -100,7 +118,7 @@ def end_forest(mutual: DataFrame) -> DataFrame:
     links = mutual.select(node(1).alias("x"), node(2).alias("y"), "w").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
     names = mutual.select(F.col("ctg1").alias("c")).union(mutual.select("ctg2")).distinct()
     inside = names.select(F.concat("c", F.lit("+")).alias("a"), F.concat("c", F.lit("-")).alias("b"), F.lit(INSIDE).alias("w"))
-    forest = without_branches(spanning_forest(links.unionByName(inside))).filter(F.col("w") < INSIDE)
+    forest = without_branches(settled(spanning_forest(links.unionByName(inside), small))).filter(F.col("w") < INSIDE)
     part = lambda c, i: [F.expr(f"left({c}, length({c}) - 1)").alias(f"ctg{i}"), F.expr(f"right({c}, 1)").alias(f"end{i}")]
     one = forest.select(*part("a", 1), *part("b", 2), (F.col("w") * UNIT).alias("w"))
     return one.unionByName(swapped(one))

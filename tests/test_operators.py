@@ -187,6 +187,55 @@ def test_spanning_forest(spark, any_size, seed):
     assert rows(forest.spanning_forest(spark.createDataFrame(given, "a string, b string, w double")), "a", "b", "w") == _kruskal(given)
 
 
+def test_rounds_of_a_forest_read_contracted_graphs(spark, monkeypatch):
+    """After each round at most one edge is left between two trees, and none inside one."""
+    rng, seen = random.Random(6), []
+    plain = forest.contracted
+
+    def watched(left, root):
+        out = plain(left, root)
+        found = out.collect()
+        assert len({frozenset((r["x"], r["y"])) for r in found}) == len(found) and all(r["x"] < r["y"] for r in found)
+        seen.append((root.count(), root.select("up").distinct().count(), len(found)))
+        return out
+
+    monkeypatch.setattr(forest, "contracted", watched)
+    edges = {(a, b): float(rng.randint(1, 50)) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3}
+    given = [(f"n{a:02d}", f"n{b:02d}", w) for (a, b), w in edges.items()]
+    assert rows(forest.spanning_forest(spark.createDataFrame(given, "a string, b string, w double"), 0), "a", "b", "w") == _kruskal(given)
+    assert seen[-1][2] == 0 and seen[0][0] == 60 and all(after <= before // 2 for before, after, _ in seen)
+    assert all(left <= trees * (trees - 1) // 2 for _, trees, left in seen) and [x[2] for x in seen] == sorted((x[2] for x in seen), reverse=True)
+
+
+@pytest.mark.parametrize("scale", [1, 3])
+def test_axis_map_at_all_widths(spark, scale):
+    rng = random.Random(scale)
+    sizes = {"s": 900, "t": 500, "u": 2000}
+    start = {"u": 0, "s": 2000, "t": 2900}
+    pairs_ = [(rng.choice("stu"), rng.randint(0, 499), rng.randint(0, 2), rng.choice("stu"), rng.randint(0, 499), rng.randint(0, 2)) for _ in range(400)]
+    lifted = spark.createDataFrame([(f"r{i}", a, p, False, q, b, x, True, y) for i, (a, p, q, b, x, y) in enumerate(pairs_)], "qname string, s1 string, p1 long, r1 boolean, q1 int, s2 string, p2 long, r2 boolean, q2 int")
+    table = spark.createDataFrame(list(sizes.items()), "scf string, len long")
+    widths = (1000, 250, 100, 50)
+    wanted = {}
+    for a, p, q, b, x, y in pairs_:
+        if q >= 1 and y >= 1:
+            for w in widths:
+                one, two = sorted((start[s] + at) // scale // (w // scale) for s, at in ((a, p), (b, x)))
+                wanted[w, w // scale, one, two] = wanted.get((w, w // scale, one, two), 0) + 1
+    found = contacts.axis_map(lifted, table, scale, widths)
+    assert rows(found, "width", "bin_width", "bin1", "bin2", "n") == sorted((*k, n) for k, n in wanted.items())
+    assert rows(contacts.axis_sizes(table, scale), "name", "len") == [("assembly", 3400 // scale)]
+
+
+def test_zoom_pyramid_ends_with_one_bin(spark):
+    assert contacts.zoom_levels(999) == [1000] and contacts.zoom_levels(1000) == [1000, 2000] and contacts.zoom_levels(70, 10, 3) == [10, 30, 90] and contacts.zoom_levels(0) == [1000]
+    lifted = spark.createDataFrame([("s", 5, "s", 69), ("s", 70, "t", 3), ("t", 31, "s", 12)], "s1 string, p1 long, s2 string, p2 long")
+    found = contacts.zoom_pyramid(lifted, spark.createDataFrame([("s", 70), ("t", 40)], "scf string, len long"), 10, 3)
+    assert rows(found.filter("level = 0"), "width", "s1", "bin1", "s2", "bin2", "n") == [(10, "s", 0, "s", 6, 1), (10, "s", 1, "t", 3, 1), (10, "s", 7, "t", 0, 1)]
+    assert rows(found.filter("level = 2"), "width", "s1", "bin1", "s2", "bin2", "n") == [(90, "s", 0, "s", 0, 1), (90, "s", 0, "t", 0, 2)]
+    assert found.groupBy("level").agg(F.sum("n").alias("n")).filter("n <> 3").count() == 0 and found.select("level").distinct().count() == 3
+
+
 def test_contig_forest_finds_the_best_directions(spark, any_size):
     cell = "ctg1 string, ctg2 string, mm double, mp double, pm double, pp double, best double"
     one = [("a", "b", 0.0, 9.0, 0.0, 1.0, 9.0), ("b", "c", 0.0, 0.0, 8.0, 3.0, 8.0)]  # a+ b+ gives 9, then b+ c: nothing; a+ b- gives nothing
