@@ -1,4 +1,4 @@
-"""Command line: link, build, break, break-links, gets, scaffold, pairs-bed, sizes, convert-bam and agp-assembly.
+"""Command line: link, build, break, break-links, gets, scaffold, pairs-bed, maps, sizes, conflicts, convert-bam and agp-assembly.
 
     python -m strandloom.cli scaffold -o OUT -x contigs.fai [-r contigs.fa] reads.bam ...
 
@@ -25,7 +25,7 @@ def _reads(spark: SparkSession, paths: list[str], contigs: DataFrame) -> DataFra
     frames = []
     for i, path in enumerate(paths):
         if path.endswith(".bam"):
-            records, targets = bam.renumbered(bam.read_bam(spark, path, tags="no")), bam.read_bam(spark, path, kind="targets")
+            records, targets = bam.renumbered(bam.read_bam(spark, path, columns=",".join(bam.KEPT))), bam.read_bam(spark, path, kind="targets")
         else:
             records, targets = bam.from_parquet(spark, path), bam.from_parquet(spark, path, "targets")
         named = bam.by_name(records, targets, contigs)
@@ -108,6 +108,26 @@ def pairs_bed(spark: SparkSession, args: argparse.Namespace) -> None:
     contacts.binned(lifted).write.mode("overwrite").parquet(f"{args.out}/bins_1000.parquet")
 
 
+def maps(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Bins at all zooms, and the map of all scaffolds on one axis at its widths, in Parquet by level and by width."""
+    known = _contigs(spark, args)
+    accepted = pairs.accepted_pairs(_reads(spark, args.bams, known), args.min_mapq)
+    lifted, placed = scaffolding.placed_pairs(accepted, known, _graph(spark, args, known))
+    lifted = iterate.settled(lifted)
+    whole = placed.filter("is_tail").select("scf", (F.col("off") + F.col("len")).alias("len"))
+    contacts.zoom_pyramid(lifted, whole).write.mode("overwrite").partitionBy("level").parquet(f"{args.out}/zooms.parquet")
+    bases = iterate.settled(placed.groupBy("scf").agg(F.sum("len").alias("len")))
+    scale = contacts.axis_scale(bases)
+    contacts.axis_map(lifted, bases, scale).write.mode("overwrite").partitionBy("width").parquet(f"{args.out}/axis.parquet")
+    tracks.write_sizes(contacts.axis_sizes(bases, scale), f"{args.out}/assembly.sizes")
+
+
+def conflicts(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Lines of a graph that another line of their name leaves without effect."""
+    found = sat.conflicts(spark, args.sat)
+    found.select(F.concat_ws("\t", F.lit("ignored"), "ignored").alias("value")).write.mode("overwrite").text(args.out)
+
+
 def sizes(spark: SparkSession, args: argparse.Namespace) -> None:
     tracks.write_sizes(sat.read_sat(spark, args.sat).current_sizes(), args.out)
 
@@ -168,7 +188,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("-r", dest="fasta")
     one.add_argument("-l", dest="min_length", type=int, default=0)
     command("pairs-bed", pairs_bed, "sat", "fai", "reads")
+    command("maps", maps, "sat", "fai", "reads")
     command("sizes", sizes, "sat")
+    command("conflicts", conflicts, "sat")
     command("convert-bam", convert_bam, "reads")
     command("agp-assembly", agp_assembly).add_argument("agp")
     return top

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import lift
 from ..operators import breaks, candidates, chains, contacts, coverage, forest, matching, molecules, pairs, sequences, weights
-from ..operators.iterate import settled
+from ..operators.iterate import running, settled
 from ..sources.sat import ScaffoldGraph
 
 
@@ -47,7 +47,7 @@ def first_graph(contigs: DataFrame) -> ScaffoldGraph:
     return ScaffoldGraph(
         seqs, empty("v string, v_end string, w string, w_end string, wt double"),
         empty("name string, len bigint, is_circ boolean, elems array<struct<name: string, fwd: boolean>>"),
-        empty("name string, paths array<string>"), empty("name string"),
+        empty("name string, place long, path string"), empty("name string"),
     )
 
 
@@ -118,12 +118,13 @@ def build(graph: ScaffoldGraph, links: DataFrame, options: Options) -> ScaffoldG
 
 
 def with_assembly(graph: ScaffoldGraph, names: DataFrame) -> ScaffoldGraph:
-    """The graph with an assembly of these paths, the new current one; its name is the next free number."""
-    used = [r["name"] for r in graph.assemblies.select("name").collect()]  # one for each round
+    """The graph with an assembly of these paths, in order of name, the new current one; its own name is the next free number."""
+    used = {r["name"] for r in graph.assemblies.select("name").distinct().collect()}  # one for each round
     n = len(used)
     while f"a{n:05d}" in used:
         n += 1
-    made = names.agg(F.array_sort(F.collect_list("name")).alias("paths")).select(F.lit(f"a{n:05d}").alias("name"), "paths")
+    placed = running(names.select(F.col("name").alias("path")), [F.col("path")], F.lit(1))
+    made = placed.select(F.lit(f"a{n:05d}").alias("name"), F.col("before").alias("place"), "path")
     current = graph.sequences.sparkSession.createDataFrame([(f"a{n:05d}",)], "name string")
     return replace(graph, assemblies=graph.assemblies.unionByName(made), current=current)
 

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GAP
 from ..operators.iterate import running
-
-COLUMNS = "object STRING, beg STRING, end STRING, part STRING, type STRING, comp STRING, comp_beg STRING, comp_end STRING, orient STRING"
-
+from .text import numbered_lines, read_lines, write_lines
 
 def read_agp(spark: SparkSession, path: str) -> DataFrame:
     """(number, object, comp, len, orient) of the component lines (type W), numbered as in the file."""
-    lines = spark.read.csv(path, sep="\t", schema=COLUMNS, comment="#", quote="").withColumn("at", F.monotonically_increasing_id())
-    # numbers count lines before: those of earlier partitions, and those of the same one
-    kept = lines.filter(F.col("type") == "W").withColumn("split", F.shiftright("at", 33))
-    sizes = kept.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("split", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("split").orderBy("at"))
-    return kept.withColumn("rank", rank).join(starts, "split").select((F.col("before") + F.col("rank")).alias("number"), "object", "comp", F.col("comp_end").try_cast("long").alias("len"), "orient")
+    parts = F.split("value", "\t")
+    field = lambda i: F.get(parts, F.lit(i))
+    kept = numbered_lines(read_lines(spark, path).filter(~F.col("value").startswith("#") & (field(4) == "W")))
+    return kept.select((F.col("number") + 1).alias("number"), field(0).alias("object"), field(5).alias("comp"), field(7).try_cast("long").alias("len"), field(8).alias("orient"))
 
 
 def rows(placed: DataFrame, first: int = 1) -> DataFrame:
@@ -54,8 +48,6 @@ def assembly_lines(components: DataFrame) -> DataFrame:
 
 
 def write_assembly(components: DataFrame, path: str) -> None:
-    from .text import write_lines
-
     contig = components.select(F.lit(0).alias("section"), F.format_string("%020d", "number").alias("ord"), F.concat(F.lit(">"), "comp", F.lit(" "), F.col("number").cast("string"), F.lit(" "), F.col("len").cast("string")).alias("value"))
     groups = assembly_lines(components).select(F.lit(1).alias("section"), F.format_string("%020d", "first").alias("ord"), F.col("members").alias("value"))
     write_lines(contig.unionByName(groups), path)

@@ -1,6 +1,6 @@
-"""BAM files as a DataFrame source, decoded in Python with the standard library.
+"""BAM files as a DataFrame source and sink, decoded by array operations.
 
-    register(spark); spark.read.format("bam").load(path)
+    register(spark); spark.read.format("bam").load(path).filter("mapq >= 10")
     spark.read.format("bam").option("kind", "targets").load(path)
 
 A BAM file is a series of independently compressed blocks, and records run on over their
@@ -13,28 +13,36 @@ which a run of plausible records follows, and reads until the first record past
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
-RECORDS = "file_id INT, rec_no BIGINT, qname STRING, flag INT, tid INT, pos0 INT, mapq SMALLINT, cigar ARRAY<STRUCT<op: TINYINT, len: INT>>, mate_tid INT, mate_pos INT, isize INT, tags MAP<STRING, STRING>"
-TARGETS = "file_id INT, tid INT, name STRING, len BIGINT"
-RECORD_TYPES = {
-    "file_id": pa.int32(), "rec_no": pa.int64(), "qname": pa.string(), "flag": pa.int32(), "tid": pa.int32(), "pos0": pa.int32(), "mapq": pa.int16(),
-    "cigar": pa.list_(pa.struct({"op": pa.int8(), "len": pa.int32()})), "mate_tid": pa.int32(), "mate_pos": pa.int32(), "isize": pa.int32(), "tags": pa.map_(pa.string(), pa.string()),
+RECORD_FIELDS = {
+    "file_id": "INT", "rec_no": "BIGINT", "qname": "STRING", "flag": "INT", "tid": "INT", "pos0": "INT", "mapq": "SMALLINT", "cigar": "ARRAY<STRUCT<op: TINYINT, len: INT>>",
+    "mate_tid": "INT", "mate_pos": "INT", "isize": "INT", "tags": "MAP<STRING, STRING>",
 }
+TARGETS = "file_id INT, tid INT, name STRING, len BIGINT"
+TAG_TYPE = pa.map_(pa.string(), pa.string())
 TARGET_TYPES = {"file_id": pa.int32(), "tid": pa.int32(), "name": pa.string(), "len": pa.int64()}
-#: Records of an Arrow batch.
-BATCH = 8_192
+#: Records of an Arrow batch, and bytes of data that are read before they are decoded.
+BATCH, RUN_BYTES = 8_192, 1 << 20
+#: Bytes of data in a block that is written; fixed value: the bin of reads without a place, which readers here don't use.
+BLOCK_DATA, NO_BIN = 60_000, 4680
 #: Compressed bytes of a range; record numbers of range k begin at k times NUMBERS.
 RANGE_BYTES, NUMBERS = 64 << 20, 1 << 40
 #: Up to so many targets (some 50 bytes each) are broadcast to the records, else joined by a shuffle.
@@ -144,15 +152,6 @@ def tags_of(data: bytes) -> dict[str, str]:
     return out
 
 
-def record_of(data: bytes, tagged: bool = True) -> tuple:
-    """(qname, flag, tid, pos0, mapq, cigar, mate_tid, mate_pos, isize, tags) of a record without its size; tags null unless ``tagged``."""
-    tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, isize = struct.unpack_from("<iiBBHHHiiii", data, 0)
-    at = 32 + l_name
-    cigar = [{"op": x & 15, "len": x >> 4} for x in struct.unpack_from(f"<{n_cigar}I", data, at)]
-    tags = list(tags_of(data[at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :]).items()) if tagged else None
-    return data[32 : at - 1].decode("latin-1"), flag, tid, pos, mapq, cigar, mate, mate_pos, isize, tags
-
-
 def sound(data: bytes, at: int, targets: int) -> int | None:
     """Where the next record begins if one can begin at ``at``; None if not; -1 if the data end before it is sure."""
     if at + 36 > len(data):
@@ -167,22 +166,30 @@ def sound(data: bytes, at: int, targets: int) -> int | None:
     return at + 4 + size
 
 
-def records(path: str, begin: int, end: int, tagged: bool = True) -> Iterator[tuple]:
-    """Records that begin in the blocks from begin up to end."""
+def runs_of_records(path: str, begin: int, end: int, most: int) -> Iterator[tuple[bytes, list[int]]]:
+    """Data and the places in them where records start (behind their size), of the records that begin in the blocks from begin up to end.
+
+    A run has about ``most`` bytes of data: only the sizes of records are read here, one by one.
+    """
     targets, skip = header_of(path)
     data, at, limit = b"", 0, None  # limit: where in data the blocks past end begin
     blocks = inflated(path, begin, end, True)
 
     def more() -> bool:
+        """Reads on: whole runs as long as blocks lie before end, then block by block."""
         nonlocal data, at, limit
-        block = next(blocks, None)
-        if block is None:
-            return False
-        data, at, limit = data[at:], 0, None if limit is None else limit - at
-        if block[1] and limit is None:
-            limit = len(data)
-        data += block[0]
-        return True
+        rest = len(data) - at
+        parts, held = [data[at:]], 0
+        limit, at = None if limit is None else limit - at, 0
+        while held < most and (block := next(blocks, None)) is not None:
+            if block[1] and limit is None:
+                limit = rest + held
+            parts.append(block[0])
+            held += len(block[0])
+            if limit is not None:
+                break
+        data = b"".join(parts)
+        return held > 0
 
     if begin == 0:
         while len(data) < skip and more():
@@ -206,23 +213,78 @@ def records(path: str, begin: int, end: int, tagged: bool = True) -> Iterator[tu
                 else:
                     place, found = following, found + 1
             break
+    starts: list[int] = []
     while limit is None or at < limit:
-        while at + 4 > len(data) or at + 4 + struct.unpack_from("<i", data, at)[0] > len(data):
+        if at + 4 > len(data) or at + 4 + (size := struct.unpack_from("<i", data, at)[0]) > len(data):
+            if starts:  # what lies before is given out before the data move on
+                yield data, starts
+                starts = []
             if not more():
                 if at < len(data):
                     raise ValueError(f"{path}: the last record is cut off")
                 return
-            if limit is not None and at >= limit:
-                return
-        size = struct.unpack_from("<i", data, at)[0]
-        yield record_of(data[at + 4 : at + 4 + size], tagged)
+            continue
+        starts.append(at + 4)
         at += 4 + size
-
-
-def batched(rows: Iterator[tuple], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches, a column at a time."""
-    while some := list(islice(rows, BATCH)):
-        yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*some, strict=True), types.values(), strict=True)], list(types))
+    if starts:
+        yield data, starts
+
+
+def _gathered(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of all the stretches, one behind the other."""
+    ends = np.cumsum(lengths)
+    return raw[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _offsets(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
+class Decoder:
+    """Runs of records as Arrow batches: the fixed fields of all records at once, by array operations; the others of those records only that pass."""
+
+    def __init__(self, columns: list[str], tests: list[tuple[str, str, object]]) -> None:
+        self.columns, self.tests = columns, tests
+
+    #: How a column compares with a value.
+    COMPARE = {"=": np.equal, "<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "in": np.isin, "with": lambda x, bits: x & bits == bits, "without": lambda x, bits: x & bits == 0}
+
+    def decode(self, data: bytes, starts: list[int], file_id: int, first: int) -> pa.RecordBatch:
+        """The records of a run that pass, the first of the run numbered ``first``."""
+        raw, at = np.frombuffer(data, np.uint8), np.array(starts, np.int64)
+        fields = raw[at[:, None] + np.arange(32)]
+        word = lambda i: fields[:, 4 * i : 4 * i + 4].copy().view("<i4")[:, 0]
+        half = lambda i: fields[:, i : i + 2].copy().view("<u2")[:, 0].astype(np.int32)
+        fixed = {"tid": lambda: word(0), "pos0": lambda: word(1), "mapq": lambda: fields[:, 9].astype(np.int16), "flag": lambda: half(14), "mate_tid": lambda: word(5), "mate_pos": lambda: word(6), "isize": lambda: word(7)}
+        passed = np.ones(len(at), bool)
+        for column, how, value in self.tests:
+            passed &= self.COMPARE[how](fixed[column](), value)
+        number = first + np.flatnonzero(passed)
+        at, fields = at[passed], fields[passed]
+        name, cigar, letters = fields[:, 8].astype(np.int64), half(12).astype(np.int64), word(4).astype(np.int64)
+        made = {
+            "file_id": lambda: pa.array(np.full(len(at), file_id, np.int32)), "rec_no": lambda: pa.array(number), "qname": lambda: self._names(raw, at + 32, name - 1), "cigar": lambda: self._cigars(raw, at + 32 + name, cigar),
+            "tags": lambda: pa.array([list(tags_of(data[x : y]).items()) for x, y in self._tag_places(data, at, 32 + name + 4 * cigar + (letters + 1) // 2 + letters)], TAG_TYPE),
+        }
+        return pa.RecordBatch.from_arrays([made[c]() if c in made else pa.array(fixed[c]()) for c in self.columns], self.columns)
+
+    @staticmethod
+    def _names(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        letters = _gathered(raw, starts, lengths)
+        if len(letters) and letters.max() > 127:
+            letters, ends = letters.tobytes(), np.cumsum(lengths).tolist()
+            return pa.array([letters[e - n : e].decode("latin-1") for n, e in zip(lengths.tolist(), ends, strict=True)])
+        return pa.StringArray.from_buffers(len(starts), _offsets(lengths).buffers()[1], pa.py_buffer(letters))
+
+    @staticmethod
+    def _cigars(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Array:
+        steps = _gathered(raw, starts, 4 * counts).view("<u4")
+        return pa.ListArray.from_arrays(_offsets(counts), pa.StructArray.from_arrays([pa.array((steps & 15).astype(np.int8)), pa.array((steps >> 4).astype(np.int32))], ["op", "len"]))
+
+    @staticmethod
+    def _tag_places(data: bytes, at: np.ndarray, skip: np.ndarray) -> list[tuple[int, int]]:
+        sizes = [struct.unpack_from("<i", data, x - 4)[0] for x in at.tolist()]
+        return [(x + y, x + size) for x, y, size in zip(at.tolist(), skip.tolist(), sizes, strict=True)]
 
 
 class Range(InputPartition):
@@ -231,8 +293,21 @@ class Range(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], targets: bool, size: int, tagged: bool) -> None:
-        self.paths, self.targets, self.size, self.tagged = paths, targets, size, tagged
+    """Filters on integers of a record are pushed down to its fixed fields: what they rule out is never decoded further."""
+
+    PUSHED = {EqualTo: "=", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">=", In: "in"}
+    FIXED = ("tid", "pos0", "mapq", "flag", "mate_tid", "mate_pos", "isize")
+
+    def __init__(self, paths: list[str], targets: bool, size: int, columns: list[str], tests: list[tuple[str, str, object]]) -> None:
+        self.paths, self.targets, self.size, self.columns, self.tests = paths, targets, size, columns, tests
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for x in filters:
+            fixed = not self.targets and len(getattr(x, "attribute", ())) == 1 and x.attribute[0] in self.FIXED
+            if fixed and type(x) in self.PUSHED and getattr(x, "value", None) is not None:
+                self.tests.append((x.attribute[0], self.PUSHED[type(x)], [y for y in x.value if y is not None] if isinstance(x, In) else x.value))
+            elif not (fixed and isinstance(x, IsNotNull)):  # they never are null
+                yield x
 
     def partitions(self) -> list[Range]:
         if self.targets:
@@ -241,32 +316,126 @@ class BamReader(DataSourceReader):
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if self.targets:
-            yield from batched(((part.file_id, tid, name, length) for tid, (name, length) in enumerate(header_of(part.path)[0])), TARGET_TYPES)
-        else:
-            found = records(part.path, part.begin, part.end, self.tagged)
-            yield from batched(((part.file_id, part.number * NUMBERS + n, *record) for n, record in enumerate(found)), RECORD_TYPES)
+            found = header_of(part.path)[0]
+            for i in range(0, len(found), BATCH):
+                some = found[i : i + BATCH]
+                columns = ([part.file_id] * len(some), range(i, i + len(some)), *zip(*some, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, TARGET_TYPES.values(), strict=True)], list(TARGET_TYPES))
+            return
+        decoder, n = Decoder(self.columns, self.tests), part.number * NUMBERS
+        for data, starts in runs_of_records(part.path, part.begin, part.end, RUN_BYTES):
+            for i in range(0, len(starts), BATCH):
+                yield decoder.decode(data, starts[i : i + BATCH], part.file_id, n + i)
+            n += len(starts)
+
+
+class BamWriter(DataSourceArrowWriter):
+    """A file for each task, with a header of its own; files get their names when all tasks are done."""
+
+    def __init__(self, folder: str, targets: list[tuple[str, int]], overwrite: bool) -> None:
+        self.folder, self.targets, self.overwrite = folder, targets, overwrite
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        task = TaskContext.get()
+        path = f"{self.folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        os.makedirs(self.folder, exist_ok=True)
+        with open(path, "wb") as f:
+            text = "".join(f"@SQ\tSN:{name}\tLN:{size}\n" for name, size in self.targets).encode()
+            waiting = bytearray(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.targets)))
+            for name, size in self.targets:
+                waiting += struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    waiting += record_bytes(row)
+                    if len(waiting) >= BLOCK_DATA:
+                        for i in range(0, len(waiting) - BLOCK_DATA + 1, BLOCK_DATA):
+                            f.write(block_of(waiting[i : i + BLOCK_DATA]))
+                        del waiting[: len(waiting) // BLOCK_DATA * BLOCK_DATA]
+            f.write(block_of(waiting) + block_of(b""))
+        return Written(path)
+
+    def commit(self, messages: list[WriterCommitMessage]) -> None:
+        kept = [x.path for x in messages if x]
+        if self.overwrite:
+            for old in glob.glob(f"{self.folder}/*.bam"):
+                os.remove(old)
+        run = uuid.uuid4().hex[:8]
+        for path in kept:
+            os.rename(path, f"{self.folder}/{os.path.basename(path)[1:].rpartition('-')[0]}-{run}.bam")
+
+    def abort(self, messages: list[WriterCommitMessage]) -> None:
+        for x in messages:
+            if x and os.path.exists(x.path):
+                os.remove(x.path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    path: str
+
+
+def block_of(data: bytes) -> bytes:
+    """A block; of no data the one that ends a file."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed = packer.compress(data) + packer.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def record_bytes(row: dict) -> bytes:
+    """A record with its size, without letters; tags, if any, are texts.  What is missing or null is as of an unmapped read."""
+    get = lambda key, other: other if row.get(key) is None else row[key]
+    name = get("qname", "*").encode("latin-1") + b"\0"
+    cigar = get("cigar", [])
+    tags = b"".join(key.encode("latin-1") + b"Z" + value.encode("latin-1") + b"\0" for key, value in get("tags", []))
+    fixed = struct.pack("<iiBBHHHiiii", get("tid", -1), get("pos0", -1), len(name), get("mapq", 255), NO_BIN, len(cigar), get("flag", UNMAPPED), 0, get("mate_tid", -1), get("mate_pos", -1), get("isize", 0))
+    data = fixed + name + b"".join(struct.pack("<I", x["len"] << 4 | x["op"]) for x in cigar) + tags
+    return struct.pack("<i", len(data)) + data
 
 
 class BamSource(DataSource):
-    """Options: path (a file, a folder or a pattern that all executors see), kind (records or targets), rangeBytes, tags ("no": left out)."""
+    """Reading: path (a file, a folder or a pattern that all executors see), kind (records or targets), rangeBytes,
+    columns (names with commas: only these are decoded), withFlags and withoutFlags (bits of flag that all are set, or none).
+
+    Writing: path (a folder), targets (JSON: a list of names and lengths, in order of tid).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "bam"
 
     def schema(self) -> str:
-        return TARGETS if self.options.get("kind") == "targets" else RECORDS
+        if self.options.get("kind") == "targets":
+            return TARGETS
+        return ", ".join(f"{c} {RECORD_FIELDS[c]}" for c in self._columns())
+
+    def _columns(self) -> list[str]:
+        wanted = self.options.get("columns")
+        chosen = [c for c in RECORD_FIELDS if wanted is None or c in wanted.replace(" ", "").split(",")]
+        return [c for c in chosen if c != "tags" or self.options.get("tags") != "no"]
+
+    def _folder(self) -> str:
+        return self.options["path"].removeprefix("file://")
 
     def reader(self, schema: StructType) -> BamReader:
-        where = self.options["path"].removeprefix("file://")
+        where = self._folder()
         paths = sorted(glob.glob(os.path.join(where, "*.bam") if os.path.isdir(where) else where))
         if not paths:
             raise FileNotFoundError(where)
-        return BamReader(paths, self.options.get("kind") == "targets", int(self.options.get("rangeBytes", RANGE_BYTES)), self.options.get("tags") != "no")
+        tests = [("flag", how, int(self.options[option])) for how, option in (("with", "withFlags"), ("without", "withoutFlags")) if option in self.options]
+        return BamReader(paths, self.options.get("kind") == "targets", int(self.options.get("rangeBytes", RANGE_BYTES)), self._columns(), tests)
+
+    def writer(self, schema: StructType, overwrite: bool) -> BamWriter:
+        return BamWriter(self._folder(), [(name, size) for name, size in json.loads(self.options["targets"])], overwrite)
+
+
+#: What scaffolding needs of a record.
+KEPT = ("file_id", "rec_no", "qname", "flag", "tid", "pos0", "mapq", "cigar")
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to a session; filters go down to it only where the session lets them."""
     spark.dataSource.register(BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def renumbered(records_: DataFrame) -> DataFrame:
@@ -283,7 +452,7 @@ def renumbered(records_: DataFrame) -> DataFrame:
 
 
 def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Records, or with kind="targets" the files' targets.  For large files decode once, with to_parquet()."""
+    """Records, or with kind="targets" the files' targets (options: see BamSource).  For large files decode once, with to_parquet()."""
     register(spark)
     return spark.read.format("bam").options(**options).load(path)
 
@@ -301,6 +470,17 @@ def by_name(records_: DataFrame, targets: DataFrame, contigs: DataFrame) -> Data
     return joined.withColumn("tid", tid).select(*records_.columns)
 
 
+def write_bam(records_: DataFrame, targets: DataFrame, path: str) -> None:
+    """Records (qname, flag, tid, pos0, mapq, cigar, ...) as BAM files in a folder, one for each partition.
+
+    targets (tid, name, len), tids without holes from 0 on, are the header of each file, as the format wants it.
+    """
+    header = [(r["name"], r["len"]) for r in targets.select("tid", "name", "len").orderBy("tid").collect()]  # every file holds it whole
+    known = [c for c in RECORD_FIELDS if c in records_.columns and c not in ("file_id", "rec_no")]
+    register(records_.sparkSession)
+    records_.select(*known).write.format("bam").option("targets", json.dumps(header)).mode("overwrite").save(path)
+
+
 def _numbered(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
     """What several paths hold, each of which may be a folder or a pattern, with file ids that go on from path to path."""
     return reduce(DataFrame.unionByName, [read_bam(spark, path, **options).withColumn("file_id", F.col("file_id") + FILES * i) for i, path in enumerate(paths)])
@@ -309,8 +489,7 @@ def _numbered(spark: SparkSession, paths: list[str], **options: str) -> DataFram
 def to_parquet(spark: SparkSession, paths: str | list[str], out: str, **options: str) -> None:
     """Decodes once: later runs read only the columns they need.  The targets of each file are kept beside the records."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    kept = ["file_id", "rec_no", "qname", "flag", "tid", "pos0", "mapq", "cigar"]
-    _numbered(spark, paths, tags="no", **options).select(*kept).write.mode("overwrite").parquet(f"{out}/records")
+    _numbered(spark, paths, columns=",".join(KEPT), **options).select(*KEPT).write.mode("overwrite").parquet(f"{out}/records")
     _numbered(spark, paths, kind="targets").write.mode("overwrite").parquet(f"{out}/targets")
 
 

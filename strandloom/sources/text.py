@@ -6,10 +6,10 @@ trailing numbers count as 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.iterate import running
+from ..operators.iterate import running, settled
 
 FAI = "name STRING, len BIGINT, offset BIGINT, linebases INT, linewidth INT"
 LINKS = "ctg1 STRING, end1 STRING, ctg2 STRING, end2 STRING, weight DOUBLE, zone2 BIGINT, zone1 BIGINT, n BIGINT"
@@ -53,9 +53,27 @@ def track_header(spark: SparkSession, path: str) -> DataFrame:
     return line.select(of("name").alias("name"), of("description").alias("description"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): lines, and where they stand: files by name, then stretches of a file, then lines of a stretch."""
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", where.alias("at"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One file of lines (section, ord, value), in that order; meant for small files such as scaffold graphs."""
-    lines.orderBy("section", "ord", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Lines (section, ord, value) in that order, in parts: files whose names sort as their lines do, the header in the first.
+
+    Parts are ranges of lines, dealt by samples of them, so no task holds the whole; joined by name they are the file.
+    """
+    lines.orderBy("section", "ord", "value").select("value").write.mode("overwrite").text(path)
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """lines (at, ...) with ``number``: how many of them come before, counted in stretches of lines side by side."""
+    stretch = F.struct("at.file", "at.begin", F.shiftright("at.line", 33).alias("split"))  # lines of one partition follow one another
+    kept = settled(lines.withColumn("stretch_", stretch))
+    starts = running(kept.groupBy("stretch_").agg(F.count(F.lit(1)).alias("n_")), [F.col("stretch_")], F.col("n_")).select(F.col("stretch_").alias("of_"), "before")
+    rank = F.row_number().over(Window.partitionBy("stretch_").orderBy("at"))
+    return kept.withColumn("rank_", rank).join(starts, F.col("stretch_") == F.col("of_")).withColumn("number", F.col("before") + F.col("rank_") - 1).drop("stretch_", "of_", "before", "rank_")
 
 
 def write_links(links: DataFrame, path: str) -> None:

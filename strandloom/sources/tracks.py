@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import write_lines
+from ..operators.iterate import running, settled
+from .text import numbered_lines, read_lines, write_lines
 
 
 def _text(c: str) -> Column:
@@ -33,6 +34,27 @@ def write_wig(windows: DataFrame, path: str, name: str, width: int = 1024) -> No
     write_lines(wig_lines(windows, name, width), path)
 
 
+def read_wig(spark: SparkSession, path: str) -> DataFrame:
+    """(scf, s, span, cov) of a wiggle file's steps, fixed and variable; its other lines are passed over.
+
+    A step's place follows from the declaration before it and the lines between.  Declarations
+    are met by an equi-join on their number, which is counted in stretches of the file.
+    """
+    lines = numbered_lines(read_lines(spark, path).filter(~F.col("value").rlike("^(track|browser|#)")))
+    declares = F.col("value").rlike("^(fixed|variable)Step ")
+    begun = running(settled(lines.withColumn("declares", declares)), [F.col("number")], F.col("declares").cast("int")).withColumnRenamed("before", "earlier")
+    field = lambda key: F.regexp_extract("value", f"{key}=(\\S+)", 1)
+    number = lambda key, other: F.coalesce(field(key).try_cast("long"), F.lit(other))
+    heads = begun.filter("declares").select(
+        (F.col("earlier") + 1).alias("of"), F.col("number").alias("head"), field("chrom").alias("scf"), number("start", 1).alias("start"), number("step", 1).alias("step"),
+        number("span", 1).alias("span"), F.col("value").startswith("fixed").alias("fixed"),
+    )
+    steps = begun.filter(~F.col("declares")).join(heads, F.col("earlier") == F.col("of"))
+    parts = F.split(F.trim("value"), "\\s+")
+    place = F.when(F.col("fixed"), F.col("start") + F.col("step") * (F.col("number") - F.col("head") - 1)).otherwise(F.get(parts, F.lit(0)).try_cast("long"))
+    return steps.select("scf", place.alias("s"), "span", F.element_at(parts, -1).try_cast("long").alias("cov"))
+
+
 def write_bedgraph(intervals: DataFrame, path: str) -> None:
     """(scf, s, e, cov), tab-separated, sorted by place in range partitions."""
     rows = intervals.repartitionByRange("scf", "s").sortWithinPartitions("scf", "s")
@@ -46,5 +68,5 @@ def write_bed(rows: DataFrame, path: str) -> None:
 
 
 def write_sizes(sizes: DataFrame, path: str) -> None:
-    """(name, len), with a space between."""
-    sizes.select(F.concat_ws(" ", _text("name"), _text("len")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """(name, len), with a space between, the longest first, in range partitions."""
+    sizes.orderBy(F.desc("len"), "name").select(F.concat_ws(" ", _text("name"), _text("len")).alias("value")).write.mode("overwrite").text(path)

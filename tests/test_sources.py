@@ -81,6 +81,69 @@ def test_bam(spark, tmp_path, size):
     assert accepted.count() == sum(i % 3 > 0 and (i + 1) % 3 > 0 for i in range(0, 500, 2))
 
 
+def read_by(reader, filters):
+    """What filters the reader leaves to Spark, and its batches."""
+    left = list(reader.pushFilters(filters))
+    return left, [b for part in reader.partitions() for b in reader.read(part)]
+
+
+@pytest.mark.parametrize("width", [1 << 26, 1])
+def test_filters_go_down_to_the_records(tmp_path, monkeypatch, width):
+    """Only records that pass are decoded beyond their fixed fields, and only the columns asked for."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual, StringContains
+
+    records = sample(500)
+    (tmp_path / "x.bam").write_bytes(bgzf(bam_bytes([("one", 9000), ("two", 8000)], records), 700))
+    decoded = {"_names": 0, "_cigars": 0, "_tag_places": 0}
+    for name in decoded:
+        plain = getattr(bam.Decoder, name)
+
+        def counted(*args, name=name, plain=plain):
+            decoded[name] += len(args[1])
+            return plain(*args)
+
+        monkeypatch.setattr(bam.Decoder, name, staticmethod(counted))
+    reader = lambda columns, tests=(): bam.BamReader([str(tmp_path / "x.bam")], False, width, columns, list(tests))
+    other = StringContains(("qname",), "read1")
+    left, batches = read_by(reader(list(bam.RECORD_FIELDS)), [EqualTo(("tid",), 1), IsNotNull(("tid",)), GreaterThan(("pos0",), 100), LessThanOrEqual(("pos0",), 1000), other])
+    wanted = [i for i, r in enumerate(records) if r[2] == 1 and 100 < r[3] <= 1000]
+    assert left == [other] and [x for b in batches for x in b.column("pos0").to_pylist()] == [records[i][3] for i in wanted]
+    assert decoded == {"_names": len(wanted), "_cigars": len(wanted), "_tag_places": len(wanted)} and len(wanted) == 45
+    assert [x for b in batches for x in b.column("qname").to_pylist()] == [records[i][0] for i in wanted]
+    if width > 1:
+        assert [x for b in batches for x in b.column("rec_no").to_pylist()] == wanted  # numbers count what is passed over too
+    left, batches = read_by(reader(["flag", "mapq"], [("flag", "with", 0x80), ("flag", "without", 1)]), [In(("pos0",), (10, 20, 30, None))])
+    assert [b.column_names for b in batches if len(b)] == [["flag", "mapq"]] * (1 if width > 1 else len([b for b in batches if len(b)])) and sum(map(len, batches)) == 2 and not left
+    assert sum(decoded.values()) == 3 * len(wanted)  # no names, no CIGARs, no tags for these
+
+
+def test_pushed_filters_and_columns_in_plans(spark, tmp_path):
+    (tmp_path / "x.bam").write_bytes(bgzf(bam_bytes([("one", 9000), ("two", 8000)], sample(500)), 700))
+    found = bam.read_bam(spark, str(tmp_path), columns="pos0, tid,qname").filter("tid = 1 and pos0 > 100 and qname like '%7'")
+    assert found.columns == ["qname", "tid", "pos0"]
+    assert rows(found, "pos0") == [(10 * i,) for i in range(500) if i % 2 == 1 and 10 * i > 100 and f"{i // 2}".endswith("7")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tested = [x for x in plan.splitlines() if "Filter (" in x]
+    assert any("qname" in x for x in tested) and not any("tid" in x for x in tested)  # the reader has tested that
+
+
+def test_bam_is_written_as_read(spark, tmp_path):
+    given = [("r\u00e9ad", 0x40, 0, 5, 30, [{"op": 0, "len": 8}], {"BX": "ACGT", "XX": ""}, 1, 7, -3), ("b" * 200, 0x84, -1, -1, 0, [], {}, -1, -1, 0), ("c", 0x14, 1, 1 << 28, 255, None, None, None, None, None)]
+    schema = "qname string, flag int, tid int, pos0 int, mapq smallint, cigar array<struct<op: tinyint, len: int>>, tags map<string, string>, mate_tid int, mate_pos int, isize int"
+    targets = spark.createDataFrame([(1, "two", 8000), (0, "one", 9000)], "tid int, name string, len long")
+    many = spark.createDataFrame(given * 2000, schema)
+    bam.write_bam(many.repartition(3), targets, str(tmp_path / "out"))
+    bam.write_bam(many.limit(0), targets, str(tmp_path / "none"))
+    found = bam.read_bam(spark, str(tmp_path / "out"))
+    filled = [tuple(y if y is not None else other for y, other in zip(x, ("*", 4, -1, -1, 255, [], {}, -1, -1, 0), strict=True)) for x in given]
+    got = found.groupBy(*[c for c in schema.replace(",", "").split() if c in ("qname", "flag", "tid", "pos0", "mapq", "mate_tid", "mate_pos", "isize")], "cigar", F.to_json("tags").alias("tags")).count().collect()
+    assert len(got) == 3 and {r["count"] for r in got} == {2000}
+    for x in filled:
+        assert any(r["qname"] == x[0] and r["flag"] == x[1] and (r["tid"], r["pos0"], r["mapq"], r["mate_tid"], r["mate_pos"], r["isize"]) == (x[2], x[3], x[4], *x[7:]) and [c.asDict() for c in r["cigar"]] == x[5] for r in got)
+    assert set(rows(bam.read_bam(spark, str(tmp_path / "none"), kind="targets"), "tid", "name", "len")) == {(0, "one", 9000), (1, "two", 8000)}
+    assert bam.read_bam(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_broken_bam(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(bgzf(bam_bytes([("one", 9000)], sample(3))[:-3]))
     with pytest.raises(Exception, match="cut off"):
@@ -141,6 +204,49 @@ def test_sat_round_trip(spark, tmp_path):
     assert sat.gfa_lines(graph).filter("value like 'A%'").count() == 0
 
 
+def test_maps_from_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli.iterate, "clear", lambda _: None)
+    contacts_ = [(f"r{i}", flag, tid, 90 * i, 30, [(0, 8)]) for i in range(80) for flag, tid in ((0x40, 0), (0x80, i % 2))]
+    (tmp_path / "x.bam").write_bytes(bgzf(bam_bytes([("one", 9000), ("two", 8000)], contacts_), 900))
+    cli.main(["maps", "-o", str(tmp_path / "out"), str(tmp_path / "x.bam")])
+    zooms, axis = (spark.read.parquet(str(tmp_path / "out" / x)) for x in ("zooms.parquet", "axis.parquet"))
+    assert rows(zooms.groupBy("level", "width").agg(F.sum("n").alias("n")), "level", "width", "n") == [(k, 1000 << k, 80) for k in range(5)]
+    assert rows(zooms.filter("level = 4"), "s1", "s2", "n") == [("one", "one", 40), ("one", "two", 40)]
+    assert {r["n"] for r in axis.groupBy("width").agg(F.sum("n").alias("n")).collect()} == {80} and axis.select("width").distinct().count() == 10
+    assert lines(tmp_path / "out" / "assembly.sizes") == ["assembly 17000"]
+    (tmp_path / "g.sat").write_text(SAT + "S\ta\t7\t*\n")
+    cli.main(["conflicts", "-o", str(tmp_path / "found"), "-s", str(tmp_path / "g.sat")])
+    assert lines(tmp_path / "found") == ["ignored\tS\ta\t7\t*"]
+
+
+def test_conflicting_lines_of_a_graph(spark, tmp_path):
+    again = "S\ta\t1000\tACGT\nS\ta\t7\t*\nS\tc\t0\tTTTT\nP\tu000000001\t1\tb+\nP\tu000000001\t300\tc+\nA\ta00001\t1\tu000000001\nL\tb\t-\ta\t-\twt:f:0.5\n"
+    (tmp_path / "g.sat").write_text(SAT + again)
+    found = sat.conflicts(spark, str(tmp_path / "g.sat"))
+    assert rows(found, "tag", "name", "ignored") == [("A", "a00001", "A\ta00001\t1\tu000000001"), ("P", "u000000001", "P\tu000000001\t1\tb+"), ("P", "u000000001", "P\tu000000001\t300\tc+"), ("S", "a", "S\ta\t7\t*"), ("S", "c", "S\tc\t0\tTTTT")]
+    graph = sat.read_sat(spark, str(tmp_path / "g.sat"))
+    assert rows(graph.sequences.fillna("*"), "name", "len", "seq")[0] == ("a", 1000, "ACGT") and graph.paths.count() == 3
+    (tmp_path / "clean.sat").write_text(SAT)
+    assert sat.conflicts(spark, str(tmp_path / "clean.sat")).count() == 0
+
+
+def test_lines_in_parts_keep_their_order(spark, tmp_path):
+    """Files are written by ranges of lines; read again, lines are numbered as they stand, whatever the sizes of the files."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        given = spark.range(3000).select((F.col("id") % 3).cast("int").alias("section"), F.format_string("%06d", "id").alias("ord"), F.concat(F.format_string("%d %06d ", F.col("id") % 3, "id"), F.repeat(F.lit("x"), F.expr("cast(id % 40 as int)"))).alias("value"))
+        text.write_lines(given, str(tmp_path / "out"))
+        assert len(list((tmp_path / "out").glob("part-*"))) > 1
+        wanted = sorted(r["value"] for r in given.collect())
+        assert lines(tmp_path / "out") == wanted
+        found = text.numbered_lines(text.read_lines(spark, str(tmp_path / "out")))
+        assert [r["value"] for r in found.orderBy("number").collect()] == wanted and {r["number"] for r in found.collect()} == set(range(3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_fai_links_and_tracks(spark, tmp_path):
     (tmp_path / "x.fai").write_text("b\t10\t100\t60\t61\na\t20\t3\n\n")
     assert rows(text.contigs(text.read_fai(spark, str(tmp_path / "x.fai"))), "tid", "name", "len") == [(0, "a", 20), (1, "b", 10)]
@@ -194,6 +300,7 @@ def test_wig(spark, tmp_path):
     windows = spark.createDataFrame([("s", 1, 4, 1), ("s", 5, 4, 2), ("s", 9, 6, 3), ("t", 1, 5, 0)], "scf string, start long, span long, cov long")
     tracks.write_wig(windows, str(tmp_path / "out"), "HIC", width=4)
     assert lines(tmp_path / "out") == ['track type="wiggle_0" name="HIC"', "fixedStep chrom=s start=1 step=4 span=4", "1", "2", "variableStep chrom=s span=6", "9 3", "variableStep chrom=t span=5", "1 0"]
+    assert rows(tracks.read_wig(spark, str(tmp_path / "out")), "scf", "s", "span", "cov") == [("s", 1, 4, 1), ("s", 5, 4, 2), ("s", 9, 6, 3), ("t", 1, 5, 0)]
 
 
 def test_scaffolding_from_files(spark, tmp_path, monkeypatch):
