@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reverse_complement
 from ..operators import breaks, candidates, chains, contacts, coverage, forest, matching, metrics, molecules, pairs, sequences, weights
 from ..operators.iterate import shared_folder
-from ..sources import agp, fasta, sat, text
+from ..sources import agp, bam, fasta, sat, text, tracks
 from . import scaffolding, views
 from .views import sql
 
@@ -293,6 +294,16 @@ def end_forest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.end_forest(_mutual(spark, sf_dir).select(*ENDS, "w"))
 
 
+@query(
+    """SELECT left(a, length(a) - 1) AS ctg1, right(a, 1) AS end1, left(b, length(b) - 1) AS ctg2, right(b, 1) AS end2, w * 1000000 AS w FROM kept
+  UNION ALL SELECT left(b, length(b) - 1), right(b, 1), left(a, length(a) - 1), right(a, 1), w * 1000000 FROM kept""",
+    numbered=NUMBERED.format(ENDS_AND_INSIDES), reach=REACH, forest=FOREST, branch=BRANCHES, kept=KEPT,
+)
+def end_forest_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges as a large graph's are found."""
+    return forest.end_forest(_mutual(spark, sf_dir).select(*ENDS, "w"), small=0)
+
+
 #: Along the chains of a forest without branches: for either direction of the contig reached, the best sum and the directions on the way.
 CHAIN = """
   SELECT x AS first, NULL::VARCHAR AS prev, x AS name, [x] AS names, 0.0::DOUBLE AS sf, 0.0::DOUBLE AS sb, [true] AS wf, [false] AS wb
@@ -645,6 +656,36 @@ def pair_bins_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.zoomed(contacts.binned(views.lifted(spark, sf_dir)), 10)
 
 
+#: Scaffolds' starts on one axis, and the pairs there, of both sides the smaller place first.
+AXIS = {
+    "axis_": "SELECT scf, coalesce(sum(len) OVER (ORDER BY len DESC, scf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT scf, sum(len)::BIGINT AS len FROM element GROUP BY scf)",
+    "on_axis_": "SELECT p1 + a.start AS x, p2 + b.start AS y FROM lifted JOIN axis_ a ON a.scf = s1 JOIN axis_ b ON b.scf = s2 WHERE q1 >= 1 AND q2 >= 1",
+}
+AXIS_MAP = """SELECT w::BIGINT AS width, greatest(w // {0}, 1)::BIGINT AS bin_width, (least(x, y) // {0}) // greatest(w // {0}, 1) AS bin1, (greatest(x, y) // {0}) // greatest(w // {0}, 1) AS bin2, count(*) AS n
+  FROM on_axis_, (SELECT unnest([2500000, 1000000, 500000, 250000, 100000, 50000, 25000, 10000, 5000, 1000]) AS w) GROUP BY ALL"""
+
+
+@query(AXIS_MAP.format(1), **AXIS)
+def axis_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of all scaffolds on one axis, at its ten widths."""
+    sizes = chrom_sizes(spark, sf_dir)
+    return contacts.axis_map(views.lifted(spark, sf_dir), sizes, contacts.axis_scale(sizes))
+
+
+@query(AXIS_MAP.format(7), **AXIS)
+def axis_map_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As on an axis that is too long for the format: widths that do not divide one another."""
+    return contacts.axis_map(views.lifted(spark, sf_dir), chrom_sizes(spark, sf_dir), 7)
+
+
+@query("""SELECT k::INT AS level, (1000 * 2 ** k)::BIGINT AS width, a.s AS s1, a.b AS bin1, c.s AS s2, c.b AS bin2, count(*) AS n FROM (
+  SELECT k, least({'s': s1, 'b': p1 // w}, {'s': s2, 'b': p2 // w}) AS a, greatest({'s': s1, 'b': p1 // w}, {'s': s2, 'b': p2 // w}) AS c
+  FROM lifted, (SELECT k, (1000 * 2 ** k)::BIGINT AS w FROM range(40) r(k) WHERE k = 0 OR 1000 * 2 ** (k - 1) <= (SELECT max(len) FROM scaffold))) GROUP BY ALL""")
+def zoom_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of every zoom, until each scaffold is one bin."""
+    return contacts.zoom_pyramid(views.lifted(spark, sf_dir), views.scaffolds(spark, sf_dir))
+
+
 @query("""SELECT scf, string_agg((CASE WHEN fwd THEN '' ELSE '-' END) || number, ' ' ORDER BY number) AS members FROM (
   SELECT *, row_number() OVER (ORDER BY scf, ord) AS number FROM element) GROUP BY scf""")
 def agp_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -678,6 +719,19 @@ def sat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.elements().join(sizes, "path").join(graph.sequences.select("name", "len"), "name").select("path", "ord", "name", "fwd", "len", "path_len")
 
 
+@query("""SELECT 'S' AS tag, name, 'S' || chr(9) || name || chr(9) || len || chr(9) || '*' AS kept, 'S' || chr(9) || name || chr(9) || (len + tid % 3) || chr(9) || 'ACGT' AS ignored FROM contig WHERE tid % 3 > 0
+  UNION ALL
+  SELECT 'P', path, 'P' || chr(9) || path || chr(9) || len || chr(9) || elems, 'P' || chr(9) || path || chr(9) || '0' || chr(9) || 'nothing+' FROM (
+    SELECT 'u' || lpad(scf::VARCHAR, 9, '0') AS path, max(off + len) AS len, string_agg(name || CASE WHEN fwd THEN '+' ELSE '-' END, ',' ORDER BY ord) AS elems FROM placed WHERE scf % 2 = 0 GROUP BY scf)""")
+def sat_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines behind a graph's own that say other lengths of some sequences, fill in bases of others, and repeat names of paths."""
+    graph = _region_graph(spark, sf_dir)
+    own = sat.lines_of(graph)
+    again = views.contigs(spark, sf_dir).select(F.lit(8).alias("section"), F.col("name").alias("ord"), F.concat_ws("\t", F.lit("S"), "name", (F.col("len") + F.col("tid") % 3).cast("string"), F.lit("ACGT")).alias("value"))
+    taken = graph.paths.filter(F.right("name", F.lit(1)).cast("int") % 2 == 0).select(F.lit(9).alias("section"), F.col("name").alias("ord"), F.concat_ws("\t", F.lit("P"), "name", F.lit("0"), F.lit("nothing+")).alias("value"))
+    return sat.conflicts(spark, _written(spark, lambda path: text.write_lines(own.unionByName(again).unionByName(taken), path)))
+
+
 @query(f"SELECT {CELLS.format('weight')} FROM link")
 def links_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_links(spark, _written(spark, lambda path: text.write_links(views.links(spark, sf_dir), path)))
@@ -693,10 +747,146 @@ def fai_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY scf, ord) AS number, scf::VARCHAR AS object, name AS comp, len, CASE WHEN fwd THEN '+' ELSE '-' END AS orient FROM element")
 def agp_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = agp.agp_lines(views.placement(spark, sf_dir))
-    return agp.read_agp(spark, _written(spark, lambda path: lines.orderBy("scf", "part").select("value").coalesce(1).write.text(path)))
+    return agp.read_agp(spark, _written(spark, lambda path: lines.orderBy("scf", "part").select("value").write.text(path)))
 
 
 @query("SELECT name, length(seq)::BIGINT AS len, md5(seq) AS digest FROM sequence_ WHERE seq <> ''", sequence_=SEQUENCE)
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fasta.read_fasta(spark, _written(spark, lambda path: fasta.write_fasta(_sequences(spark, sf_dir), path)))
     return found.select("name", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))
+
+
+#: Line items as records of a file; tids as in a list of contigs that goes the other way.
+FLAG = "CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END + CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END + CASE WHEN l_quantity < 6 THEN 4 ELSE 0 END"
+AS_RECORD = {
+    "filed": f"""
+  SELECT 'o' || l_orderkey || '-' || lpad((l_suppkey % 40)::VARCHAR, 16, '0') AS qname, ({FLAG})::INT AS flag, (l_suppkey % 25)::INT AS tid, (l_partkey * 31)::INT AS pos0, CAST(l_quantity AS SMALLINT) AS mapq,
+         CASE WHEN l_partkey % 11 = 0 THEN '' ELSE '50' || CASE WHEN l_linestatus = 'O' THEN 'M' ELSE 'S' END || '50' || CASE WHEN l_partkey % 3 > 0 THEN 'M' ELSE 'S' END END AS cigar,
+         lpad((l_suppkey % 40)::VARCHAR, 16, '0') AS barcode, CAST(l_suppkey % 25 AS INT) AS mate_tid
+  FROM lineitem""",
+}
+
+
+def _bam(spark: SparkSession, sf_dir: str) -> str:
+    """Line items in BAM files, with their barcodes and strands as tags."""
+    found = views.records(spark, sf_dir).withColumn("mate_tid", F.col("tid"))
+    reverse = F.col("flag").bitwiseAND(16) != 0
+    tags = F.create_map(F.lit("BX"), F.right("qname", F.lit(16)), F.lit("RV"), F.when(reverse, "yes").otherwise("no"))
+    return _written(spark, lambda path: bam.write_bam(found.withColumn("tags", tags), views.contigs(spark, sf_dir), path))
+
+
+def _cigar_text() -> Column:
+    step = lambda x: F.concat(x["len"].cast("string"), F.substring(F.lit("MIDNSHP=X"), x["op"] + 1, F.lit(1)))
+    return F.array_join(F.transform("cigar", step), "")
+
+
+@query("SELECT qname, flag, (24 - tid)::INT AS tid, pos0, mapq, cigar, barcode, mate_tid, CASE WHEN flag & 16 <> 0 THEN 'yes' ELSE 'no' END AS reverse FROM filed", **AS_RECORD)
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with their tags, brought by name to a list that has the contigs the other way round."""
+    path = _bam(spark, sf_dir)
+    known = views.contigs(spark, sf_dir).select((24 - F.col("tid")).alias("tid"), "name", "len")
+    found = bam.by_name(bam.read_bam(spark, path), bam.read_bam(spark, path, kind="targets"), known)
+    return found.select("qname", "flag", F.col("tid").cast("int").alias("tid"), "pos0", "mapq", _cigar_text().alias("cigar"), F.col("tags")["BX"].alias("barcode"), "mate_tid", F.col("tags")["RV"].alias("reverse"))
+
+
+@query("SELECT tid, flag, count(*) AS n, sum(pos0)::BIGINT AS pos0, min(mapq)::INT AS mapq FROM filed WHERE mapq >= 30 AND tid IN (3, 7, 11) AND flag & 16 = 16 AND flag & 4 = 0 GROUP BY tid, flag", **AS_RECORD)
+def bam_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters go down to the fixed fields of the records, and nothing else is decoded."""
+    found = bam.read_bam(spark, _bam(spark, sf_dir), columns="flag,tid,pos0,mapq", withFlags="16", withoutFlags="4").filter("mapq >= 30 and tid in (3, 7, 11)")
+    return found.groupBy("tid", "flag").agg(F.count(F.lit(1)).alias("n"), F.sum("pos0").alias("pos0"), F.min(F.col("mapq").cast("int")).alias("mapq"))
+
+
+@query("SELECT tid::INT AS tid, name, len FROM contig")
+def bam_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bam.read_bam(spark, _bam(spark, sf_dir), kind="targets").select("tid", "name", "len").distinct()
+
+
+@query("SELECT scf::VARCHAR AS name, s, e, cov AS f4 FROM cover")
+def bedgraph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.read_track(spark, _written(spark, lambda path: tracks.write_bedgraph(views.covered(spark, sf_dir), path))).select("name", "s", "e", "f4")
+
+
+@query("""SELECT 'coverage of pairs' AS name, '' AS description""")
+def track_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = coverage.wig_windows(views.covered(spark, sf_dir), views.scaffolds(spark, sf_dir))
+    return text.track_header(spark, _written(spark, lambda path: tracks.write_wig(windows, path, "coverage of pairs")))
+
+
+@query("""SELECT scf, start AS s, cov FROM (
+  SELECT scf, (place * 1024 + 1)::BIGINT AS start, (total // (CASE WHEN place = last THEN len - last * 1024 ELSE 1024 END))::BIGINT AS cov FROM (
+    SELECT scf, len, last, least(w, last) AS place, sum((least(e, (w + 1) * 1024) - greatest(s, w * 1024 + 1) + 1) * cov)::BIGINT AS total FROM (
+      SELECT c.*, len, greatest((len + 1023) // 1024 - 2, 0) AS last, unnest(range((s - 1) // 1024, (e - 1) // 1024 + 1)) AS w FROM cover c JOIN scaffold USING (scf))
+    GROUP BY scf, len, last, least(w, last)))""")
+def wig_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of a wiggle file of several parts, numbered by the lines before them."""
+    windows = coverage.wig_windows(views.covered(spark, sf_dir), views.scaffolds(spark, sf_dir))
+    found = tracks.read_wig(spark, _written(spark, lambda path: tracks.write_wig(windows, path, "coverage of pairs")))
+    return found.select(F.col("scf").cast("int").alias("scf"), "s", "cov")
+
+
+@query("SELECT 'u' || lpad(scf::VARCHAR, 9, '0') AS path, ord::INT AS ord, name, fwd, len, (SELECT count(*) FROM joined WHERE ctg1 || end1 < ctg2 || end2) AS joins FROM placed")
+def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of regions with the best joins of ends, without assemblies."""
+    graph = _region_graph(spark, sf_dir)
+    joins = _joins(spark, sf_dir).select(F.col("ctg1").alias("v"), F.col("end1").alias("v_end"), F.col("ctg2").alias("w"), F.col("end2").alias("w_end"), F.col("w").alias("wt"))
+    found = sat.read_gfa(spark, _written(spark, lambda path: text.write_lines(sat.gfa_lines(replace(graph, joins=joins)), path)))
+    joined = found.joins.agg(F.count(F.lit(1)).alias("joins"))
+    return found.elements().join(found.sequences.select("name", "len"), "name").join(F.broadcast(joined)).select("path", "ord", "name", "fwd", "len", "joins")
+
+
+@query("SELECT DISTINCT ctg1 AS name FROM link JOIN contig ON name = ctg1 WHERE tid % 4 = 1")
+def unknown_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links name and a list of contigs does not have."""
+    return weights.unknown_contigs(views.links(spark, sf_dir), views.contigs(spark, sf_dir).filter("tid % 4 <> 1"))
+
+
+# the whole pipeline
+
+
+def _renamed(ctes: dict[str, str], names: dict[str, str]) -> dict[str, str]:
+    """Common table expressions under other names, which they use for one another too."""
+    pattern = re.compile(rf"\b({'|'.join(names)})\b")
+    return {names[k]: pattern.sub(lambda m: names[m[1]], v) for k, v in ctes.items() if k in names}
+
+
+def _unrolled() -> dict[str, str]:
+    """Two rounds and the break at their end: the second round joins the paths of the first, whose contigs carry the pairs."""
+    out = {"walk": WALK, "cycle": CYCLE, "chosen": CHOSEN}
+    out["path_a"] = """
+  SELECT head, is_circ, (CASE WHEN is_circ THEN 'c' ELSE 'u' END) || lpad((row_number() OVER (ORDER BY head) - 1)::VARCHAR, 9, '0') AS name, (sum(len) + 200 * (count(*) - 1))::BIGINT AS len
+  FROM chosen JOIN contig USING (name) GROUP BY head, is_circ"""
+    out["element_a"] = "SELECT p.name AS scf, ord, tid, c.name, fwd, c.len FROM chosen JOIN contig c USING (name) JOIN path_a p USING (head)"
+    out |= _renamed({k: views.CTES[k] for k in ("placed", "lifted")}, {"element": "element_a", "placed": "placed_a", "lifted": "lifted_a"})
+    out["hit_a"] = """
+  SELECT DISTINCT least(s1, s2) AS id1, CASE WHEN s1 < s2 THEN p1 ELSE p2 END AS pos1, CASE WHEN s1 < s2 THEN r1 ELSE r2 END AS rev1,
+         greatest(s1, s2) AS id2, CASE WHEN s1 < s2 THEN p2 ELSE p1 END AS pos2, CASE WHEN s1 < s2 THEN r2 ELSE r1 END AS rev2 FROM lifted_a WHERE s1 <> s2"""
+    out["third_a"] = "SELECT name AS tid, name, len, len // 3 AS l, (2 * len) // 3 + 1 AS r FROM path_a WHERE NOT is_circ"
+    second = {k: f"{k}_a" for k in ("third", "hit", "link", "link_end", "link_both", "contig", "weighed", "ranked", "mutual", "only_best", "joined", "walk", "cycle", "chosen")} | {"contig": "path_a"}
+    out |= _renamed({k: {**views.CTES, **out}[k] for k in second if k not in ("third", "hit", "contig")}, second)
+    out["path_b"] = """
+  SELECT c.head, c.is_circ OR (count(*) = 1 AND bool_or(p.is_circ)) AS is_circ, (CASE WHEN c.is_circ OR (count(*) = 1 AND bool_or(p.is_circ)) THEN 'c' ELSE 'u' END)
+         || lpad(((SELECT count(*) FROM path_a) + row_number() OVER (ORDER BY c.head) - 1)::VARCHAR, 9, '0') AS name
+  FROM chosen_a c JOIN path_a p ON p.name = c.name GROUP BY c.head, c.is_circ"""
+    out["element_b"] = """
+  SELECT p.name AS scf, row_number() OVER (PARTITION BY p.name ORDER BY c.ord, CASE WHEN c.fwd THEN e.ord ELSE -e.ord END) AS ord, e.tid, e.name, e.fwd = c.fwd AS fwd, e.len
+  FROM chosen_a c JOIN path_b p ON p.head = c.head JOIN element_a e ON e.scf = c.name"""
+    third = {k: f"{k}_b" for k in ("placed", "lifted", "span", "scaffold", "change", "cover", "stat", "cut")} | {"region_": "region_b", "element": "element_b"}
+    out |= _renamed({k: views.CTES[k] for k in third if k != "element"}, third)
+    out["piece_b"] = """
+  SELECT e.*, count(c.ord) OVER (PARTITION BY e.scf ORDER BY e.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS piece FROM element_b e LEFT JOIN cut_b c ON c.scf = e.scf AND c.ord = e.ord"""
+    out["later_b"] = """
+  SELECT scf, piece, 'u' || lpad(((SELECT count(*) FROM path_a) + (SELECT count(*) FROM path_b) + row_number() OVER (ORDER BY scf, piece) - 1)::VARCHAR, 9, '0') AS path
+  FROM (SELECT DISTINCT scf, piece FROM piece_b WHERE piece > 0)"""
+    return out
+
+
+@query(
+    """SELECT coalesce(path, scf) AS scf, (row_number() OVER w)::INT AS ord, name, fwd, len, coalesce(sum(len + 200) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM piece_b LEFT JOIN later_b USING (scf, piece) WINDOW w AS (PARTITION BY scf, piece ORDER BY ord)""",
+    **_unrolled(),
+)
+def scaffold_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From alignments to scaffolds: link and build twice, then break where hardly any pair spans a gap; contigs on the last assembly's paths."""
+    options = scaffolding.Options(rounds=2, min_weight=0, candidates=TOP, break_ratio=CUT_RATIO)
+    graph, _ = scaffolding.scaffold(views.alignments(spark, sf_dir), views.contigs(spark, sf_dir), options)
+    return scaffolding.current_placement(graph).select("scf", "ord", "name", "fwd", "len", "off")
