@@ -119,15 +119,17 @@ def small(hits: DataFrame) -> DataFrame:
     return F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
 
 
-def clashes(landed: DataFrame, hits: DataFrame) -> DataFrame:
+def clashes(landed: DataFrame, hits: DataFrame, folder: str) -> DataFrame:
     """Digests of hits whose rows do not all have the text at the locator: (digest).
 
-    landed: the present run's rows; what stands at a locator may be of any run.
+    landed: the present run's rows, in folder; what stands at a locator may be of any run there, and the
+    runs that hits lead to are read with a join on locators.
     """
     spark = landed.sparkSession
     again = landed.join(small(hits.select("digest", "first")), "digest").filter((F.col("run") != F.col("first.run")) | (F.col("rid") != F.col("first.rid")))
-    files = [r["file"] for r in hits.select("locator.file").distinct().collect()]  # names of landed files
-    held = located(spark.read.schema(LANDED).parquet(*files)).select("text", "locator") if files else spark.createDataFrame([], f"text string, {hits.select('locator').schema.simpleString()[7:-1]}")
+    runs = sorted(r["run"] for r in hits.select("first.run").distinct().collect())  # one for each call with this folder that a hit leads to
+    paths = [f"{folder}/landed/run-{run:09d}" for run in runs] or [f"{folder}/landed/run-*"]
+    held = located(spark.read.schema(LANDED).parquet(*paths)).select("text", "locator")
     firsts = held.join(small(hits.select("locator", "digest")), "locator")
     texts = again.select("digest", "text").unionByName(firsts.select("digest", "text")).select("digest", normalised(F.col("text")).alias("norm"))
     checked = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))  # equal texts are one row before the shuffle
@@ -157,7 +159,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, digest: Callable
         remove(spark, f"{folder}/stream")
         remove(spark, f"{folder}/changes")
 
-    clash = materialize(clashes(landed, hits), "exact-clashes", n)
+    clash = materialize(clashes(landed, hits, folder), "exact-clashes", n)
     row = F.struct(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns]).alias("row")
     is_first = (F.col("first.run") == F.col("run")) & (F.col("first.rid") == F.col("rid"))
     keep_id = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
