@@ -31,7 +31,8 @@ NEIGHBOURS = 20
 TRAIN_VECTORS = 20_000
 #: Centroids of each half, at most.
 CENTROIDS = 256
-#: The share of true neighbours that the walk is to meet, and how many queries of the sample tell how far it goes for that.
+#: The share of true neighbours that the walk is to meet, and how many queries of the sample tell how far it goes for that: a quarter
+#: of the sample at most, to which the codebooks are not fitted.
 RECALL, TRIAL_QUERIES = 0.95, 256
 #: Vectors of a chunk, and queries that meet them in one task.
 CHUNK, QUERY_PART = 8_192, 16_384
@@ -87,8 +88,13 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int)
     return out
 
 
-def share_for(recall: float, sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, trials: int = TRIAL_QUERIES) -> float:
-    """The share of entries that walks have to reach for so much recall of the k nearest, measured within the sample.
+def trials_of(n: int, trials: int = TRIAL_QUERIES) -> np.ndarray:
+    """Places of the trial queries in a sample of n."""
+    return np.sort(np.random.default_rng(41).permutation(n)[: min(trials, n // 4)])
+
+
+def share_for(recall: float, sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, trials: np.ndarray | None = None) -> float:
+    """The share of entries that walks of the trial queries have to reach for so much recall of the k nearest, measured within the sample.
 
     The neighbours of a query in the whole table are nearer than those in a sample, and are met
     sooner, so a larger table does no worse with this share.
@@ -97,7 +103,7 @@ def share_for(recall: float, sample: np.ndarray, books: tuple[np.ndarray, np.nda
     cell = nearest(sample[:, :half], books[0]) * len(books[1]) + nearest(sample[:, half:], books[1])
     sizes = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
     needed = []
-    for i in np.random.default_rng(41).permutation(len(sample))[:trials]:
+    for i in trials_of(len(sample)) if trials is None else trials:
         q = sample[i]
         score = sample @ q
         score[i] = -np.inf
@@ -127,6 +133,12 @@ def chunks_of(sizes: np.ndarray, most: int = CHUNK) -> tuple[list[int], list[int
     return begin, number
 
 
+def salted(begin: list[int], number: list[int], group: str, *key: str) -> Column:
+    """The chunk of a row, by its group and a hash of key within the group's chunks."""
+    first, count = (F.get(F.array(*[F.lit(x) for x in xs]), group) for xs in (begin, number))
+    return first + F.pmod(F.xxhash64(*key), count).cast("int")
+
+
 def best(query: np.ndarray, entries: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and inner products of the k best entries other than the query's own, ties to the smaller id."""
     rough = entries @ query
@@ -147,8 +159,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall:
 
     Nearness is the inner product in double precision.  Rows without vec_id and vectors that
     are null, zero or not finite take no part, nor do those of another length than most.  A row
-    with the query's own vec_id is no neighbour of it; other repeated rows each are.  Of no
-    vectors there is no result.
+    with the query's own vec_id is no neighbour of it; other repeated rows each are.  Of equal
+    scores the smaller vec_id comes first.  Only vec_id and embedding are read, so other columns
+    may have any names.  Of no vectors there is no result.
     """
     spark = vectors.sparkSession
     clean = lambda df: df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -163,7 +176,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall:
     drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30) < TRAIN_VECTORS / total
     sample = np.array([r["v"] for r in (entries.filter(drawn) if total > TRAIN_VECTORS else entries).select("v").collect()]).reshape(-1, width)
     half = (width + 1) // 2
-    books = codebook(sample[:, :half], CENTROIDS), codebook(sample[:, half:], CENTROIDS) if width > 1 else np.zeros((1, 0))
+    trials = trials_of(len(sample))
+    fitted = np.delete(sample, trials, axis=0)
+    books = codebook(fitted[:, :half], CENTROIDS), codebook(fitted[:, half:], CENTROIDS) if width > 1 else np.zeros((1, 0))
     shared = spark.sparkContext.broadcast(books)
 
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall:
     for r in index.groupBy("first", "second").count().collect():
         sizes[r["first"], r["second"]] = r["count"]
     begin, number = chunks_of(sizes.sum(1))
-    parts = max(1, -(-asked.count() // QUERY_PART))
-    share = walked_share if walked_share is not None else share_for(recall, sample, books, k)
+    share = walked_share if walked_share is not None else share_for(recall, sample, books, k, trials)
     wanted = max(k + 1, int(np.ceil(share * total)))
     plan = spark.sparkContext.broadcast(sizes)
 
@@ -188,14 +202,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall:
             for own, q in zip(batch["vec_id"], batch["v"], strict=True):
                 taken = walk(shared.value[0] @ q[:half], shared.value[1] @ q[half:], plan.value, wanted)
                 visits = {c for i in np.flatnonzero(taken).tolist() for c in range(begin[i], begin[i] + number[i])}
-                rows.append((own, q, taken.astype("<u2").tobytes(), sorted(visits)))
-            yield pd.DataFrame(rows, columns=["query_id", "q", "taken", "visits"])
-
-    asks = asked.mapInPandas(probes, "query_id long, q array<double>, taken binary, visits array<int>")
-    asks = asks.select("query_id", "q", "taken", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"), F.explode("visits").alias("chunk"))
-    lists = [F.array(*[F.lit(x) for x in xs]) for xs in (begin, number)]
-    salted = F.get(lists[0], "first") + F.pmod(F.xxhash64("vec_id", "row"), F.get(lists[1], "first")).cast("int")
-    held = index.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", salted).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).drop("row")
+                home = int((shared.value[0] @ q[:half]).argmax())
+                rows.append((own, q, home, taken.astype("<u2").tobytes(), sorted(visits)))
+            yield pd.DataFrame(rows, columns=["query_id", "q", "home", "taken", "visits"])
+
+    asks = materialize(asked.mapInPandas(probes, "query_id long, q array<double>, home int, taken binary, visits array<int>"), "multi-queries")
+    homes = np.zeros(len(books[0]), np.int64)  # CENTROIDS at most
+    for r in asks.groupBy("home").count().collect():
+        homes[r["home"]] = r["count"]
+    # queries of one home visit much the same chunks, so they share parts, and a chunk is sent to the parts alone that visit it
+    asks = asks.withColumn("part", salted(*chunks_of(homes, QUERY_PART), "home", "query_id")).withColumn("chunk", F.explode("visits"))
+    held = index.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", salted(begin, number, "first", "vec_id", "row")).drop("row")
+    visited = asks.select(F.col("chunk").alias("visited"), F.col("part").alias("visitor")).distinct()
+    held = held.join(visited, F.col("chunk") == F.col("visited")).drop("visited").withColumnRenamed("visitor", "part")
 
     def ranked(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
