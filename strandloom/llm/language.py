@@ -14,14 +14,15 @@ texts are scored by table look-ups, in slices of bounded size, straight from Arr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, documents, text_of
+from .common import carried, documents, materialize, text_of
 
 #: The longest context, in bytes; every text begins after so many line feeds.
 ORDER = 3
@@ -225,6 +226,30 @@ class ContextTrees:
         return best, 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1), bounded[np.arange(len(best)), best] / np.maximum(np.diff(offsets), 1)
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Of counts (lang, gram, n) the ``most`` rows of each language with the largest n, the smaller gram first of equals.
+
+    A histogram of the counts tells the n of the last rows taken; only of the grams that have
+    just this n some may go, and these are picked by a sort that keeps so many of each task.
+    """
+    histogram: dict[str, dict[int, int]] = {}
+    for r in counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams")).collect():  # the different counts in a bounded number of texts
+        histogram.setdefault(r["lang"], {})[r["n"]] = r["grams"]
+    cuts, ties = [], []
+    for lang, grams in histogram.items():
+        room, last = most, 0
+        for n in sorted(grams, reverse=True):
+            if grams[n] > room:
+                last = n
+                break
+            room -= grams[n]
+        cuts.append((lang, last))
+        if last and room:
+            ties.append(counts.filter((F.col("lang") == lang) & (F.col("n") == last)).orderBy("gram").limit(room))
+    cut = F.broadcast(counts.sparkSession.createDataFrame(cuts, "lang string, last long"))
+    return reduce(DataFrame.unionByName, ties, counts.join(cut, "lang").filter("n > last").select("lang", "gram", "n"))
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
     """Fits the trees to about train_docs documents of each language, never to held-out ones.
 
@@ -240,11 +265,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees | None:
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, train_docs / n))])
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]
     most = max(1, TREE_CELLS // len(sizes) ** 2)
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
 
     def grams(rows: DataFrame) -> pd.DataFrame:
         counts = rows.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        return counts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= most).drop("place").toPandas()  # TREE_CELLS rows at most
+        return most_frequent(materialize(counts, "language-grams"), most).toPandas()  # TREE_CELLS rows at most
 
     table = grams(labelled.filter(drawn | (F.lit(train_docs) >= F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("lang")])))
     if none := sorted(set(sizes) - set(table["lang"])):
