@@ -124,8 +124,10 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def size_of(n_words: int) -> int:
-    """The size of the windows that a template of so many words is looked for in."""
-    return next((x for x in SIZES if n_words <= x), SIZES[-1])
+    """The size of the windows that a template of so many words is looked for in; one that no window is sure to hold is an error."""
+    if n_words > SIZES[-1]:
+        raise ValueError(f"a template has {n_words} words; at most {SIZES[-1]} are found wherever they stand")
+    return next(x for x in SIZES if n_words <= x)
 
 
 def template_rows(templates: dict[str, tuple[str, str, str]], frequency: dict[str, int], containment: float) -> list[tuple]:

@@ -76,7 +76,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = 0) -> DataFr
     often the mix takes it: 0 to MAX_REPEAT.  Null and empty texts have size 0; a source of
     size 0 is not taken.  A null source is a source of its own.  Repeated rows count one by
     one; rows with equal (size, doc_id) in a source are ranked by their text, and rows alike in
-    all three are interchangeable.  An empty table gives an empty one.
+    all three are interchangeable.  Words of very long texts are all counted, and such a text is
+    taken whole or not at all.  Columns of docs may have any names; an empty table gives an empty one.
     """
     columns = docs.columns if keep is None else keep
     slices = max(1, -(-docs.count() // SLICE_ROWS))  # the count of a Parquet table reads footers only

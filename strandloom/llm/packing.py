@@ -236,8 +236,10 @@ def pack(docs: DataFrame, keep: list[str] | None = None, path: str | None = None
 
     ids: the piece's token ids as little-endian unsigned 16-bit numbers; with ``crc`` they are
     replaced by ids_crc32, the CRC of the ids as little-endian unsigned 32-bit numbers.  Null
-    and empty texts are the separator alone.  Rows that repeat, or have no doc_id, are packed
-    one by one.  Of an empty table there are no pieces.
+    and empty texts are the separator alone.  Very long texts are tokenised whole and cut into as
+    many pieces as they need.  Rows at one place of the curve go by doc_id, then as they were
+    read; rows that repeat, or have no doc_id, are packed one by one.  Columns of docs may have
+    any names; of an empty table there are no pieces.
     """
     columns = docs.columns if keep is None else keep
     tokens = tokenised(docs, columns, path or tokenizer_path())

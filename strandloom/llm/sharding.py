@@ -95,8 +95,9 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = SHARDS)
 
     Size: UTF-8 bytes of the text plus 1.  Null counts as the empty text, in group and CRC too.
     Repeated rows share a shard and have slots of their own.  A group as large as the rest of
-    the table makes its shard larger than the others, as groups are not divided.  An empty
-    table gives an empty one.
+    the table makes its shard larger than the others, as groups are not divided; so does one
+    very long text.  Groups of equal size go by the digest of their text.  Columns of docs may
+    have any names; an empty table gives an empty one.
     """
     columns = docs.columns if keep is None else keep
     text = text_or_empty()

@@ -393,6 +393,14 @@ def test_lines_of_rows_without_an_id_stay_apart(spark):
     assert sum(x == "" for x in found.values()) == 4
 
 
+def test_templates_that_no_window_holds_are_refused(docs):
+    limit = licenses.SIZES[-1]
+    words = lambda n: " ".join(f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(n))
+    assert licenses.size_of(limit) == limit
+    with pytest.raises(ValueError, match="at most"):
+        licenses.scan(docs, templates={words(limit + 1): ("own", "", "")})
+
+
 # language
 
 
@@ -462,6 +470,17 @@ def test_languages_stay_apart_with_few_grams(spark, monkeypatch):
     assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.95 * len(found)
 
 
+def test_most_frequent_grams_of_each_language(spark):
+    """As a sort of all grams would take them, however many tie at the last count."""
+    rng = random.Random(3)
+    rows = [(lang, g, rng.choice([1, 1, 1, 2, 2, 5, 9])) for lang, n in (("a", 40), ("b", 7), ("c", 1)) for g in rng.sample(range(-500, 500), n)]
+    counts = spark.createDataFrame(rows, "lang string, gram long, n long").repartition(3)
+    for most in (1, 2, 5, 7, 20, 39, 40, 100):
+        wanted = sorted(r for lang in "abc" for r in sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[2], r[1]))[:most])
+        assert sorted(map(tuple, language.most_frequent(counts, most).collect())) == wanted
+    assert language.most_frequent(counts.limit(0), 3).count() == 0
+
+
 def test_language_stage_rejects_what_is_in_no_language(spark):
     """Rejected is what the frozen statistics hardly predict; labels may be wrong or missing."""
     rng = random.Random(12)
