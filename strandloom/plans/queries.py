@@ -890,3 +890,56 @@ def scaffold_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = scaffolding.Options(rounds=2, min_weight=0, candidates=TOP, break_ratio=CUT_RATIO)
     graph, _ = scaffolding.scaffold(views.alignments(spark, sf_dir), views.contigs(spark, sf_dir), options)
     return scaffolding.current_placement(graph).select("scf", "ord", "name", "fwd", "len", "off")
+
+
+#: Paths of regions cut behind the elements in cut_on (scf, ord): the first piece keeps its name, later ones get the next free numbers.
+PIECES = {
+    "piece_on": """
+  SELECT e.*, count(c.ord) OVER (PARTITION BY e.scf ORDER BY e.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS piece FROM element e LEFT JOIN cut_on c ON c.scf = e.scf AND c.ord = e.ord""",
+    "later_on": """
+  SELECT scf, piece, (SELECT count(DISTINCT scf) FROM element) + row_number() OVER (ORDER BY scf, piece) - 1 AS number FROM (SELECT DISTINCT scf, piece FROM piece_on WHERE piece > 0)""",
+}
+PLACED_PIECES = """SELECT 'u' || lpad(coalesce(number, scf)::VARCHAR, 9, '0') AS scf, (row_number() OVER w)::INT AS ord, name, fwd, len, coalesce(sum(len + 200) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM piece_on LEFT JOIN later_on USING (scf, piece) WINDOW w AS (PARTITION BY scf, piece ORDER BY ord)"""
+
+
+def _current(graph: sat.ScaffoldGraph) -> DataFrame:
+    return scaffolding.current_placement(graph).select("scf", "ord", "name", "fwd", "len", "off")
+
+
+@query(
+    PLACED_PIECES,
+    contact="SELECT a.tid AS tid1, b.tid AS tid2, sum(n) AS hits FROM link JOIN contig a ON a.name = ctg1 JOIN contig b ON b.name = ctg2 GROUP BY a.tid, b.tid",
+    cut_on="SELECT DISTINCT scf, CASE WHEN forward THEN ord ELSE ord - 1 END AS ord FROM true_rank WHERE rank IS NULL OR rank >= 3",
+    **PIECES,
+)
+def scaffolds_broken_by_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions cut where a neighbour is not among the best contacts of either side."""
+    return _current(scaffolding.break_by_neighbours(views.links(spark, sf_dir), views.contigs(spark, sf_dir), _region_graph(spark, sf_dir), limit=3))
+
+
+@query(
+    PLACED_PIECES,
+    bc_hit="""
+  SELECT right(qname, 16) AS bc, scf, off + CASE WHEN fwd THEN pos ELSE len - pos END AS pos, mapq FROM record JOIN placed USING (tid) WHERE mapped AND is_r1 AND mapq >= 20""",
+    span="SELECT scf, s AS pos1, max(e) AS pos2 FROM molecule GROUP BY scf, s",
+    cut_on="SELECT scf, ord FROM cut",
+    **PIECES,
+)
+def scaffolds_broken_by_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions cut where hardly any molecule of linked reads spans a gap."""
+    hits = molecules.barcode_hits(views.records(spark, sf_dir), min_mapq=20)
+    return _current(scaffolding.break_by_molecules(hits, views.contigs(spark, sf_dir), _region_graph(spark, sf_dir), CUT_RATIO, **MOLECULES).graph)
+
+
+@query("SELECT flag, tid, count(*) AS n, sum(pos0)::BIGINT AS pos0, 0::BIGINT AS holes FROM filed GROUP BY flag, tid", **AS_RECORD)
+def bams_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders of BAM files, decoded once to Parquet; records of each file are numbered without holes."""
+    found, known = views.records(spark, sf_dir), views.contigs(spark, sf_dir)
+    odd = F.col("flag").bitwiseAND(0x40) != 0
+    paths = [_written(spark, lambda path, part=part: bam.write_bam(found.filter(part), known, path)) for part in (odd, ~odd)]
+    decoded = _written(spark, lambda path: bam.to_parquet(spark, paths, path))
+    read = bam.from_parquet(spark, decoded)
+    holes = read.groupBy("file_id").agg((F.max("rec_no") + 1 - F.countDistinct("rec_no")).alias("holes")).agg(F.coalesce(F.sum("holes"), F.lit(0)).alias("holes"))
+    named = bam.by_name(read, bam.from_parquet(spark, decoded, "targets"), known)
+    return named.groupBy("flag", "tid").agg(F.count(F.lit(1)).alias("n"), F.sum("pos0").alias("pos0")).join(F.broadcast(holes)).select("flag", F.col("tid").cast("int").alias("tid"), "n", "pos0", "holes")
