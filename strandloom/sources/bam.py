@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -345,12 +346,11 @@ class BamWriter(DataSourceArrowWriter):
             for name, size in self.targets:
                 waiting += struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
             for batch in batches:
-                for row in batch.to_pylist():
-                    waiting += record_bytes(row)
-                    if len(waiting) >= BLOCK_DATA:
-                        for i in range(0, len(waiting) - BLOCK_DATA + 1, BLOCK_DATA):
-                            f.write(block_of(waiting[i : i + BLOCK_DATA]))
-                        del waiting[: len(waiting) // BLOCK_DATA * BLOCK_DATA]
+                waiting += records_bytes(batch)
+                whole = len(waiting) // BLOCK_DATA * BLOCK_DATA
+                for i in range(0, whole, BLOCK_DATA):
+                    f.write(block_of(waiting[i : i + BLOCK_DATA]))
+                del waiting[:whole]
             f.write(block_of(waiting) + block_of(b""))
         return Written(path)
 
@@ -381,15 +381,71 @@ def block_of(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def record_bytes(row: dict) -> bytes:
-    """A record with its size, without letters; tags, if any, are texts.  What is missing or null is as of an unmapped read."""
-    get = lambda key, other: other if row.get(key) is None else row[key]
-    name = get("qname", "*").encode("latin-1") + b"\0"
-    cigar = get("cigar", [])
-    tags = b"".join(key.encode("latin-1") + b"Z" + value.encode("latin-1") + b"\0" for key, value in get("tags", []))
-    fixed = struct.pack("<iiBBHHHiiii", get("tid", -1), get("pos0", -1), len(name), get("mapq", 255), NO_BIN, len(cigar), get("flag", UNMAPPED), 0, get("mate_tid", -1), get("mate_pos", -1), get("isize", 0))
-    data = fixed + name + b"".join(struct.pack("<I", x["len"] << 4 | x["op"]) for x in cigar) + tags
-    return struct.pack("<i", len(data)) + data
+#: The fields before a record's name: its size, name, type and bounds; what stands where a column is missing or null, as of an unmapped read.
+HEAD = np.dtype([("size", "<i4"), ("tid", "<i4"), ("pos0", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate_tid", "<i4"), ("mate_pos", "<i4"), ("isize", "<i4")])
+MISSING = {"tid": -1, "pos0": -1, "mapq": 255, "flag": UNMAPPED, "mate_tid": -1, "mate_pos": -1, "isize": 0}
+
+
+def _latin(texts: pa.Array) -> pa.Array:
+    """Texts as bytes of Latin-1."""
+    raw = texts.cast(pa.binary())
+    plain = len(raw) == 0 or raw.buffers()[2] is None or np.frombuffer(raw.buffers()[2], np.uint8).max(initial=0) < 128
+    return raw if plain else pa.array([None if x is None else x.encode("latin-1") for x in texts.to_pylist()], pa.binary())
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of lists one behind the other, and where each list begins and ends; null is empty."""
+    if column.null_count:
+        column = column.take(pa.array(np.arange(len(column))))  # nothing is left behind a null
+    return column.values, column.offsets.to_numpy()
+
+
+def _pieces(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Bytes cut at offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), data])
+
+
+def _put(head: np.ndarray, field: str, values: np.ndarray) -> None:
+    """Sets a field; values that it cannot hold are an error."""
+    most = np.iinfo(head.dtype[field])
+    if len(values) and (values.min() < most.min or values.max() > most.max):
+        raise ValueError(f"{field} is beyond what a BAM record holds")
+    head[field] = values
+
+
+def records_bytes(batch: pa.RecordBatch) -> memoryview:
+    """Records with their sizes, without letters, by array operations; tags, if any, are texts.  What is missing or null is as of an unmapped read."""
+    n, given = batch.num_rows, {name: batch.column(name) for name in batch.schema.names}
+    if n == 0:
+        return memoryview(b"")
+    head, parts = np.zeros(n, HEAD), []
+    for field, other in MISSING.items():
+        _put(head, field, given[field].cast(pa.int64()).fill_null(other).to_numpy() if field in given else np.array([other]))
+    name = _latin(given["qname"].fill_null("*") if "qname" in given else pa.array(["*"] * n))
+    _put(head, "l_name", pc.binary_length(name).to_numpy() + 1)
+    parts += [name, pa.scalar(b"\0", pa.binary())]
+    if "cigar" in given:
+        steps, offsets = _lists(given["cigar"])
+        op, length = (steps.field(x) for x in ("op", "len"))
+        if steps.null_count or op.null_count or length.null_count:
+            raise ValueError("a step of a CIGAR is null")
+        op, length = op.to_numpy().astype(np.int64), length.to_numpy().astype(np.int64)
+        if len(op) and (min(op.min(), length.min()) < 0 or op.max() > 15 or length.max() >= 1 << 28):
+            raise ValueError("a step of a CIGAR is beyond what a BAM record holds")
+        _put(head, "n_cigar", np.diff(offsets))
+        parts.append(_pieces(4 * offsets, pa.py_buffer((length << 4 | op).astype("<u4"))))
+    if "tags" in given:
+        entries, offsets = _lists(given["tags"])
+        key, value = (_latin(entries.field(i)) for i in (0, 1))
+        if key.null_count or value.null_count:
+            raise ValueError("a tag is null")
+        texts = pc.binary_join_element_wise(key, pa.scalar(b"Z", pa.binary()), value, pa.scalar(b"\0", pa.binary()), pa.scalar(b"", pa.binary()))
+        places = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        parts.append(_pieces(places[offsets], texts.buffers()[2] or pa.py_buffer(b"")))
+    head["bin"] = NO_BIN
+    _put(head, "size", HEAD.itemsize - 4 + 1 + sum(pc.binary_length(x).to_numpy().astype(np.int64) for x in parts if isinstance(x, pa.Array)))
+    whole = pc.binary_join_element_wise(_pieces(HEAD.itemsize * np.arange(n + 1), pa.py_buffer(head)), *parts, pa.scalar(b"", pa.binary()))
+    return memoryview(whole.buffers()[2])[: int(head["size"].sum(dtype=np.int64)) + 4 * n]
 
 
 class BamSource(DataSource):
