@@ -132,25 +132,70 @@ def header_of(path: str) -> tuple[list[tuple[str, int]], int]:
     raise ValueError(f"{path}: the header is cut off")
 
 
-def tags_of(data: bytes) -> dict[str, str]:
-    out, at = {}, 0
-    while at + 3 <= len(data):
-        key, kind = data[at : at + 2].decode("latin-1"), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(b"\0", at)
-            out[key], at = data[at:end].decode("latin-1"), end + 1
-        elif kind == "B":
-            form, size = TAG[chr(data[at])]
-            n = struct.unpack_from("<i", data, at + 1)[0]
-            out[key] = ",".join(map(str, struct.unpack_from(f"<{n}{form}", data, at + 5)))
-            at += 5 + n * size
-        else:
-            form, size = TAG[kind]
-            value = struct.unpack_from(f"<{form}", data, at)[0]
-            out[key] = value.decode("latin-1") if kind == "A" else str(value)
-            at += size
-    return out
+def _number(data: bytes, at: int) -> tuple[str, int]:
+    """A tag's value of any numeric kind that begins with its kind, as text, and where it ends."""
+    kind = chr(data[at])
+    if kind == "B":
+        form, size = TAG[chr(data[at + 1])]
+        n = struct.unpack_from("<i", data, at + 2)[0]
+        return ",".join(map(str, struct.unpack_from(f"<{n}{form}", data, at + 6))), at + 6 + n * size
+    form, size = TAG[kind]
+    return str(struct.unpack_from(f"<{form}", data, at + 1)[0]), at + 1 + size
+
+
+def tags_at(data: bytes, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The tags of records as maps: in each step the next tag of all the records that have one.  Of tags of one name in a record the last counts.
+
+    Texts and whole numbers go by arrays, reals and lists of numbers one by one.
+    """
+    raw, zeros = np.frombuffer(data, np.uint8), None
+    records, at = np.arange(len(begins)), begins.astype(np.int64)
+    found: list[tuple[np.ndarray, ...]] = []  # record, name, begin and length of the value in the pool
+    pool, held = [raw], len(raw)
+    while (more := at + 3 <= ends[records]).any():
+        records, at = records[more], at[more]
+        kind, begin = raw[at + 2], at + 3
+        length, end = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+        if (which := (kind == ord("Z")) | (kind == ord("H"))).any():
+            zeros = np.append(np.flatnonzero(raw == 0), len(raw)) if zeros is None else zeros
+            stop = zeros[np.searchsorted(zeros, begin[which])]
+            length[which], end[which] = stop - begin[which], stop + 1
+        which = kind == ord("A")
+        length[which], end[which] = 1, begin[which] + 1
+        for sort in np.unique(kind[end < 0]):
+            which = kind == sort
+            form, size = TAG.get(chr(sort), ("", 0))
+            if form in tuple("bBhHiI"):
+                values = raw[np.minimum(begin[which, None] + np.arange(size), len(raw) - 1)].view(np.dtype(form).newbyteorder("<"))[:, 0]
+                texts, end[which] = pa.array(values).cast(pa.string()), begin[which] + size
+            else:
+                made = [_number(data, x) for x in (begin[which] - 1).tolist()]
+                texts, end[which] = pa.array([x for x, _ in made], pa.string()), [x for _, x in made]
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            length[which], begin[which] = sizes, held + np.cumsum(sizes) - sizes
+            pool.append(np.frombuffer(texts.buffers()[2], np.uint8)[: sizes.sum()])
+            held += int(sizes.sum())
+        if (end > ends[records]).any():
+            raise ValueError("a tag runs on beyond its record")
+        found.append((records, raw[at].astype(np.int64) << 8 | raw[at + 1], begin, length))
+        at = end
+    if not found:
+        return pa.array([[]] * len(begins), TAG_TYPE)
+    record, name, begin, length = map(np.concatenate, zip(*found, strict=True))
+    order = np.argsort(record, kind="stable")
+    record, name, begin, length = record[order], name[order], begin[order], length[order]
+    last = np.lexsort((np.arange(len(name)), name, record))
+    again = (record[last][1:] == record[last][:-1]) & (name[last][1:] == name[last][:-1])
+    if again.any():
+        first = np.maximum.accumulate(np.where(np.append(False, again), 0, np.arange(len(last))))  # of each name in its record
+        into, latest = last[first], last
+        begin[into], length[into] = begin[latest], length[latest]  # written in order, so the last one stays
+        keep = np.ones(len(name), bool)
+        keep[last[1:][again]] = False
+        record, name, begin, length = record[keep], name[keep], begin[keep], length[keep]
+    names = _texts(np.stack([name >> 8, name & 255], 1).astype(np.uint8).reshape(-1), 2 * np.arange(len(name)), np.full(len(name), 2))
+    values = _texts(np.concatenate(pool), begin, length)
+    return pa.MapArray.from_arrays(_offsets(np.bincount(record, minlength=len(begins))), names, values)
 
 
 def sound(data: bytes, at: int, targets: int) -> int | None:
@@ -241,6 +286,15 @@ def _offsets(lengths: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
+def _texts(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Stretches of Latin-1 as texts."""
+    letters = _gathered(raw, starts, lengths)
+    if len(letters) and letters.max() > 127:
+        letters, ends = letters.tobytes(), np.cumsum(lengths).tolist()
+        return pa.array([letters[e - n : e].decode("latin-1") for n, e in zip(lengths.tolist(), ends, strict=True)], pa.string())
+    return pa.StringArray.from_buffers(len(starts), _offsets(lengths).buffers()[1], pa.py_buffer(letters))
+
+
 class Decoder:
     """Runs of records as Arrow batches: the fixed fields of all records at once, by array operations; the others of those records only that pass."""
 
@@ -265,17 +319,13 @@ class Decoder:
         name, cigar, letters = fields[:, 8].astype(np.int64), half(12).astype(np.int64), word(4).astype(np.int64)
         made = {
             "file_id": lambda: pa.array(np.full(len(at), file_id, np.int32)), "rec_no": lambda: pa.array(number), "qname": lambda: self._names(raw, at + 32, name - 1), "cigar": lambda: self._cigars(raw, at + 32 + name, cigar),
-            "tags": lambda: pa.array([list(tags_of(data[x : y]).items()) for x, y in self._tag_places(data, at, 32 + name + 4 * cigar + (letters + 1) // 2 + letters)], TAG_TYPE),
+            "tags": lambda: tags_at(data, *self._tag_places(data, at, 32 + name + 4 * cigar + (letters + 1) // 2 + letters)),
         }
         return pa.RecordBatch.from_arrays([made[c]() if c in made else pa.array(fixed[c]()) for c in self.columns], self.columns)
 
     @staticmethod
     def _names(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
-        letters = _gathered(raw, starts, lengths)
-        if len(letters) and letters.max() > 127:
-            letters, ends = letters.tobytes(), np.cumsum(lengths).tolist()
-            return pa.array([letters[e - n : e].decode("latin-1") for n, e in zip(lengths.tolist(), ends, strict=True)])
-        return pa.StringArray.from_buffers(len(starts), _offsets(lengths).buffers()[1], pa.py_buffer(letters))
+        return _texts(raw, starts, lengths)
 
     @staticmethod
     def _cigars(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -283,9 +333,9 @@ class Decoder:
         return pa.ListArray.from_arrays(_offsets(counts), pa.StructArray.from_arrays([pa.array((steps & 15).astype(np.int8)), pa.array((steps >> 4).astype(np.int32))], ["op", "len"]))
 
     @staticmethod
-    def _tag_places(data: bytes, at: np.ndarray, skip: np.ndarray) -> list[tuple[int, int]]:
-        sizes = [struct.unpack_from("<i", data, x - 4)[0] for x in at.tolist()]
-        return [(x + y, x + size) for x, y, size in zip(at.tolist(), skip.tolist(), sizes, strict=True)]
+    def _tag_places(data: bytes, at: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(-4, 0)].view("<i4")[:, 0]
+        return at + skip, at + sizes
 
 
 class Range(InputPartition):

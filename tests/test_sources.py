@@ -8,6 +8,7 @@ import struct
 import time
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -373,3 +374,21 @@ def test_records_are_written_by_arrays():
         kind = batch.schema.field(field).type if field in ("qname", "cigar") else pa.int64()
         with pytest.raises(ValueError):
             bam.records_bytes(pa.RecordBatch.from_arrays([pa.array([value], kind)], [field]))
+
+
+def test_tags_are_read_by_arrays():
+    """All kinds of tags, of records with none, one and several of a name, at a part of the time of one by one."""
+    kinds = b"NMC\x05" + b"ASs\xfe\xff" + b"XIi\xff\xff\xff\xff" + b"XFf\x00\x00\x80\x3f" + b"XAAq" + b"XHH0aF\0" + b"XBBs" + struct.pack("<i2h", 2, 1, -1) + b"XEZ\0" + b"XUZ\xe9\0"
+    wanted = {"NM": "5", "AS": "-2", "XI": "-1", "XF": "1.0", "XA": "q", "XH": "0aF", "XB": "1,-1", "XE": "", "XU": "é"}
+    parts = [kinds, b"", b"BXZone\0RVZyes\0BXZtwo\0", b"RVZno\0\1\2"]
+    data = b"head" + b"....".join(parts)
+    ends = np.cumsum([len(x) + 4 for x in parts])
+    found = bam.tags_at(data, ends - [len(x) for x in parts], ends).to_pylist()
+    assert [dict(x) for x in found] == [wanted, {}, {"BX": "two", "RV": "yes"}, {"RV": "no"}] and [k for k, _ in found[2]] == ["BX", "RV"]
+    with pytest.raises(ValueError):
+        bam.tags_at(b"BXZabc", np.array([0]), np.array([6]))
+    many = b"BXZ0000000000000001\0RVZyes\0" * 50_000
+    ends = np.arange(27, len(many) + 1, 27)
+    began = time.process_time()
+    assert len(bam.tags_at(many, ends - 27, ends)) == 50_000
+    assert time.process_time() - began < 50_000 * 3.5e-6  # one by one some 5 us each
