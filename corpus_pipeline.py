@@ -22,7 +22,10 @@ _left: list[str] = []
 
 
 def stage(f: Stage) -> Stage:
-    """Before a stage, drops what the one before left in the shared folder, unless docs still reads it."""
+    """Before a stage, drops what the one before left in the shared folder, unless docs still reads it.
+
+    A stage reads and returns its rows in no more partitions than their number asks for (``common.fewer``), however finely docs is dealt.
+    """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +33,11 @@ def stage(f: Stage) -> Stage:
         for path in [x for x in _left if x.rpartition("strandloom/")[2] not in read]:
             common.remove(spark, path)
             _left.remove(path)
+        rows = docs.count()  # of a Parquet table: footers only
         with common.recorded() as paths:
-            out = f(spark, docs, sf_dir)
+            out = f(spark, common.fewer(docs, rows), sf_dir)
         _left.extend(paths)
-        return out
+        return common.fewer(out, rows)
 
     return run_stage
 

@@ -60,6 +60,11 @@ def recorded() -> Iterator[list[str]]:
 FILE_ROWS, FILES = 5_000, 6
 
 
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in no more partitions than a file for every FILE_ROWS asks for: a small table is not written as many tiny files."""
+    return df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
+
+
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder once and reads it back: cuts lineage, survives lost executors.
 
@@ -67,7 +72,7 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = note(f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}")
-    (df if rows is None else df.coalesce(max(FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
+    (df if rows is None else fewer(df, rows)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

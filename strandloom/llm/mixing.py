@@ -80,7 +80,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = 0) -> DataFr
     taken whole or not at all.  Columns of docs may have any names; an empty table gives an empty one.
     """
     columns = docs.columns if keep is None else keep
-    slices = max(1, -(-docs.count() // SLICE_ROWS))  # the count of a Parquet table reads footers only
+    rows = docs.count()  # of a Parquet table: footers only
+    slices = max(1, -(-rows // SLICE_ROWS))
     size = n_words(F.col("text"))
     classed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "source", "doc_id", size.alias("size"),
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = 0) -> DataFr
         F.xxhash64("text").alias("tie"),
     )
     bucket = ["source", "class", "slice"]
-    cells = materialize(classed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mixing-cells")
+    cells = materialize(classed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mixing-cells", rows)
     plan = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "of")
     before = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))

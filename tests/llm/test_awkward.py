@@ -6,12 +6,13 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import exact_dedup, language, licenses, line_dedup, mixing, near_dedup, packing, personal_data, pieces, sharding
+from strandloom.llm import common, exact_dedup, language, licenses, line_dedup, mixing, near_dedup, packing, personal_data, pieces, sharding
 
 from .conftest import SCHEMA
 
@@ -224,6 +225,17 @@ def test_pipeline(spark, docs, awkward_rows, tmp_path):
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(now.columns)
 
 
+def test_stages_of_many_partitions(spark, docs, tmp_path, monkeypatch):
+    """Few rows that are dealt over many partitions are not written as that many tiny files, by no stage."""
+    spread = docs.repartition(40)
+    monkeypatch.setattr(corpus_pipeline, "_left", [])
+    for name, f in corpus_pipeline.STAGES:
+        with common.recorded() as paths:
+            f(spark, spread, "unused").write.parquet(f"{tmp_path}/{name}")
+        assert len(list((tmp_path / name).glob("part-*"))) <= common.FILES
+        assert all(len(list(Path(x.removeprefix("file://")).glob("part-*"))) <= common.FILES for x in paths)
+
+
 def test_pipeline_of_nothing(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
