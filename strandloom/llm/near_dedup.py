@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -357,10 +357,11 @@ def _crossed(hubs: bool):  # noqa: ANN202
 
 
 def opened(met: DataFrame, label: DataFrame, n: int) -> DataFrame:
-    """(j, key, rid, n_words, size_class, root): the rows of buckets whose documents are not all of one class by label (rid, root)."""
+    """(j, key, rid, n_words, size_class, root, degree): the rows of buckets whose documents are not all of one class by label (rid, root), and in how many of these a document is."""
     rows = met.select("j", "key", "rid", "n_words", "size_class").join(label, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     mixed = rows.groupBy("j", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("j", "key")
-    return materialize(rows.join(mixed, ["j", "key"]), "near-open", n)
+    rows = rows.join(mixed, ["j", "key"]).withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("rid")))  # of a row for each sketch at most
+    return materialize(rows, "near-open", n)
 
 
 def few(table: DataFrame) -> DataFrame:
@@ -368,26 +369,60 @@ def few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """(j, key, homes): for each bucket of rows the groups that hold pairs of different classes, as (home, hub, top, bulk, rest).
+
+    A group has the documents of a size class, its home, which are paired with each other and with those of the next one.
+    hub: the document in most open buckets; top: the class of most of its documents, of which there are bulk; rest: how many others there are.
+    """
+    both = rows.withColumn("home", F.explode(F.array("size_class", F.col("size_class") - 1)))
+    begun, hub = F.max(F.col("size_class") == F.col("home")).alias("begun"), F.max(F.struct("degree", "rid")).alias("hub")
+    by_class = both.groupBy("j", "key", "home", "root").agg(F.count(F.lit(1)).alias("n"), begun, hub)
+    groups = by_class.groupBy("j", "key", "home").agg(F.sum("n").alias("n"), F.max("begun").alias("begun"), F.max("hub").alias("hub"), F.max(F.struct("n", "root")).alias("top"))
+    group = F.struct("home", F.col("hub.rid").alias("hub"), F.col("top.root").alias("top"), F.col("top.n").alias("bulk"), (F.col("n") - F.col("top.n")).alias("rest"))
+    return groups.filter("begun and n > top.n").groupBy("j", "key").agg(F.collect_list(group).alias("homes"))  # size classes are few
+
+
+def dealt(rows: DataFrame, hubs: bool) -> DataFrame:
+    """rows with home, hub, top, bulk and rest, as a row for each block (low, high) of its group that a document is in; part: where it is there.
+
+    With ``hubs`` a group's documents are in one block each, and its hub is in all of them.  Else
+    documents of a group's top class, which are not paired with each other, meet the parts of the
+    rest alone; only the rest meets all parts.  A rest of one block so makes a few rows for each
+    document at most, however large the group is.
+    """
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    bulk, rest = parts(F.col("bulk")), parts(F.col("rest"))
+    whole, small = parts(F.col("bulk") + F.col("rest")), F.col("bulk") + F.col("rest") <= BLOCK
+    slot = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    if hubs:
+        everywhere = F.when(F.col("rid") == F.col("hub"), F.sequence(F.lit(0), whole - 1))
+        rows = rows.withColumn("part", slot(whole)).withColumn("low", F.explode(F.coalesce(everywhere, F.array("part"))))
+        return rows.withColumn("high", F.col("low"))
+    in_top = F.col("root") == F.col("top")
+    part = F.when(small, 0).when(in_top, rest + slot(bulk)).otherwise(slot(rest))
+    number = F.when(small, 1).when(in_top, rest).otherwise(rest + bulk)
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1)))
+    return rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+
 def remaining(rows: DataFrame, carried_on: DataFrame, pairs: DataFrame, hubs: bool, n: int) -> DataFrame:
     """Pairs (a, b), a < b, each once, that meet in a bucket of rows, differ in root, may be links and are not among pairs.
 
     A link's lengths differ by a fifth at most, and as much of the longer text's words, counted in
     bins, are in both: other pairs are left out.  Of each group only the document that is in
     most open buckets is paired with the others if ``hubs``, else every two are.
-    carried_on: (rid, bag, sketch) of the documents in rows.
+    carried_on: (rid, bag, sketch) of the documents in rows, which are joined with a row for each document, not for each of its buckets.
     """
-    degree = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
-    # a group: the documents of a size class, which are paired with each other and with those of the next one
-    both = rows.withColumn("home", F.explode(F.array("size_class", F.col("size_class") - 1)))
-    keys = ["j", "key", "home"]
-    counts = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("size_class") == F.col("home")).alias("begun"), F.min("root").alias("least"), F.max("root").alias("most"))
-    counts = counts.filter("begun and least <> most").select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    both = both.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = both.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(degree, "rid").join(carried_on, "rid")
-    columns = ["j", "key", "home", "low", "high", "n_words", "rid", "root", "size_class", "part", "degree", "bag", *([] if hubs else ["sketch"])]
-    dealt = both.select(*columns).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
-    found = dealt.mapInArrow(_crossed(hubs), "a long, b long").distinct()
+    homes = F.filter("homes", lambda x: (x["home"] == F.col("size_class")) | (x["home"] == F.col("size_class") - 1))
+    placed = rows.join(grouped(rows), ["j", "key"]).withColumn("homes", homes).filter(F.size("homes") > 0)
+    own = ["rid", "n_words", "size_class", "root", "degree"]
+    each = placed.groupBy(*own).agg(F.collect_list(F.struct("j", "key", "homes")).alias("places")).join(carried_on, "rid")
+    kept = [*own, "bag", *([] if hubs else ["sketch"])]
+    groups = each.select(*kept, F.explode("places").alias("place")).select(*kept, "place.j", "place.key", F.explode("place.homes").alias("group")).select(*kept, "j", "key", "group.*")
+    columns = ["j", "key", "home", "low", "high", "n_words", "rid", "root", "size_class", "part", "degree", *kept[len(own) :]]
+    blocks = dealt(groups, hubs).select(*columns).repartition(*columns[:5]).sortWithinPartitions(*columns[:7])
+    found = blocks.mapInArrow(_crossed(hubs), "a long, b long").distinct()
     return materialize(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs", n)
 
 

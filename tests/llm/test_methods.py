@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,34 @@ def test_large_families_are_classes_of_all_that_meet(spark, monkeypatch, block):
     assert max(Counter(found.values()).values()) > 850
 
 
+def test_a_large_class_in_a_bucket_is_not_dealt_to_blocks_once_for_each_other_block(spark, monkeypatch):
+    """Rows that go to blocks, and rows of any join with the documents' words, grow no faster than the bucket."""
+
+    def seen(hubs):
+        def run(batches):
+            for batch in batches:
+                place = (np.array(batch.column(i).to_numpy()) for i in (3, 4))
+                yield pa.RecordBatch.from_arrays([batch.column(6), pa.array(sum(x.astype(np.int64) * y for x, y in zip(place, (10_000, 1), strict=True)) + 10**8 * batch.column(2).to_numpy())], ["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "_crossed", seen)
+    nothing = spark.createDataFrame([], "a long, b long")
+
+    def dealt(n, hubs):
+        met = spark.createDataFrame([(0, 7, i, 100, 20) for i in range(n)], "j int, key long, rid long, n_words long, size_class long")
+        label = spark.createDataFrame([(i, 0) for i in range(1, n - 5)], "rid long, root long")  # all but five are of one class
+        carried_on = met.select("rid", F.lit(b"").alias("bag"), F.array(F.lit(0).cast("long")).alias("sketch"))
+        rows = near_dedup.opened(met, label, n)
+        return near_dedup.remaining(rows, carried_on, nothing, hubs, n).groupBy("a").count().agg(F.count("a"), F.sum("count")).first()
+
+    for hubs in (True, False):
+        documents, rows = dealt(640, hubs)
+        assert documents == 640 and rows <= 2 * 640
+        assert dealt(1280, hubs)[1] <= 2.1 * rows
+
+
 def _links(words):
     """All pairs that align, by the whole table; lengths and words are compared first."""
     kinds = {w: i for i, w in enumerate(sorted({int(w) for x in words for w in x}))}
